@@ -30,7 +30,7 @@ RISK, DELTA = 0.004, 0.05
 TAG = "qr_"
 
 
-def _repeats(w: Column, n: Column) -> Column:
+def _repeats(w: Column) -> Column:
     """Words covered by 3-word windows that occur twice or more: windows sort by a 64-bit hash, equal neighbours repeat."""
 
     def covered(ordered):
@@ -44,31 +44,30 @@ def _repeats(w: Column, n: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(C.let(ordered, covered))
 
-    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return F.when(n < 3, F.lit(0)).otherwise(C.let(windows, count))
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(F.size(w) < 3, F.lit(0)).otherwise(C.let(windows, count))
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """Adds the base counts and rule statistics, all named ``qr_...``."""
+    """Adds the base counts, all named ``qr_...``.
+
+    They pass through an explode of one row, below which no later filter or projection is pushed: each is worked out once.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    one = docs.withColumn(f"{TAG}w", C.words(F.col("text")))
-    n = F.size(f"{TAG}w")
-
-    def over_lines(x):
-        return F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))
-
-    two = one.withColumns(
-        {
-            f"{TAG}n_words": n.cast("long"),
-            f"{TAG}word_chars": F.char_length(F.regexp_replace(text, C.SPACE, "")).cast("long"),
-            f"{TAG}n_symbols": (F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long"),
-            f"{TAG}n_upper": (F.char_length(text) - F.char_length(F.regexp_replace(text, r"[A-Z]+", ""))).cast("long"),
-            f"{TAG}lines": C.let(lines, over_lines),
-            f"{TAG}n_repeat_words": _repeats(F.col(f"{TAG}w"), n).cast("long"),
-        }
-    ).drop(f"{TAG}w")
-    return two
+    without = lambda pattern: F.char_length(F.regexp_replace(text, pattern, ""))
+    made = F.struct(
+        C.let(C.words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), _repeats(w).alias("repeats"))).alias("w"),
+        C.let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
+        F.char_length(text).alias("chars"), without(C.SPACE).alias("word_chars"), without(r"[#*$%&|<>]+").alias("plain"), without(r"[A-Z]+").alias("low"),
+    )
+    out = docs.select("*", F.explode_outer(F.array(made)).alias(f"{TAG}made"))
+    made = lambda name: F.col(f"{TAG}made.{name}")
+    counts = {
+        "n_words": made("w.n"), "n_repeat_words": made("w.repeats"), "n_lines": made("lines.n"), "n_dup_lines": made("lines.dup"),
+        "word_chars": made("word_chars"), "n_symbols": made("chars") - made("plain"), "n_upper": made("chars") - made("low"),
+    }
+    return out.withColumns({TAG + k: v.cast("long") for k, v in counts.items()}).drop(f"{TAG}made")
 
 
 def _per(a: str, b: str) -> Column:
@@ -76,10 +75,9 @@ def _per(a: str, b: str) -> Column:
 
 
 def with_statistics(featured: DataFrame) -> DataFrame:
-    """Adds ``qr_dup_lines``, the rule statistics and ``qr_base_failed``."""
-    f = featured.withColumn(f"{TAG}n_dup_lines", F.col(f"{TAG}lines.dup").cast("long")).withColumn(f"{TAG}n_lines", F.col(f"{TAG}lines.n").cast("long")).drop(f"{TAG}lines")
+    """Adds the rule statistics and ``qr_base_failed``."""
     words, chars = f"{TAG}n_words", f"{TAG}word_chars"
-    return f.withColumns(
+    return featured.withColumns(
         {
             f"{TAG}symbols": _per(f"{TAG}n_symbols", words),
             f"{TAG}dup_lines": _per(f"{TAG}n_dup_lines", f"{TAG}n_lines"),

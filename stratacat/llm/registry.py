@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pii, quality_rules, url_reputation
+from . import bpe_transducer, decontaminate, minhash, pii, quality_rules, token_counts, toxicity, url_reputation, warc, weak_quality
 
 QUERIES = {
     "op1_pii_bootstrap": pii.query,
     "op2_decontaminate_spaced_seeds": decontaminate.query,
+    "op3_token_counts": token_counts.query,
+    "op4_minhash_oph": minhash.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_bpe_transducer": bpe_transducer.query,
+    "op7_warc_zstd": warc.query,
+    "op8_toxicity_string_kernel": toxicity.query,
+    "op9_quality_weak_labels": weak_quality.query,
     "op10_url_reputation": url_reputation.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_warc_zstd": warc.ORACLE}
