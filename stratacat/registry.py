@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans import grid
+
+_PLANS = [grid]
+QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for p in _PLANS for k, v in p.ORACLE.items()}
