@@ -66,7 +66,7 @@ PART_WORDS = (
     r"(?i)(conversion kit|tail boom|fuselage|hatch|canopy|servo|\besc\b|\bvtx\b|\bvrx\b|\bmotor\b|propeller|\bprop\b|landing gear|\bcover\b|protector|\bmount\b|spare|replacement|\bcable\b|antenna|sticker|decal|foam set|foam case|carrying|storage|\bstand\b|charger|\bbattery\b|receiver|goggle|\blens\b|\bscrew\b|\bblock\b|\bpart\b|\bparts\b|set of|\bpack\b|\bbag\b|kit foam|nose \d|main wing|wing set|for rc (airplane|plane)|\d set\b)"
 )
 PLANE_WORDS = [r"(?i)\b(plane|glider|trainer|warbird|edf|jet|delta)\b", r"(?i)(fixed|flying)[\s-]*wing", r"(?i)wing\s*span", r"(?i)\b\d{2,3}(?:\.\d)?\s*(?:\"|″|in(?:ch(?:es)?)?\b)"]
-BOT_WALL = r"(?i)just a moment|checking your browser|attention required|access denied|captcha|are you (?:a )?human|enable javascript and cookies"
+BOT_WALL = r"(?i)Just a moment\.\.\.|Checking your browser|Enable JavaScript and cookies|challenges\.cloudflare\.com|cf-browser-verification|Attention Required|Access denied|error code:\s*1020"
 # End of fixed values.
 
 

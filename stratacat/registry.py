@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import grid
+from .plans import activity, facts, grid, identity
 
-_PLANS = [grid]
+_PLANS = [grid, activity, facts, identity]
 QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for p in _PLANS for k, v in p.ORACLE.items()}
