@@ -32,8 +32,18 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MODEL = "word_bpe_49k.json"
-#: At most so many words are compiled (about 1 MB), and a worker remembers at most so many chunks.
-LEXICON_WORDS, REMEMBERED = 50_000, 200_000
+#: At most so many words are compiled (about 1 MB), and a worker remembers at most so many chunks and so many words.
+LEXICON_WORDS, REMEMBERED = 50_000, 300_000
+
+
+#: Byte-level BPE writes every byte as one character: printable ones as themselves, the others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+_BYTES_OF = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(256)}
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_LATIN = re.compile(f"[ -~\\t-\\r{_LETTERS}]*")
+#: The split pattern of the tokenizer's file, for these characters.
+_LATIN_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
 
 
 class Merger:
@@ -46,8 +56,27 @@ class Merger:
         self.vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
 
     def ids(self, word: str) -> list[int]:
-        parts: list[str | None] = list(word)
+        parts = list(word)
         parts[-1] += self.suffix
+        return [self.vocab[p] for p in (self._few(parts) if len(parts) <= 40 else self._many(parts))]
+
+    def _few(self, parts: list[str]) -> list[str]:
+        """Looks through all pairs for each merge."""
+        rank = self.rank
+        none = len(rank)
+        ranks = [rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank.get((parts[i], parts[i + 1]), none)
+        return parts
+
+    def _many(self, parts: list[str | None]) -> list[str]:
+        """Keeps the pairs in a heap, so that a long word takes n log n steps."""
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap = [(self.rank[p], i, *p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.rank]
         heapq.heapify(heap)
@@ -62,7 +91,7 @@ class Merger:
             for left, right in ((before[i], i), (i, after[i])):
                 if left >= 0 and right < len(parts) and (pair := (parts[left], parts[right])) in self.rank:
                     heapq.heappush(heap, (self.rank[pair], left, *pair))
-        return [self.vocab[p] for p in parts if p is not None]
+        return [p for p in parts if p is not None]
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
@@ -156,7 +185,7 @@ class Lexicon:
 
 
 class Encoder:
-    """Chunks to ids: special tokens, then the library's normalizer and pre-tokenizer, then lexicon or merges."""
+    """Texts to ids: special tokens, then the library's normalizer and pre-tokenizer (or, for Latin texts, their equal), then lexicon or merges."""
 
     def __init__(self, path: str, lexicon: Lexicon | None = None):
         from tokenizers import Tokenizer
@@ -170,36 +199,61 @@ class Encoder:
             raise ValueError("only tokenizers that drop white space and have neither decoder nor post-processor")
         self.special, self.split = special, re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.names = {i: t for t, i in (spec["model"]["vocab"] | special).items()}
-        self.known: dict[bytes, tuple[str, str, int]] = {}
+        self.digits = {i: str(i) for i in self.names}
+        self.chunks: dict[bytes, tuple[str, str, int]] = {}
+        self.words: dict[str, tuple[str, str, int]] = {}
+        # the short way holds only if it agrees with the library on a text of all its characters
+        probe = "".join(map(chr, [*range(33, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])) + "I'll we're 42x"
+        cut = lambda x: [p if p.isascii() else p.translate(_BYTES_OF) for p in _LATIN_PIECES.findall(x.lower())]
+        self.short = all(cut(x) == self.pretokens(x) for x in (probe, probe[::-1], *probe))
 
     def pretokens(self, text: str) -> list[str]:
         return [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text))]
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for part in self.split.split(chunk) if self.split and "<" in chunk or self.split and any(s in chunk for s in self.special) else [chunk]:
+    def word_entry(self, word: str) -> tuple[str, str, int]:
+        """Ids and decoded text of a pre-token, each joined by spaces, and how many ids."""
+        ids = self.lexicon.get(word.encode()) if self.lexicon else None
+        if ids is None:
+            ids = self.merger.ids(word)
+        return " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids]), len(ids)
+
+    def remember(self, known: dict, keys, make) -> None:
+        for k in keys:
+            if k not in known:
+                known[k] = make(k)
+
+    def latin(self, text: str) -> list[tuple[str, str, int]]:
+        """The short way for texts of printable ASCII, ASCII spaces and Latin-1 letters: these lower-case one to one and are in normal form."""
+        pieces = _LATIN_PIECES.findall(text.lower())
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        found = list(map(self.words.get, pieces))
+        if None in found:
+            self.remember(self.words, pieces, lambda p: self.word_entry(p if p.isascii() else p.translate(_BYTES_OF)))
+            found = list(map(self.words.get, pieces))
+        return found
+
+    def chunk(self, chunk: bytes) -> tuple[str, str, int]:
+        """Any run without ASCII spaces: special tokens, then the library's pre-tokens."""
+        out = []
+        text = chunk.decode("utf-8")
+        for part in self.split.split(text) if self.split else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append((self.digits[self.special[part]], part, 1))
             elif part:
-                for word in self.pretokens(part):
-                    found = self.lexicon.get(word.encode()) if self.lexicon else None
-                    out += self.merger.ids(word) if found is None else found
-        return out
-
-    def entry(self, chunk: bytes) -> tuple[str, str, int]:
-        """Ids and decoded text of a chunk, each joined by spaces, and how many ids."""
-        got = self.known.get(chunk)
-        if got is None:
-            ids = self.chunk_ids(chunk.decode("utf-8"))
-            got = (" ".join(map(str, ids)), " ".join(self.names[i] for i in ids), len(ids))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[chunk] = got
-        return got
+                out += [self.word_entry(w) for w in self.pretokens(part)]
+        return " ".join([e[0] for e in out]), " ".join([e[1] for e in out]), sum(e[2] for e in out)
 
     def encode(self, text: str) -> tuple[str, str, int]:
-        """As :meth:`entry`, of a whole text. bytes.split() cuts at the six ASCII spaces."""
-        found = [e for c in text.encode("utf-8").split() if (e := self.entry(c))[2]]
+        """Ids and decoded text, each joined by spaces, and how many ids."""
+        if self.short and _LATIN.fullmatch(text) and not (self.split and self.split.search(text)):
+            found = self.latin(text)
+        else:
+            chunks = text.encode("utf-8").split()  # cuts at the six ASCII spaces
+            if len(self.chunks) > REMEMBERED:
+                self.chunks.clear()
+            self.remember(self.chunks, chunks, self.chunk)
+            found = [e for c in chunks if (e := self.chunks[c])[2]]
         return " ".join([e[0] for e in found]), " ".join([e[1] for e in found]), sum([e[2] for e in found])
 
 
