@@ -3,9 +3,11 @@
 Every document becomes the set of its 5-word shingles (A-Z lower-cased). Equal sets collapse to one class first. A class is
 sketched by the smallest hash in each of ``BINS`` ranges of one hash; an empty bin copies a bin that a fixed
 pseudo-random walk over the bins reaches first and that is not empty. ``ROWS`` bins form a band, classes that share a band's
-bucket are candidates: first each member with the smallest of its bucket (a star), then, for buckets that the
-confirmed links leave in several components, the pairs across components. All links are confirmed on the full
-sets, and components of links are the result.
+bucket are candidates: first each member with its bucket's centre (a star; the centre is the member that meets most
+others in all its buckets), then, for buckets that the confirmed links leave in several components, those pairs across
+components that could be similar enough. What a member lacks of the centre and has beyond it, each hashed to 512 bits,
+bounds what two members can share, so most pairs end at that bound, which never excludes a link. All links are confirmed
+on the full sets, and components of links are the result.
 
 A pair at similarity s shares no bucket with probability (1 - s^ROWS)^(BINS / ROWS): 2e-5 at 0.75.
 
@@ -21,11 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratacat.operators.components import components
+
 from . import common as C
-from .components import components
 
 WIDTH, NEED = 5, 75
 BINS, ROWS = 200, 5
@@ -116,14 +119,46 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, need: int = NEED) -> DataFrame:
-    """The pairs ``a, b`` whose full sets have 100 * intersection >= need * union."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a centre ``a`` and a member ``b``: the size of the intersection, and bits of what ``b`` has beyond ``a`` (8 numbers) and lacks of it (8 more)."""
+
+    def bits(h: np.ndarray) -> np.ndarray:
+        flags = np.zeros(512, np.uint8)
+        flags[(h >> np.uint64(7)) & np.uint64(511)] = 1
+        return np.packbits(flags).view(np.int64)
+
+    for batch in batches:
+        both, marks = [], []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
+            both.append(len(np.intersect1d(x, y, assume_unique=True)))
+            marks.append(np.concatenate([bits(np.setdiff1d(y, x, assume_unique=True)), bits(np.setdiff1d(x, y, assume_unique=True))]))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], ["a", "b", "both", "marks"])
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, need: int = NEED) -> DataFrame:
+    """The pairs ``a, b`` whose full sets have 100 * intersection >= need * union."""
+    joined = _with_sets(pairs, sets).withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
     return joined.filter(100 * F.col("both") >= need * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
 
 
+def _most_shared() -> Column:
+    """No two members of a bucket (columns ``..._x`` and ``..._y``) share more than this; null where the centre was not compared with both.
+
+    Of the centre they share at most what neither lacks; beyond it, at most what one has and the other's bits don't rule out.
+    """
+    count = lambda cols: sum((F.bit_count(c) for c in cols[1:]), F.bit_count(cols[0]))
+    x, y = [F.col("marks_x")[k] for k in range(16)], [F.col("marks_y")[k] for k in range(16)]
+    own = lambda p, a, b: F.col(f"n_{p}") - F.col(f"both_{p}") - count([a[k].bitwiseAND(F.bitwise_not(b[k])) for k in range(8)])
+    return F.col("low_n_x") - count([x[k].bitwiseOR(y[k]) for k in range(8, 16)]) + F.least(own("x", x, y), own("y", y, x))
+
+
 def linked(docs: DataFrame, need: int = NEED) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     sig = C.cut(signatures(docs))
@@ -134,24 +169,29 @@ def linked(docs: DataFrame, need: int = NEED) -> DataFrame:
     own = known.join(classes, "digest").join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
     reps = known.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     rows = reps.select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
-    many = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket", "low")
-    shared = C.cut(rows.join(many, "bucket"))  # (node, n, bucket, low): members of buckets with several
+    many = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("m")).filter("least < most").select("bucket", "m")
+    members = C.cut(rows.join(many, "bucket"))  # (node, n, bucket, m): members of buckets with several
+    weights = C.cut(members.groupBy("node").agg(F.sum("m").alias("weight"), F.min("n").alias("n")))
+    centre = members.join(weights.select("node", "weight"), "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("c"))
+    shared = C.cut(members.join(centre.select("bucket", F.col("c.node").alias("low"), F.col("c.n").alias("low_n")), "bucket").filter("node <> low").select("bucket", "node", "n", "low", "low_n"))
     # a pair can only be similar enough if the smaller set has need % of the larger one's size
     fits = lambda x, y: 100 * F.least(x, y) >= need * F.greatest(x, y)
-    sizes = shared.filter("node = low").select("bucket", F.col("n").alias("low_n"))
-    star = shared.filter("node <> low").join(sizes, "bucket").filter(fits(F.col("n"), F.col("low_n"))).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    members = C.cut(shared.select("node").distinct())
-    wanted = C.join_sized(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), members, "node", "left_semi").dropDuplicates(["node"])
+    star = shared.filter(fits(F.col("n"), F.col("low_n"))).select(F.col("low").alias("a"), F.col("node").alias("b"), "n", "low_n").distinct()
+    wanted = C.join_sized(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), weights.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = C.cut(wanted.mapInArrow(_sets, "node long, set array<bigint>"))
-    first = C.cut(confirmed(star, sets, need))
+    compared = C.cut(_with_sets(star.select("a", "b"), sets).select("a", "b", "set_a", "set_b").mapInArrow(_compare, "a long, b long, both int, marks array<bigint>"))
+    first = C.cut(star.join(compared, ["a", "b"]).filter(100 * F.col("both") >= need * (F.col("n") + F.col("low_n") - F.col("both"))).select("a", "b"))
     grouped = components(first)
-    # members of one bucket that are still apart
-    now = shared.join(grouped, "node", "left").select("bucket", "node", "n", "low", F.coalesce("component", "node").alias("component"))
-    apart = now.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("bucket")
-    open_ = C.cut(now.join(apart, "bucket").filter("node <> low").distinct())
-    x = open_.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    # members of one bucket that are still apart, its centre included; the centre's own pairs are done
+    whole = shared.select("bucket", "node", "n", "low", "low_n").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = whole.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("bucket")
+    known_marks = compared.select(F.col("a").alias("low"), F.col("b").alias("node"), "both", "marks")
+    open_ = C.cut(whole.join(apart, "bucket", "left_semi").distinct().join(known_marks, ["low", "node"], "left"))
+    x, y = (open_.select("bucket", *[F.col(c).alias(f"{c}_{p}") for c in ("node", "n", "low_n", "component", "both", "marks")]) for p in "xy")
+    most = _most_shared()
+    possible = F.coalesce(100 * most >= need * (F.col("n_x") + F.col("n_y") - most), F.lit(True))
+    apart_pair = (x["bucket"] == y["bucket"]) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & fits(F.col("n_x"), F.col("n_y"))
+    across = x.join(y, apart_pair & possible).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     links = first.unionByName(confirmed(across, sets, need)).unionByName(own)
     comps = components(links)
     by_class = classes.join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
