@@ -1,7 +1,7 @@
 """Personal data: base patterns plus bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are what four base patterns match. The one or two words left of an identifier-like token (one that
-holds a digit or an @) are its patterns. Patterns and tokens form a graph; each round scores patterns by the
+Seeds are what four base patterns match. The one or two words left of an identifier-like token (one with an @ or six digits)
+are its patterns. Patterns and tokens form a graph; each round scores patterns by the
 belief in their tokens and tokens by the scores of their patterns. Patterns that end above a confidence, with
 enough different seeds, mark tokens that no base pattern saw.
 
@@ -30,28 +30,40 @@ PATTERNS = {
 #: Cheap tests that every text with a match passes.
 _MAY = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]{2}|[0-9][ -][0-9]", "phone": "\\+[0-9]"}
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+#: Only tokens with an @ or six digits can be identifiers; a seed's first token (+1 of a phone number) is one too.
+LIKELY = r"@|^\+[0-9]|[0-9]\.[0-9]+\.[0-9]|(?:[0-9][^0-9]*){6}"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-SPANS = "array<struct<start:int,end:int>>"
+
+
+#: start and end in code points, the match, and up to 80 characters before it (back to the match before that one)
+SPAN_TYPE = "struct<start:int,end:int,m:string,left:string>"
+_GROUP = 256
 
 
 def _found(text: Column, pattern: str, keep) -> Column:
-    """Spans of the matches that ``keep`` accepts, in code points, left to right.
+    """Spans of the matches that ``keep`` accepts, left to right.
 
     The pieces between matches and the matches themselves alternate, so running sums of their lengths are
-    the positions.
+    the positions. Accepted spans gather in groups, which keeps the work in proportion to the text however many there are.
     """
-    pieces = F.transform(F.split(text, pattern, -1), F.char_length)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(hits, F.slice(pieces, 1, F.size(hits)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap"), F.char_length(m).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + x["n"]
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("m")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
+    def spans(cuts):
+        steps = F.transform(cuts["hits"], lambda m, i: F.struct(m.alias("m"), F.get(cuts["pieces"], i).alias("gap"), F.when(i > 0, F.concat(F.right(F.get(cuts["pieces"], i - 1), F.lit(80)), F.right(F.get(cuts["hits"], i - 1), F.lit(80)))).otherwise("").alias("before")))
+        empty = F.array().cast(f"array<{SPAN_TYPE}>")
+        start = F.struct(F.lit(0).alias("at"), empty.alias("group"), F.array().cast(f"array<array<{SPAN_TYPE}>>").alias("full"))
+
+        def step(acc, x):
+            begin = acc["at"] + F.char_length(x["gap"])
+            end = begin + F.char_length(x["m"])
+            one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(F.concat(x["before"], x["gap"]), F.lit(80)).alias("left")))
+            whole = F.size(acc["group"]) >= _GROUP
+            group = F.when(~keep(x["m"]), acc["group"]).when(whole, one).otherwise(F.concat(acc["group"], one))
+            full = F.when(keep(x["m"]) & whole, F.concat(acc["full"], F.array(acc["group"]))).otherwise(acc["full"])
+            return F.struct(end.alias("at"), group.alias("group"), full.alias("full"))
+
+        return F.aggregate(steps, start, step, lambda acc: F.concat(F.flatten(acc["full"]), acc["group"]))
 
-    return F.filter(F.aggregate(steps, start, step, lambda acc: acc["out"]), lambda s: keep(s["m"]))
+    return C.let(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), spans)
 
 
 def _luhn(digits: Column) -> Column:
@@ -82,26 +94,27 @@ _KEEP = {
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``pii_<kind>``: arrays of (start, end, m) for each base kind."""
     body = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    none = F.array().cast(f"array<{SPAN_TYPE}>")
     return docs.withColumns({f"pii_{k}": F.when(body.rlike(_MAY[k]), _found(body, PATTERNS[k], _KEEP[k])).otherwise(none) for k in KINDS})
 
 
 def _named(kind: str):
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"))
+    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["m"].alias("m"))
 
 
 def candidates(based: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``pii_tokens``: identifier-like tokens with their span, the two words before them, and the base kind they overlap."""
+    """Adds ``pii_tokens``: identifier-like tokens with their span, the two words before them, and, of the base span they overlap, kind and text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = F.when(body.rlike("[0-9@]"), _found(body, TOKEN, lambda m: F.lit(True))).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))
+    found = F.when(body.rlike("[0-9@]"), _found(body, TOKEN, lambda m: m.rlike(LIKELY))).otherwise(F.array().cast(f"array<{SPAN_TYPE}>"))
     seeds = F.concat(*[F.transform(f"pii_{k}", _named(k)) for k in KINDS])
 
     def describe(both):
         def one(s):
-            left = F.lower(F.regexp_replace(F.substr(body, F.greatest(s["start"] - 80, F.lit(0)) + 1, F.least(s["start"], F.lit(80))), "[0-9]", "0"))
+            left = F.lower(F.regexp_replace(s["left"], "[0-9]", "0"))
             before = F.regexp_extract(left, r"(\S+[\x20\x09]+)?(\S+)[\x20\x09]+$", 0)
             overlap = F.filter(both["seeds"], lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), F.btrim(before).alias("ctx"), F.get(overlap, F.lit(0))["kind"].alias("kind"))
+            seed = F.get(overlap, F.lit(0))
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(seed["m"], s["m"]).alias("m"), F.btrim(before).alias("ctx"), seed["kind"].alias("kind"))
 
         return F.transform(both["found"], one)
 
