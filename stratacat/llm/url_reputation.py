@@ -99,4 +99,34 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(C.table(spark, sf_dir, "pages").select("page_id", "url"), C.table(spark, sf_dir, "labels"))
+    found = judge(C.table(spark, sf_dir, "pages").select("page_id", "url"), C.table(spark, sf_dir, "labels"))
+    return found.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_low")})
+
+
+def _oracle() -> str:
+    ordered = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in ordered]
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
+
+    def prior(name: str, counts: str, parent: str) -> str:
+        return f"""
+, {name}0 AS (SELECT c.*, greatest(least(q.mean, 0.999), 0.001) AS m FROM {counts} c {parent})
+, {name}1 AS (SELECT 1 / coalesce(greatest(least((sum((bad - n * m) ** 2 / (m * (1 - m))) - sum(n)) / sum(n * (n - 1)), CAST(1 AS DOUBLE) / 3), CAST(1 AS DOUBLE) / 1001), CAST(1 AS DOUBLE) / 3) - 1 AS weight FROM {name}0 WHERE n > 1)
+, {name} AS (SELECT *, alpha / (alpha + beta) AS mean FROM (SELECT {name}0.*, m * weight + bad AS alpha, (1 - m) * weight + n - bad AS beta FROM {name}0, {name}1))"""
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+, o AS (SELECT doc_id AS page_id, CASE WHEN min(quality) = 0 THEN 1 ELSE 0 END AS is_bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1)
+, h0 AS (SELECT host, count(is_bad) AS n, CAST(coalesce(sum(is_bad), 0) AS BIGINT) AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM (SELECT DISTINCT page_id, host FROM p) LEFT JOIN o USING (page_id) GROUP BY host)
+, h1 AS (SELECT *, string_split(bare, '.') AS parts, regexp_matches(bare, '^[0-9.]+$|^\\[') AS address FROM h0)
+, h2 AS (SELECT *, CASE WHEN len(parts) >= 3 AND length(parts[-1]) = 2 AND parts[-2] IN ({', '.join(f"'{x}'" for x in SECOND_LEVEL)}) THEN 3 ELSE 2 END AS wide FROM h1)
+, hosts AS (SELECT host, n, bad, CASE WHEN address THEN bare ELSE array_to_string(parts[greatest(len(parts) - wide + 1, 1):], '.') END AS domain, CASE WHEN address THEN '' ELSE array_to_string(parts[greatest(len(parts) - wide + 2, 1):], '.') END AS suffix FROM h2)
+, domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL)
+, suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL)
+, everything AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS mean FROM suffixes){prior("ps", "suffixes", ", everything q")}{prior("pd", "domains", "LEFT JOIN ps q USING (suffix)")}{prior("ph", "hosts", "LEFT JOIN pd q USING (domain)")}
+, r AS (SELECT host, mean, greatest(mean - {WIDTH} * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))), 0) AS low FROM ph)
+SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, CASE WHEN host <> '' AND low > {MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_rate, round(low, 6) AS bad_low FROM p LEFT JOIN r USING (host)"""
+
+
+ORACLE = _oracle()
