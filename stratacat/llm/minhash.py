@@ -210,3 +210,17 @@ def deduplicate(docs: DataFrame, need: int = NEED) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linked(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents)
+, s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0))
+, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
+, p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+, l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common))
+, e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l)
+, reach(node, root) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, r.root FROM reach r JOIN e ON e.u = r.node)
+, c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id"""

@@ -145,3 +145,32 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = C.cut(cutoffs(found, C.table(spark, sf_dir, "labels")))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judge(found, cuts).select("doc_id", *[F.col(TAG + c).alias(c) for c in base], F.array_join(f"{TAG}rejected_by", ",").alias("rejected_by"))
+
+
+def _oracle() -> str:
+    import math
+
+    space = r"[\x20\x09-\x0D]+"
+    rules = list(LADDERS)
+    level = f"{math.log(DELTA / sum(map(len, LADDERS.values())))!r} - ln((SELECT count(*) FROM c))"
+    tail = lambda k: f"(SELECT ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * {math.log(RISK)!r} + (n - i) * {math.log1p(-RISK)!r}))) FROM range(0, {k} + 1) t(i))"
+    first = lambda r: "coalesce(" + ", ".join(f"CASE WHEN {r}__{i} <= n * {RISK} AND {tail(f'{r}__{i}')} <= {level} THEN {c} END" for i, c in enumerate(LADDERS[r])) + ")"
+    counts = ", ".join(f"count(*) FILTER (WHERE {r} > {c}) AS {r}__{i}" for r in rules for i, c in enumerate(LADDERS[r]))
+    by = "concat_ws(',', " + ", ".join(f"CASE WHEN {r} > cut_{r} THEN '{r}' END" for r in rules) + ")"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents)
+, w AS (SELECT *, list_filter(regexp_split_to_array(text, '{space}'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d)
+, g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS times FROM (SELECT rid, i, concat_ws(chr(31), w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)))
+, rep AS (SELECT rid, count(DISTINCT k) AS n_rep FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS k FROM g WHERE times > 1) GROUP BY rid)
+, f AS (SELECT w.rid, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{space}', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper FROM w LEFT JOIN rep USING (rid))
+, s AS (SELECT *, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbols, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_lines, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_words, coalesce(word_chars / nullif(n_words, 0), 0) AS long_words,
+  coalesce(n_upper / nullif(word_chars, 0), 0) AS upper, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+, good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1)
+, c AS (SELECT lang, count(*) AS n, {counts} FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY lang)
+, cuts AS (SELECT lang AS cut_lang, {", ".join(f"{first(r)} AS cut_{r}" for r in rules)} FROM c)
+, j AS (SELECT *, {by} AS rejected_by FROM s LEFT JOIN cuts ON lang IS NOT DISTINCT FROM cut_lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM j"""
+
+
+ORACLE = _oracle()

@@ -16,4 +16,9 @@ QUERIES = {
     "op9_quality_weak_labels": weak_quality.query,
     "op10_url_reputation": url_reputation.query,
 }
-ORACLE: dict[str, str] = {"op7_warc_zstd": warc.ORACLE, "op10_url_reputation": url_reputation.ORACLE}
+ORACLE: dict[str, str] = {
+    "op4_minhash_oph": minhash.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
+    "op7_warc_zstd": warc.ORACLE,
+    "op10_url_reputation": url_reputation.ORACLE,
+}
