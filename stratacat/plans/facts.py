@@ -91,6 +91,7 @@ ORACLE = {
 WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) AS base, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
   list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(split_part(p, '=', 1), '{_TRACK}')) AS q FROM pages)
 SELECT page_id, concat(base, CASE WHEN path = '' THEN '/' ELSE path END, CASE WHEN len(q) > 0 THEN concat('?', array_to_string(list_sort(q), '&')) ELSE '' END) AS canonical FROM u""",
+    "f_fnv1a": "SELECT page_id, lower(to_hex(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(url, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295))) AS h FROM pages",
     "f_page_title": f"SELECT page_id, trim({_TITLE}) AS title FROM pages",
     "f_html_to_text": f"SELECT page_id, md5(trim(regexp_replace({_ENT}, '\\s+', ' ', 'g'))) AS text_md5 FROM pages",
     "f_links": "SELECT href, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href=[\"'']([^\"'']*)', 1)) AS href FROM pages) GROUP BY href",
