@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MODEL = "word_bpe_49k.json"
-#: At most so many words are compiled (about 1 MB), and a worker remembers at most so many chunks and so many words.
-LEXICON_WORDS, REMEMBERED = 50_000, 300_000
+#: At most so many words are compiled (about 4 MB), and a worker remembers at most so many chunks and twice as many words.
+LEXICON_WORDS, REMEMBERED = 200_000, 180_000
 
 
 #: Byte-level BPE writes every byte as one character: printable ones as themselves, the others from 256 on.
@@ -55,24 +55,29 @@ class Merger:
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
 
-    def ids(self, word: str) -> list[int]:
+    def tokens(self, word: str) -> list[str]:
         parts = list(word)
         parts[-1] += self.suffix
-        return [self.vocab[p] for p in (self._few(parts) if len(parts) <= 40 else self._many(parts))]
+        return self._few(parts) if len(parts) <= 40 else self._many(parts)
+
+    def ids(self, word: str) -> list[int]:
+        return [self.vocab[p] for p in self.tokens(word)]
 
     def _few(self, parts: list[str]) -> list[str]:
         """Looks through all pairs for each merge."""
-        rank = self.rank
-        none = len(rank)
-        ranks = [rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
-        while ranks and (best := min(ranks)) < none:
+        get, none = self.rank.get, len(self.rank)
+        ranks = [get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
             i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+            parts[i] = whole = parts[i] + parts[i + 1]
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank.get((parts[i - 1], parts[i]), none)
+                ranks[i - 1] = get((parts[i - 1], whole), none)
             if i < len(ranks):
-                ranks[i] = rank.get((parts[i], parts[i + 1]), none)
+                ranks[i] = get((whole, parts[i + 1]), none)
         return parts
 
     def _many(self, parts: list[str | None]) -> list[str]:
@@ -200,8 +205,10 @@ class Encoder:
         self.special, self.split = special, re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.names = {i: t for t, i in (spec["model"]["vocab"] | special).items()}
         self.digits = {i: str(i) for i in self.names}
+        self.written = {name: str(i) for i, name in self.names.items()}
         self.chunks: dict[bytes, tuple[str, str, int]] = {}
         self.words: dict[str, tuple[str, str, int]] = {}
+        self.older: dict[str, tuple[str, str, int]] = {}
         # the short way holds only if it agrees with the library on a text of all its characters
         probe = "".join(map(chr, [*range(33, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])) + "I'll we're 42x"
         cut = lambda x: [p if p.isascii() else p.translate(_BYTES_OF) for p in _LATIN_PIECES.findall(x.lower())]
@@ -213,9 +220,8 @@ class Encoder:
     def word_entry(self, word: str) -> tuple[str, str, int]:
         """Ids and decoded text of a pre-token, each joined by spaces, and how many ids."""
         ids = self.lexicon.get(word.encode()) if self.lexicon else None
-        if ids is None:
-            ids = self.merger.ids(word)
-        return " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids]), len(ids)
+        names = self.merger.tokens(word) if ids is None else [self.names[i] for i in ids]
+        return " ".join([self.written[x] for x in names]), " ".join(names), len(names)
 
     def remember(self, known: dict, keys, make) -> None:
         for k in keys:
@@ -225,12 +231,16 @@ class Encoder:
     def latin(self, text: str) -> list[tuple[str, str, int]]:
         """The short way for texts of printable ASCII, ASCII spaces and Latin-1 letters: these lower-case one to one and are in normal form."""
         pieces = _LATIN_PIECES.findall(text.lower())
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        found = list(map(self.words.get, pieces))
+        if len(self.words) > REMEMBERED:  # the words since the last change stay at hand until the next one
+            self.older, self.words = self.words, {}
+        words = self.words
+        found = list(map(words.get, pieces))
         if None in found:
-            self.remember(self.words, pieces, lambda p: self.word_entry(p if p.isascii() else p.translate(_BYTES_OF)))
-            found = list(map(self.words.get, pieces))
+            older = self.older.get
+            for p in pieces:
+                if p not in words:
+                    words[p] = older(p) or self.word_entry(p if p.isascii() else p.translate(_BYTES_OF))
+            found = list(map(words.get, pieces))
         return found
 
     def chunk(self, chunk: bytes) -> tuple[str, str, int]:
