@@ -140,12 +140,12 @@ def _pick(candidates: list[tuple[str, float]], many: int) -> list[str]:
     """Greedily the best-scored words of which none is too much like a chosen one; then the best of the rest."""
     names = [w for w, _ in candidates]
     chosen: list[int] = []
-    if names:
-        close = Kernel(names).of(names)
-        for limit in (0.6, 0.8, 1.1):
-            for k in range(len(names)):
-                if len(chosen) < many and k not in chosen and all(close[k, c] < limit for c in chosen):
-                    chosen.append(k)
+    nearest = np.zeros(len(names), np.float32)  # kernel with the nearest chosen word
+    for limit in (0.6, 0.8, 1.1):
+        for k, name in enumerate(names):
+            if len(chosen) < many and k not in chosen and nearest[k] < limit:
+                chosen.append(k)
+                nearest = np.maximum(nearest, Kernel([name]).of(names)[:, 0])
     return [names[k] for k in chosen]
 
 
