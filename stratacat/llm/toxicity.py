@@ -208,8 +208,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, fl
     if not landmarks:
         return [], np.zeros(0), float(np.log(shares[1] / shares[0]))
     run = _kernels(landmarks, lambda k: [pa.array(list(k.astype(float)), pa.list_(pa.float64()))], ["k"])
-    rows = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, k array<double>").orderBy("doc_id").collect()  # bounded
-    x, y = np.array([r.k for r in rows]), np.array([1.0 if r.y else -1.0 for r in rows])
+    rows = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, k array<double>").orderBy("doc_id").toArrow()  # bounded; numbers stay packed
+    y = np.where(rows.column("y").to_numpy() > 0, 1.0, -1.0)
+    x = rows.column("k").combine_chunks().flatten().to_numpy().reshape(len(y), len(landmarks))
     own = Kernel(landmarks).of(landmarks).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T

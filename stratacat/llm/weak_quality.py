@@ -115,17 +115,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fit(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels; trigram shares are scaled by their spread. Accelerated gradient steps."""
-    scale = 1 / (x.std(axis=0) + 1e-4)
+    scale = (1 / (x.std(axis=0) + 1e-4)).astype(np.float32)
     mean = x.mean(axis=0)
     z = (x - mean) * scale
-    size = 4 / (np.square(z).sum(axis=1).mean() + 1)
-    w, v, b, vb = np.zeros(z.shape[1]), np.zeros(z.shape[1]), 0.0, 0.0
+    size = 4 / (np.einsum("ij,ij->i", z, z).mean() + 1)
+    w, v, b, vb = np.zeros(z.shape[1], np.float32), np.zeros(z.shape[1], np.float32), 0.0, 0.0
     for t in range(steps):
         ahead, ahead_b = w + t / (t + 3) * v, b + t / (t + 3) * vb
-        g = 1 / (1 + np.exp(-np.clip(z @ ahead + ahead_b, -30, 30))) - y
-        nw, nb = ahead - size * (z.T @ g / len(y) + reg * ahead), ahead_b - size * g.mean()
+        g = (1 / (1 + np.exp(-np.clip(z @ ahead + ahead_b, -30, 30))) - y).astype(np.float32)
+        nw, nb = (ahead - size * (g @ z / len(y) + reg * ahead)).astype(np.float32), ahead_b - size * float(g.mean())
         v, vb, w, b = nw - w, nb - b, nw, nb
-    return w * scale, float(b - (mean * scale) @ w)
+    return (w * scale).astype(float), float(b - (mean * scale) @ w)
 
 
 def train(docs: DataFrame, posterior: DataFrame) -> tuple[np.ndarray, float] | None:
@@ -135,12 +135,11 @@ def train(docs: DataFrame, posterior: DataFrame) -> tuple[np.ndarray, float] | N
     chosen = C.cut(sure.filter(F.col("p") >= CONFIDENT).orderBy(order, "doc_id").limit(TRAIN_PER_CLASS).unionByName(sure.filter(F.col("p") <= 1 - CONFIDENT).orderBy(order, "doc_id").limit(TRAIN_PER_CLASS)))
     picked = chosen.groupBy("doc_id").agg(F.avg("p").alias("y"))  # at most 2 * TRAIN_PER_CLASS rows
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    rows = texts.orderBy("doc_id").select("y", "text").mapInArrow(_features, "y double, x array<float>").collect()  # bounded
-    y = np.array([r.y for r in rows])
+    rows = texts.orderBy("doc_id").select("y", "text").mapInArrow(_features, "y double, x array<float>").toArrow()  # bounded; numbers stay packed
+    y = rows.column("y").to_numpy()
     if not len(y) or y.min() > 0.5 or y.max() < 0.5:
         return None
-    x = np.array([r.x for r in rows], np.float32)
-    return _fit(x, y)
+    return _fit(rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), BUCKETS), y)
 
 
 def classify(docs: DataFrame) -> DataFrame:
