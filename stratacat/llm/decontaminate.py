@@ -24,8 +24,9 @@ SPAN, MIN_WORDS = 13, 5
 #: Kept positions of each mask, out of SPAN words. One substituted word anywhere leaves at least one of them whole.
 MASKS = [[0, 1, 3, 4, 6, 7, 9, 10, 12], [0, 2, 3, 5, 6, 8, 9, 11, 12], [1, 2, 4, 5, 7, 8, 10, 11]]
 AROUND, NEED = 16, 0.8
-#: At most so many benchmark windows are broadcast (about 0.5 KB each); more are joined by a shuffle.
+#: At most so many benchmark windows, and bytes of them as counted, are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def _hashes(text: Column) -> Column:
@@ -36,52 +37,61 @@ def _at(words: Column, p: Column, offsets: list[int]) -> Column:
     return F.xxhash64(*[F.get(words, p + o) for o in offsets])
 
 
-def _seeds(rows: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
-    """One row per position and mask that fits: ``p, seed``. ``w`` has the word hashes."""
+def _seeds(rows: DataFrame, lengths: list[int], *keep: str, masks: bool = True) -> DataFrame:
+    """One row per position and mask that fits: ``p`` (of the first kept word), ``seed``. ``w`` has the word hashes."""
     w, p = F.col("w"), F.col("p")
-    long = [F.when(p + SPAN <= F.size(w), F.xxhash64(F.lit(i), _at(w, p, mask))) for i, mask in enumerate(MASKS)]
+    shifted = [[o - mask[0] for o in mask] for mask in MASKS] if masks else []
+    long = [F.when(p + m[-1] < F.size(w), F.xxhash64(F.lit(i), _at(w, p, m))) for i, m in enumerate(shifted)]
     short = [F.when(p + n <= F.size(w), F.xxhash64(F.lit(-n), _at(w, p, list(range(n))))) for n in lengths]
-    spread = rows.filter(F.size("w") >= min([*lengths, SPAN])).select(*keep, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("p"))
+    least = min([*lengths, *[m[-1] + 1 for m in shifted]])
+    spread = rows.filter(F.size("w") >= least).select(*keep, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("p"))
     return spread.select(*keep, "w", "p", F.explode(F.array(*long, *short)).alias("seed")).filter(F.col("seed").isNotNull())
 
 
-def _same(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+def _same() -> Column:
+    """A bit for each word of ``around`` that the document has in the same place, the words of the text ``w`` lined up at ``p``."""
+    here = lambda k: F.get("w", F.col("p") + (k - AROUND + 1)) == F.get("around", F.lit(k))
+    bits = [F.when(here(k), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(2 * AROUND - 1)]
+    return sum(bits[1:], bits[0])
 
 
-def _verified(doc_words: Column, p: Column, item_words: Column, q: Column) -> Column:
-    """Whether ``AROUND`` aligned words around the hit agree well enough; the window stays inside both texts where it can."""
-    n = F.size(item_words)
-    wide = F.least(n, F.lit(AROUND))
-    low = F.greatest(F.lit(0), q - p)  # first item word with a partner
-    high = F.least(n, q - p + F.size(doc_words))  # after the last one
-    start = F.greatest(low, F.least(q - F.floor((F.lit(AROUND) - SPAN) / 2).cast("int"), high - wide))
-    length = F.least(wide, high - start)
-    same = _same(F.slice(item_words, start + 1, length), F.slice(doc_words, p - q + start + 1, length))
-    return (same >= wide * NEED) & (length > 0)
+def _agrees() -> Column:
+    """Whether any window of ``wide`` words that has the hit's first word agrees well enough. Places outside either text never do, so the best window is inside both where one can be."""
+    ones = F.call_function("shiftleft", F.lit(1), F.col("wide")) - 1
+    best = F.greatest(*[F.bit_count(F.shiftright("same", k).bitwiseAND(ones)) for k in range(AROUND)])
+    return best >= F.col("wide") * NEED
+
+
+def _windows(items: DataFrame, lengths: list[int]) -> DataFrame:
+    """``seed, item_id, wide, around``: a row for each seed of each place, all of one fixed size, however long an item is and however many share a seed.
+
+    ``around`` has the words from AROUND - 1 before the place to AROUND - 1 after it, null outside the item.
+    """
+    parts = [_seeds(items.filter(F.size("w") >= SPAN), [], "item_id"), *[_seeds(items.filter(F.size("w") == n), [n], "item_id", masks=False) for n in lengths]]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    around = F.array(*[F.get("w", F.col("p") + o) for o in range(1 - AROUND, AROUND)])
+    return rows.select("seed", "item_id", F.least(F.size("w"), F.lit(AROUND)).alias("wide"), around.alias("around")).distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Verified pairs ``doc_id, text_hash, item_id`` (distinct); rows of ``docs`` are told apart by id and text hash."""
     items = benchmark.select("item_id", _hashes(F.col("text")).alias("w")).filter(F.size("w") >= MIN_WORDS)
     lengths = sorted(r.n for r in items.filter(F.size("w") < SPAN).select(F.size("w").alias("n")).distinct().collect())  # at most SPAN - MIN_WORDS values
-    whole = items.filter(F.size("w") >= SPAN)
-    parts = [_seeds(whole, [], "item_id"), *[_seeds(items.filter(F.size("w") == n), [n], "item_id") for n in lengths]]
-    windows = parts[0]
-    for more in parts[1:]:
-        windows = windows.unionByName(more)
-    # one row per seed, with all places where the benchmark has it
-    known = C.cut(windows.groupBy("seed").agg(F.collect_set(F.struct("item_id", F.col("p").alias("q"), F.col("w").alias("item_w"))).alias("places")))
+    known = C.cut(_windows(items, lengths))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _hashes(F.col("text")).alias("w"))
     seeds = _seeds(rows, lengths, "doc_id", "text_hash")
-    if known.limit(broadcast_windows + 1).count() <= broadcast_windows:
+    size = known.limit(broadcast_windows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(56 + 8 * F.size("around")), F.lit(0)).alias("bytes")).first()
+    if size.n <= broadcast_windows and size.bytes <= BROADCAST_BYTES:
         hits = seeds.join(F.broadcast(known), "seed")
     else:  # only ids travel; the words are fetched again for rows with a hit
         places = seeds.select("doc_id", "text_hash", "p", "seed").join(known, "seed")
         r = rows.withColumnsRenamed({"doc_id": "d2", "text_hash": "h2"}).dropDuplicates(["d2", "h2"])
         hits = places.join(r, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("text_hash") == F.col("h2")))
-    found = F.filter("places", lambda x: _verified(F.col("w"), F.col("p"), x["item_w"], x["q"]))
-    return hits.select("doc_id", "text_hash", F.explode(F.transform(found, lambda x: x["item_id"])).alias("item_id")).distinct()
+    # behind an explode, so that the filter does not repeat the comparison
+    compared = hits.select("doc_id", "text_hash", "item_id", "wide", F.explode(F.array(_same())).alias("same"))
+    return compared.filter(_agrees()).select("doc_id", "text_hash", "item_id").distinct()
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

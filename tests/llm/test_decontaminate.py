@@ -56,3 +56,15 @@ def test_every_single_substitution_leaves_a_mask():
 def test_null_ids_stay(spark):
     docs = documents(spark, [(None, ITEM, "en", "x", 0), (None, "fine", "en", "x", 0)])
     assert [r.text for r in D.clean(docs, bench(spark, [(1, ITEM)])).collect()] == ["fine"]
+
+
+def test_benchmark_rows_stay_small(spark, monkeypatch):
+    """Neither long items nor seeds that many items share make a row of the benchmark's windows larger."""
+    shared = " ".join(f"say{i}" for i in range(20))
+    items = [(k, shared + " " + " ".join(f"i{k}w{j}" for j in range(400))) for k in range(12)]
+    seen, cut = [], D.C.cut
+    monkeypatch.setattr(D.C, "cut", lambda df: seen.append(df) or cut(df))
+    docs = documents(spark, [(1, items[3][1], "en", "x", 0), (2, "fine", "en", "x", 0)])
+    got = {(r.doc_id, r.item_id) for r in D.overlaps(docs, bench(spark, items)).collect()}
+    assert got == {(1, k) for k in range(12)}
+    assert seen and all(df.selectExpr("max(length(to_json(struct(*)))) AS n").first().n < 1_000 for df in seen)
