@@ -1,11 +1,12 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-A seed is a window of ``SPAN`` words of which a fixed mask keeps some; two windows with the same hash of kept words
-may differ at the others. Windows of benchmark items are hashed under each mask and joined with the windows of all
+A seed is a few words of a window, kept by a fixed mask; two windows with the same hash of kept words may differ at the
+others. Windows of benchmark items are hashed under each mask and joined with the windows of all
 documents. A hit fixes how item and document line up; around it the words are compared, and the overlap counts
-if at least ``need`` of ``around`` aligned words (all of a shorter item) are the same.
+if at least ``need`` of ``around`` aligned words (all of a shorter item) are the same in any window with the hit.
+No such overlap is without a hit (see ``MASKS``), so the seeds lose nothing that the rule accepts.
 
-Items of fewer words than a mask are looked for as whole, unchanged runs; items of fewer than ``MIN_WORDS`` words are
+Items of fewer than ``SPAN`` words are looked for as whole, unchanged runs; items of fewer than ``MIN_WORDS`` words are
 too common to mean anything and are never matched.
 
 Words are runs without white space, lower-cased. Defined cases: null and empty texts are clean; an empty
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SPAN, MIN_WORDS = 13, 5
-#: Kept positions of each mask, out of SPAN words. One substituted word anywhere leaves at least one of them whole.
-MASKS = [[0, 1, 3, 4, 6, 7, 9, 10, 12], [0, 2, 3, 5, 6, 8, 9, 11, 12], [1, 2, 4, 5, 7, 8, 10, 11]]
+#: Kept positions of each mask: two blocks of three words at each distance that two of five blocks in a row can have.
+#: The rule accepts at most three changes in 16 or 15 words and two in 14 or 13. Three changes leave at least two of the five
+#: blocks in 15 words whole, two leave two of the four in 12, and the mask of their distance fits there; masks are looked for at every place.
+MASKS = [[0, 1, 2, 3, 4, 5], [3, 4, 5, 9, 10, 11], [0, 1, 2, 9, 10, 11], [0, 1, 2, 12, 13, 14]]
 AROUND, NEED = 16, 0.8
 #: At most so many benchmark windows, and bytes of them as counted, are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000

@@ -1,3 +1,6 @@
+import random
+from itertools import combinations
+
 from stratacat.llm import decontaminate as D
 
 from .cases import documents
@@ -68,3 +71,28 @@ def test_benchmark_rows_stay_small(spark, monkeypatch):
     got = {(r.doc_id, r.item_id) for r in D.overlaps(docs, bench(spark, items)).collect()}
     assert got == {(1, k) for k in range(12)}
     assert seen and all(df.selectExpr("max(length(to_json(struct(*)))) AS n").first().n < 1_000 for df in seen)
+
+
+def test_every_change_that_the_rule_accepts_leaves_a_mask():
+    shapes = [[o - m[0] for o in m] for m in D.MASKS]
+    for n in range(D.SPAN, D.AROUND + 1):
+        changes = n - next(k for k in range(n + 1) if k >= D.NEED * n)
+        for gone in combinations(range(n), changes):
+            assert any(all(p + o < n and p + o not in gone for o in m) for m in shapes for p in range(n))
+
+
+def test_changed_items_against_brute_force(spark):
+    rng = random.Random(5)
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in range(13, 27)] + [(90, "some other words " * 6)]
+    texts = {1000: " ".join(f"i20w{j}" if j not in (9, 10) else "new" for j in range(20)), 1001: " ".join(f"i16w{j}" for j in range(4, 16)), 1002: " ".join(f"i16w{j}" for j in range(3, 16))}
+    for n, item in items[:-1]:
+        for k in range(16):
+            words = item.split()
+            for place in rng.sample(range(n), 2 + k % 4):
+                words[place] = "new"
+            texts[n * 20 + k] = " ".join([*["pad"] * (k % 3), *words, *["end"] * (k % 2)])
+    want = {(k, i) for k, t in texts.items() for i in brute(t, items)}
+    assert (1000, 20) in want and (1002, 16) in want and 100 < len(want) < len(texts)
+    docs = documents(spark, [(k, t, "en", "x", 0) for k, t in texts.items()])
+    for bound in (D.BROADCAST_WINDOWS, 0):
+        assert {(r.doc_id, r.item_id) for r in D.overlaps(docs, bench(spark, items), broadcast_windows=bound).collect()} == want
