@@ -70,16 +70,22 @@ def _merge(s, d):
 
 
 def _woo(s, d):
-    """Supplier feeds made of lines: one JSON page per supplier, parsed again."""
+    """Supplier feeds made of lines: JSON pages of a supplier and a thousand order keys, parsed again. More lines make more pages, not longer ones."""
     price = (F.round(F.col("l_extendedprice") * 100)).cast("bigint")
     item = F.struct(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.concat(F.lit("https://Shop.example.com/p/"), F.col("l_partkey"), F.lit("/?utm_source=x&b=2&a=1#t")).alias("permalink"), F.concat(F.lit("A &amp; <b>"), F.col("l_partkey")).alias("name"),
         (F.col("l_linenumber") % 2 == 0).alias("is_in_stock"), F.struct(F.when(F.col("l_linenumber") == 3, "0").otherwise(price.cast("string")).alias("price"), F.lit(2).alias("currency_minor_unit")).alias("prices"),
     )
-    pages = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("source_id"), (F.col("l_orderkey") % 16).alias("page")).agg(F.to_json(F.collect_list(item)).alias("json"))
+    pages = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("source_id"), F.floor(F.col("l_orderkey") / 1000).alias("page")).agg(F.to_json(F.collect_list(item)).alias("json"))
     return feeds.woocommerce(pages).select("source_id", "pid", "url", "title", "price", "stock")
 
 
+def _sitemaps(s, d):
+    """Sitemaps of a thousand page ids each, parsed again."""
+    loc = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    return feeds.sitemap_urls(table(s, d, "pages").groupBy(F.floor(F.col("page_id") / 1000).alias("g")).agg(F.concat_ws("", F.collect_list(loc)).alias("xml")))
+
+
 def _hash_gate(s, d):
     p = table(s, d, "pages")
     old = p.filter("page_id % 2 = 0").select("page_id", F.sha2(F.when(F.col("page_id") % 4 == 0, F.col("html")).otherwise(F.lit("other")), 256).alias("hash"))
@@ -98,7 +104,7 @@ QUERIES = {
     "sink_insert_ignore": _ignore,
     "k_merge": _merge,
     "src_woo_feed": _woo,
-    "src_sitemap_urls": lambda s, d: feeds.sitemap_urls(table(s, d, "pages").groupBy((F.col("page_id") % 7).alias("g")).agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>")))).alias("xml"))),
+    "src_sitemap_urls": _sitemaps,
     "src_platform_probe": lambda s, d: table(s, d, "pages").select(F.coalesce(feeds.platform_of(F.col("html")), F.lit("none")).alias("platform")).groupBy("platform").agg(F.count("*").alias("n")),
     "t_hash_gate": _hash_gate,
     "t_windowed_counts": _windows,

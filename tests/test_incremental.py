@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from stratacat.operators.components import components
 from stratacat.operators.upsert import insert_ignore, update_if_unchanged
+from stratacat.plans.incremental import QUERIES
+from stratacat.sources import feeds
 from stratacat.streaming import catalog as ST
 
 SKU = "source_id long, pid string, url string, title string, price long, stock int, review_status string, flag string, first_seen long, last_seen long, misses int, dead int"
@@ -79,3 +81,19 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = {(r.start, r.event_type, r.n) for r in spark.table("counts").collect()}
     assert got == {(r.start, r.event_type, r.n) for r in ST.windowed_counts(spark.read.parquet(path)).collect()}
+
+
+def test_feed_pages_stay_small(spark, tmp_path, monkeypatch):
+    """Ten times the rows of one supplier, or of pages, make more feed pages, not longer ones."""
+    wide = {}
+    for name, parser, column in (("src_woo_feed", "woocommerce", "json"), ("src_sitemap_urls", "sitemap_urls", "xml")):
+        seen, parse = [], getattr(feeds, parser)
+        monkeypatch.setattr(feeds, parser, lambda df, parse=parse, seen=seen: seen.append(df) or parse(df))
+        for n in (2_000, 20_000):
+            d = f"{tmp_path}/{n}"
+            k = F.col("id")
+            spark.range(n).select(k.alias("page_id"), F.concat(F.lit("https://a.example/?x=1&p="), F.lpad(k.cast("string"), 6, "0")).alias("url")).write.mode("overwrite").parquet(f"{d}/pages.parquet")
+            spark.range(n).select((k + 1).alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (k % 90 + 10).alias("l_partkey"), F.lit(7).cast("long").alias("l_suppkey"), F.lit(12.5).alias("l_extendedprice")).write.mode("overwrite").parquet(f"{d}/lineitem.parquet")
+            assert QUERIES[name](spark, d).count() == n
+            wide[name, n] = seen[-1].agg(F.max(F.length(column))).first()[0]
+        assert wide[name, 20_000] < 1.1 * wide[name, 2_000]
