@@ -101,7 +101,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column("text"):
             h = shingles(text.as_py())
             n.append(len(h))
-            digest.append(xxhash.xxh3_128_hexdigest(h.tobytes()) if len(h) else None)
+            digest.append(_digest(h))
             bands.append(make.bands(h).view(np.int64) if len(h) else None)
         yield pa.RecordBatch.from_arrays(
             [ids, pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "bands"]
@@ -113,10 +113,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id long, n long, digest string, bands array<bigint>")
 
 
+def _digest(hashes: np.ndarray) -> str | None:
+    return xxhash.xxh3_128_hexdigest(hashes.tobytes()) if len(hashes) else None
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingles(t.as_py()).view(np.int64) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+        sets = [shingles(t.as_py()) for t in b.column("text")]
+        columns = [b.column("doc_id"), pa.array(map(_digest, sets), pa.string()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "set"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +168,14 @@ def linked(docs: DataFrame, need: int = NEED) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     sig = C.cut(signatures(docs))
     known = sig.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    # a class is a node of its own, since the least doc_id of several classes can be the same; the cut fixes the numbers
+    classes = C.cut(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()))
     # a document whose rows have different texts links their classes
     several = known.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).filter("one <> other").select("doc_id")
-    own = known.join(classes, "digest").join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    reps = known.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    rows = reps.select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
+    theirs = known.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node")
+    own = theirs.join(theirs.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
+    reps = known.join(classes, ["digest", "doc_id"])
+    rows = reps.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
     many = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("m")).filter("least < most").select("bucket", "m")
     members = C.cut(rows.join(many, "bucket"))  # (node, n, bucket, m): members of buckets with several
     weights = C.cut(members.groupBy("node").agg(F.sum("m").alias("weight"), F.min("n").alias("n")))
@@ -177,8 +184,11 @@ def linked(docs: DataFrame, need: int = NEED) -> DataFrame:
     # a pair can only be similar enough if the smaller set has need % of the larger one's size
     fits = lambda x, y: 100 * F.least(x, y) >= need * F.greatest(x, y)
     star = shared.filter(fits(F.col("n"), F.col("low_n"))).select(F.col("low").alias("a"), F.col("node").alias("b"), "n", "low_n").distinct()
-    wanted = C.join_sized(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), weights.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = C.cut(wanted.mapInArrow(_sets, "node long, set array<bigint>"))
+    wanted = C.cut(classes.join(weights.select("node"), "node", "left_semi"))
+    texts = C.join_sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # a doc_id can have several texts: only that of the class is its set
+    own_sets = texts.mapInArrow(_sets, "doc_id long, digest string, set array<bigint>").filter("digest IS NOT NULL").dropDuplicates(["doc_id", "digest"])
+    sets = C.cut(C.join_sized(own_sets, wanted, ["doc_id", "digest"], "inner").select("node", "set"))
     compared = C.cut(_with_sets(star.select("a", "b"), sets).select("a", "b", "set_a", "set_b").mapInArrow(_compare, "a long, b long, both int, marks array<bigint>"))
     first = C.cut(star.join(compared, ["a", "b"]).filter(100 * F.col("both") >= need * (F.col("n") + F.col("low_n") - F.col("both"))).select("a", "b"))
     grouped = components(first)
@@ -194,7 +204,8 @@ def linked(docs: DataFrame, need: int = NEED) -> DataFrame:
     across = x.join(y, apart_pair & possible).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     links = first.unionByName(confirmed(across, sets, need)).unionByName(own)
     comps = components(links)
-    by_class = classes.join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    named = C.cut(classes.join(comps, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("group")))
+    by_class = named.join(named.groupBy("group").agg(F.min("doc_id").alias("component")), "group").select("digest", "component")
     found = sig.select("doc_id", "n", "digest").join(by_class, "digest", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
 

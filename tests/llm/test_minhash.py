@@ -84,3 +84,13 @@ def test_bound_never_excludes_a_link(spark):
     rows = [(d, t, "en", "x", 0) for d, t in near_copies(40, 9)]
     got = {r.doc_id: r.component_id for r in M.linked(documents(spark, rows)).collect()}
     assert got == brute([(r[0], r[1]) for r in rows])
+
+
+def test_near_copies_of_each_text_of_a_document(spark):
+    """The full sets are those of the text that gave the bands, whichever row of a doc_id comes first."""
+    texts = [[f"t{t}w{i}" for i in range(150)] for t in range(4)]
+    rows = [(1, " ".join(t)) for t in texts] + [(10 + k, " ".join([*t[:70], "changed", *t[71:]])) for k, t in enumerate(texts)]
+    rows += [(5, "alone " + " ".join(f"x{i}" for i in range(60)))]
+    for order in (rows, rows[::-1]):
+        got = {r.doc_id: r.component_id for r in M.linked(documents(spark, [(d, t, "en", "x", 0) for d, t in order]).coalesce(1)).collect()}
+        assert got == brute(rows) == {1: 1, 10: 1, 11: 1, 12: 1, 13: 1, 5: 5}
