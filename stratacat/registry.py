@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import activity, facts, grid, identity, incremental
+from .plans import activity, facts, grid, identity, incremental, transitions
 
-_PLANS = [grid, activity, facts, identity, incremental]
+_PLANS = [grid, activity, facts, identity, incremental, transitions]
 QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for p in _PLANS for k, v in p.ORACLE.items()}

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +80,21 @@ def sku(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_discount") >= 0.1, "price-jump").when(F.col("l_discount") >= 0.09, "missing").alias("flag_kind"),
         F.col("l_shipdate").alias("last_seen"),
     )
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "v_master", "v_sku")
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str, **frames: DataFrame) -> DataFrame:
+    """Runs SQL over the given tables, the catalog views and ``frames``. Its text serves as a derived entity of an oracle too."""
+    made = {"v_master": master, "v_sku": sku}
+    known = {}
+
+    def named(match: re.Match) -> str:
+        name = match[2]
+        if name not in frames and name in _TABLES:
+            known[name] = made[name](spark, sf_dir) if name in made else table(spark, sf_dir, name)
+        return f"{match[1]} {{{name}}}" if name in frames or name in _TABLES else match[0]
+
+    plain = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(r"\b(FROM|JOIN)\s+(\w+)", named, plain), **known, **frames)
