@@ -61,3 +61,38 @@ def top_share(rows: DataFrame, group: str, item: str, value: str) -> DataFrame:
     """Each group's item with the largest sum; ties by name."""
     sums = rows.groupBy(group, item).agg(F.sum(value).alias("total"))
     return sums.groupBy(group).agg(F.max_by(item, F.struct("total", item)).alias("top"), F.max("total").alias("top_total"))
+
+
+# Hosts that are no projects.
+PREVIEW_HOSTS = r"(?i)(^|\.)localhost$|^127\.0\.0\.1$|\.pages\.dev$|\.workers\.dev$"
+# End of fixed values.
+
+
+def real_hosts(rows: DataFrame, host: str = "host") -> DataFrame:
+    """Without rows of development and preview hosts, or of none."""
+    return rows.filter(F.col(host).isNotNull() & ~F.col(host).rlike(PREVIEW_HOSTS))
+
+
+def host_totals(traffic: DataFrame) -> DataFrame:
+    return traffic.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("sessions", "users", "views")])
+
+
+def top_channel(channels: DataFrame) -> DataFrame:
+    """Each host's channel with most sessions (ties by name), unassigned traffic left out."""
+    return channels.filter("channel <> 'Unassigned'").groupBy("host").agg(F.max_by("channel", F.struct("sessions", "channel")).alias("channel"), F.max("sessions").alias("sessions"))
+
+
+def projects(traffic: DataFrame, channels: DataFrame, edge: DataFrame, days: int = 28) -> DataFrame:
+    """One card per host, the busiest week first: trailing sums with their label, views, edge views and top channel."""
+    series = traffic.groupBy("host", "d").agg(F.sum("sessions").alias("sessions"))
+    cards = trailing(series, days, ["host"], "sessions").join(host_totals(traffic).select("host", "views"), "host")
+    cards = cards.join(edge.groupBy("host").agg(F.sum("views").alias("edge_views")), "host", "left").join(top_channel(channels).select("host", "channel"), "host", "left")
+    return cards.orderBy(F.desc("last7"), "host")
+
+
+def feed_rollup(videos: DataFrame, now_ms: int, days: int = 28, top: int = 10) -> DataFrame:
+    """One row: uploads in the feed, views, likes, uploads of the last ``days`` days, and the ids of the ``top`` by views."""
+    best = videos.orderBy(F.desc(F.coalesce("views", F.lit(0))), "video_id").limit(top)
+    ids = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.coalesce("views", F.lit(0))).alias("v"), "video_id"))), lambda x: x["video_id"].cast("string")), ",").alias("top"))
+    sums = videos.agg(F.count("*").alias("in_feed"), F.sum(F.coalesce("views", F.lit(0))).alias("views"), F.sum(F.coalesce("likes", F.lit(0))).alias("likes"), F.count_if(F.col("published_ms") > now_ms - days * 86_400_000).alias("recent"))
+    return sums.crossJoin(ids)

@@ -15,7 +15,8 @@ POLICIES = {
     "new": lambda c: _new(c),
     "old": lambda c: F.col(c),
     "coalesce": lambda c: F.coalesce(_new(c), F.col(c)),
-    "keep": lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), _new(c).cast("string")),
+    # the old value unless it is null or an empty text; the type stays
+    "keep": lambda c: F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), _new(c)).otherwise(F.col(c)),
     "max": lambda c: F.greatest(F.col(c), _new(c)),
     "min": lambda c: F.least(F.col(c), _new(c)),
     "sum": lambda c: F.coalesce(F.col(c), F.lit(0)) + F.coalesce(_new(c), F.lit(0)),
@@ -43,10 +44,14 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list)
 
 
 def update_if_unchanged(old: DataFrame, patches: DataFrame, key: str, version: str) -> tuple[DataFrame, DataFrame]:
-    """Applies each patch whose ``expected`` version is the row's (null equals null): the next rows, and the keys that were applied."""
-    p = patches.select(key, F.col("expected"), *[F.col(c).alias(f"n_{c}") for c in patches.columns if c not in (key, "expected")])
-    joined = old.join(p, key, "left").withColumn("hit", F.col("expected").eqNullSafe(F.col(version)) & F.coalesce(*[F.col(f"n_{c}") for c in patches.columns if c == version]).isNotNull())
-    out = joined.select(*[F.when(F.col("hit"), F.coalesce(_new(c), F.col(c))).otherwise(F.col(c)).alias(c) if f"n_{c}" in joined.columns else F.col(c) for c in old.columns])
+    """Applies each patch whose ``expected`` version is the row's (null equals null): the next rows, and the keys that were applied.
+
+    A patch's columns are written as they are, explicit nulls included; columns that it lacks stay, the version too.
+    """
+    changed = [c for c in patches.columns if c not in (key, "expected")]
+    p = patches.select(key, "expected", *[F.col(c).alias(f"n_{c}") for c in changed], F.lit(True).alias("has_patch"))
+    joined = old.join(p, key, "left").withColumn("hit", F.coalesce("has_patch", F.lit(False)) & F.col("expected").eqNullSafe(F.col(version)))
+    out = joined.select(*[F.when(F.col("hit"), _new(c)).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in old.columns])
     return out, joined.filter("hit").select(key)
 
 
