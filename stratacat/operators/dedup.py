@@ -39,11 +39,6 @@ def core_tokens(name: Column, brand: Column) -> Column:
     return F.array_distinct(F.array_except(F.array_except(words, F.array(*map(F.lit, NOISE))), F.split(brand, r"\s+")))
 
 
-def _side(masters: DataFrame, p: str, *keys: str) -> DataFrame:
-    one = masters.select(*keys, F.col("id").alias(f"{p}_id"), F.col("brand_norm").alias(f"{p}_brand"), F.col("span_mm").alias(f"{p}_span"), size_tokens(F.col("name_norm")).alias(f"{p}_sizes"), core_tokens(F.col("name_norm"), F.col("brand_norm")).alias(f"{p}_core"))
-    return one.filter(F.size(f"{p}_core") > 0)
-
-
 def _facts(pairs: DataFrame) -> DataFrame:
     """What a pair shares; pairs with clashing sizes or spans, or without a common word, go."""
     both_sizes = (F.size("a_sizes") > 0) & (F.size("b_sizes") > 0)
@@ -55,18 +50,38 @@ def _facts(pairs: DataFrame) -> DataFrame:
     return made.filter(~(both_sizes & ~F.col("shared_size")) & (F.coalesce("gap", F.lit(0.0)) <= 0.1) & (F.col("common") > 0))
 
 
-def _joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs that share a key and a core word: they meet on words, so unrelated names of one brand are never paired."""
-    x, y = a.withColumn("word", F.explode("a_core")), b.withColumn("word", F.explode("b_core"))
-    first = x.join(y, [*keys, "word"]).filter("a_id < b_id")
-    # a pair is kept at its smallest common word only
-    return first.filter(F.col("word") == F.array_min(F.array_intersect("a_core", "b_core"))).drop("word")
+def _joined(rows: DataFrame, keys: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of one key whose shorter core shares at least 0.6 of its words with the other (both cores equal included), each once.
+
+    Of n words such a pair shares at least k = ceil(0.6 n), so it shares one of the n - k + 1 rarest: the shorter side meets the other on these only, and
+    words that many names have bring no pairs together.
+    """
+    words = rows.select("id", *keys, F.explode("core").alias("word"))
+    rare = words.groupBy(*keys, "word").agg(F.count("*").alias("names"))
+    ordered = words.join(rare, [*keys, "word"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("names", "word"))).alias("o"))  # one name's words
+    least = F.ceil(F.size("core") * 0.6 - 1e-9)
+    short = rows.join(ordered, "id").withColumn("prefix", F.transform(F.slice("o", F.lit(1), (F.size("core") - least + 1).cast("int")), lambda x: x["word"])).drop("o")
+    columns = ["id", "brand_norm", "span_mm", "sizes", "core", *extra]
+    x = short.select(*keys, *[F.col(c).alias(f"x_{c}") for c in columns], "prefix", F.explode("prefix").alias("word"))
+    y = rows.select(*keys, *[F.col(c).alias(f"y_{c}") for c in columns], F.explode("core").alias("word"))
+    met = x.join(y, [*keys, "word"]).filter((F.size("x_core") < F.size("y_core")) | ((F.size("x_core") == F.size("y_core")) & (F.col("x_id") < F.col("y_id"))))
+    # a pair is kept at the first word of the prefix that both have
+    once = met.filter(F.col("word") == F.get(F.filter("prefix", lambda w: F.array_contains("y_core", w)), F.lit(0)))
+    low = F.col("x_id") < F.col("y_id")
+    names = {"id": "id", "brand_norm": "brand", "span_mm": "span", "sizes": "sizes", "core": "core", **{e: e for e in extra}}
+    side = lambda p, first, other: [F.when(low, F.col(f"{first}_{c}")).otherwise(F.col(f"{other}_{c}")).alias(f"{p}_{n}") for c, n in names.items()]
+    return once.select(*keys, *side("a", "x", "y"), *side("b", "y", "x"))
+
+
+def _named(masters: DataFrame, *more: str) -> DataFrame:
+    one = masters.select("id", "brand_norm", "span_mm", *more, size_tokens(F.col("name_norm")).alias("sizes"), core_tokens(F.col("name_norm"), F.col("brand_norm")).alias("core"))
+    return one.filter(F.size("core") > 0)
 
 
 def same_brand(masters: DataFrame) -> DataFrame:
     """``a_id, b_id, score, obvious`` for pairs of one brand. Obvious: equal core words, pinned by a size or span (within 5 %)."""
     rows = masters.filter(F.coalesce("brand_norm", F.lit("")) != "")
-    facts = _facts(_joined(_side(rows, "a", "brand_norm"), _side(rows, "b", "brand_norm"), ["brand_norm"]))
+    facts = _facts(_joined(_named(rows), ["brand_norm"]))
     equal = (F.size("a_core") == F.size("b_core")) & (F.col("common") == F.size("a_core"))
     obvious = equal & (F.col("shared_size") | (F.coalesce("gap", F.lit(1.0)) <= 0.05))
     part = F.col("common") / F.col("least")
@@ -83,8 +98,7 @@ def confirmed(brand: Column, titles: Column) -> Column:
 def cross_brand(masters: DataFrame, suspects: DataFrame) -> DataFrame:
     """``a_id, b_id, score``: pairs of one category and different brands, one of them a suspect, whose names largely agree."""
     marked = masters.join(suspects.select("id").withColumn("suspect", F.lit(True)), "id", "left")
-    a, b = _side(marked, "a", "category_id", "suspect").withColumnRenamed("suspect", "a_suspect"), _side(marked, "b", "category_id", "suspect").withColumnRenamed("suspect", "b_suspect")
-    facts = _facts(_joined(a, b, ["category_id"]).filter((F.coalesce("a_suspect", F.lit(False)) | F.coalesce("b_suspect", F.lit(False))) & (F.col("a_brand") != F.col("b_brand"))))
+    facts = _facts(_joined(_named(marked, "category_id", "suspect"), ["category_id"], ("suspect",)).filter((F.coalesce("a_suspect", F.lit(False)) | F.coalesce("b_suspect", F.lit(False))) & (F.col("a_brand") != F.col("b_brand"))))
     part = F.col("common") / F.col("least")
     pinned = (F.coalesce("gap", F.lit(1.0)) <= 0.05) | F.col("shared_size") | (F.col("least") >= 2)
     return facts.filter((part >= 0.6) & pinned).select("a_id", "b_id", part.alias("score"))

@@ -127,18 +127,41 @@ def resolve_landing(slug: Column) -> Column:
 def similar(live: DataFrame, seeds: DataFrame, top: int = 8) -> DataFrame:
     """For each seed the ``top`` live masters of its category with a shared tag: most shared, then nearest span, then id.
 
-    Seeds and masters meet on (category, tag), so only pairs with a shared tag are made.
+    Masters of one category, tag set and span differ by id only, so of each such class the first ``top`` + 1 ids are enough; they are cut before any
+    shuffle. Seeds of one class share their list. A class of seeds meets, per tag set, the ``top`` + 1 spans next to its own on either side, by their
+    places in the order of spans. What is joined grows with classes, not with pairs.
     """
-    side = lambda df, p: df.select("category_id", F.col("id").alias(f"{p}_id"), F.coalesce("span_mm", F.lit(0)).alias(f"{p}_span"), F.explode(F.array_distinct(tags())).alias("tag"))
-    pairs = side(seeds, "seed").join(side(live, "other"), ["category_id", "tag"]).filter("seed_id <> other_id")
-    scored = pairs.groupBy("seed_id", "other_id").agg(F.count("*").alias("shared"), F.abs(F.first("seed_span") - F.first("other_span")).alias("dspan"))
+    many = top + 1
+    key = F.array_sort(F.array_distinct(tags()))
+    classed = lambda df: df.select("category_id", "id", key.alias("tags"), F.coalesce("span_mm", F.lit(0)).alias("span")).filter(F.size("tags") > 0).withColumn("set", F.to_json("tags"))
+    per_class = F.row_number().over(Window.partitionBy("category_id", "set", "span").orderBy("id"))
+    near = classed(live).withColumn("n", per_class).filter(F.col("n") <= many).drop("n")
+    classes = near.select("category_id", "set", "tags", "span").distinct()
+    places = classes.withColumn("place", F.row_number().over(Window.partitionBy("category_id", "set").orderBy("span")))
+    wanted = classed(seeds)
+    asks = wanted.select("category_id", F.col("set").alias("own"), F.col("tags").alias("own_tags"), "span").distinct()
+    sets = classes.select("category_id", "set", "tags").distinct()
+    shared = asks.select("category_id", "own", "own_tags").distinct().join(sets, "category_id").withColumn("shared", F.size(F.array_intersect("own_tags", "tags"))).filter("shared > 0").select("category_id", "own", "set", "shared")
+    asks = asks.drop("own_tags").join(shared, ["category_id", "own"]).withColumn("known", F.lit(0))
+    marks = places.select("category_id", "set", "span", F.lit(1).alias("known"))
+    below = F.sum("known").over(Window.partitionBy("category_id", "set").orderBy("span").rangeBetween(Window.unboundedPreceding, -1))
+    at = asks.unionByName(marks, allowMissingColumns=True).withColumn("below", F.coalesce(below, F.lit(0))).filter("own IS NOT NULL")
+    steps = at.select("category_id", "own", F.col("span").alias("own_span"), "set", "shared", F.explode(F.sequence(F.col("below") - top, F.col("below") + many)).alias("place"))
+    met = steps.join(places.select("category_id", "set", "place", "span"), ["category_id", "set", "place"]).join(near.select("category_id", "set", "span", F.col("id").alias("other_id")), ["category_id", "set", "span"])
+    order = Window.partitionBy("category_id", "own", "own_span").orderBy(F.desc("shared"), "dspan", "other_id")
+    lists = met.withColumn("dspan", F.abs(F.col("own_span") - F.col("span"))).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= many)
+    lists = lists.select("category_id", F.col("own").alias("set"), F.col("own_span").alias("span"), "other_id", F.col("shared").cast("long").alias("shared"), "dspan")
+    found = wanted.select("category_id", "set", "span", F.col("id").alias("seed_id")).join(lists, ["category_id", "set", "span"]).filter("seed_id <> other_id")
     rank = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("shared"), "dspan", "other_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
+    return found.select("seed_id", "other_id", "shared", "dspan").withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
 def browse(live: DataFrame) -> DataFrame:
-    """``role, n``: live masters by their first tag; without a tag, or outside the vocabulary, under no heading but their own."""
-    return live.groupBy(F.coalesce(F.nullif(F.get(tags(), F.lit(0)), F.lit("")), F.lit("Other")).alias("role")).agg(F.count("*").alias("n"))
+    """``role, n, place``: live masters by their first tag in the order of the vocabulary, those without a tag last under Other; other first tags have no heading."""
+    first = F.coalesce(F.nullif(F.get(tags(), F.lit(0)), F.lit("")), F.lit("Other"))
+    headings = [*ROLES, "Other"]
+    counts = live.groupBy(first.alias("role")).agg(F.count("*").alias("n"))
+    return counts.filter(F.col("role").isin(headings)).withColumn("place", F.array_position(F.array(*map(F.lit, headings)), F.col("role")))
 
 
 def offer_summary(masters: DataFrame, skus: DataFrame) -> DataFrame:

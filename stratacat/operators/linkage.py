@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratacat.durable import cut
 from stratacat.functions.classify import config_agree, config_types
 from stratacat.functions.text import relative_gap
 
@@ -15,38 +16,82 @@ NOISE = (
 # End of fixed values.
 
 
-def model_tokens(name: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), NOISE, " "), "[^a-z0-9]+", " ")
+def aliases(brand: Column) -> list[Column]:
+    """The spellings of a brand that are no evidence in a name: as it is, without spaces, without anything but letters and digits."""
+    b = F.lower(F.coalesce(brand, F.lit("")))
+    return [b, F.regexp_replace(b, r"\s+", ""), F.regexp_replace(b, "[^a-z0-9]", "")]
+
+
+def model_tokens(name: Column, brand: Column | None = None) -> Column:
+    """The words (two letters or more) of a name that identify a model, without the brand's spellings and noise."""
+    low = F.concat(F.lit(" "), F.lower(F.coalesce(name, F.lit(""))), F.lit(" "))
+    for alias in aliases(brand) if brand is not None else []:
+        low = F.when(alias == "", low).otherwise(F.replace(low, alias, F.lit(" ")))
+    bare = F.regexp_replace(F.regexp_replace(low, NOISE, " "), "[^a-z0-9]+", " ")
     return F.filter(F.split(F.trim(bare), " "), lambda t: F.char_length(t) >= 2)
 
 
+def title_words(title: Column) -> Column:
+    """The words of a title, and of numbers with one letter after them the number too: 600S answers to 600."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " ")), " ")
+    numbers = F.transform(F.filter(words, lambda w: w.rlike(r"^\d+[a-z]$")), lambda w: w.substr(F.lit(1), F.char_length(w) - 1))
+    return F.array_distinct(F.concat(words, numbers))
+
+
 def name_similarity(tokens: Column, title: Column) -> Column:
     """The share of our tokens in their title; a number also fits with one letter after it (600, 600S), never inside a longer one."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " ")), " ")
-    hit = lambda t: F.exists(words, lambda w: (w == t) | (t.rlike(r"^\d+$") & w.startswith(t) & (F.char_length(w) == F.char_length(t) + 1) & w.rlike("[a-z]$")))
-    return F.when(F.size(tokens) > 0, F.size(F.filter(tokens, hit)) / F.size(tokens)).otherwise(0.0)
+    words = title_words(title)
+    return F.when(F.size(tokens) > 0, F.size(F.filter(tokens, lambda t: F.array_contains(words, t))) / F.size(tokens)).otherwise(0.0)
+
+
+def _fit(our_span: Column, span: Column, ours: Column, theirs: Column) -> tuple[Column, Column, Column]:
+    """Agreement of spans and of configurations, and what both add to a score."""
+    gap = relative_gap(our_span, span)
+    spans, configs = F.when(gap.isNotNull(), (gap <= 0.03).cast("int")), config_agree(ours, theirs)
+    extra = F.when(spans == 1, 0.15).otherwise(0.0) + F.when(configs == 1, 0.08).when(configs == 0, -0.05).otherwise(0.0)
+    return spans, configs, extra
 
 
 def rank_candidates(masters: DataFrame, products: DataFrame, limit: int = 5) -> DataFrame:
     """``master_id, product_id, name_score, span_agree, config_agree, score, margin, tier, rank``.
 
-    ``masters``: id, brand_key, name, span_mm, configs (array). ``products``: product_id, brand_key, title, body, span. The margin is to the next candidate of the
+    ``masters``: id, brand, brand_key, name, span_mm, configs (array). ``products``: product_id, brand_key, title, body, span. The margin is to the next candidate of the
     whole list, not of the first ``limit``.
+
+    Masters and products of a brand meet on words, so only pairs with a common word are scored. A product without one scores by span and configuration
+    alone, so those of one span and configuration score the same: of each such class only the first by title can reach the list, as many as the list is long and as the
+    class has scored ones; classes whose betters fill the list already are left out.
     """
     theirs = config_types(F.col("title"))
     p = products.withColumn("their_configs", F.when(F.size(theirs) > 0, theirs).otherwise(config_types(F.col("body"))))
-    m = masters.select(F.col("id").alias("master_id"), "brand_key", model_tokens(F.col("name")).alias("tokens"), F.col("span_mm").alias("our_span"), "configs")
-    gap = relative_gap(F.col("our_span"), F.col("span"))
-    pairs = m.join(p, "brand_key").select(
-        "master_id", "product_id", "title", name_similarity(F.col("tokens"), F.col("title")).alias("name_score"),
-        F.when(gap.isNotNull(), (gap <= 0.03).cast("int")).alias("span_agree"), config_agree(F.col("configs"), F.col("their_configs")).alias("config_agree"),
-    )
-    extra = F.when(F.col("span_agree") == 1, 0.15).otherwise(0.0)
-    fit = F.when(F.col("config_agree") == 1, 0.08).when(F.col("config_agree") == 0, -0.05).otherwise(0.0)
+    p = cut(p.select("product_id", "brand_key", "title", "span", "their_configs", F.concat_ws("/", F.coalesce(F.col("span").cast("string"), F.lit("")), F.array_join("their_configs", ",")).alias("class"), title_words(F.col("title")).alias("words")))
+    brand = F.col("brand") if "brand" in masters.columns else None
+    m = cut(masters.select(F.col("id").alias("master_id"), "brand_key", model_tokens(F.col("name"), brand).alias("tokens"), F.col("span_mm").alias("our_span"), "configs"))
+    tokens = m.select("master_id", "brand_key", F.explode("tokens").alias("word")).groupBy("master_id", "brand_key", "word").agg(F.count("*").alias("times"))
+    hits = tokens.join(p.select("product_id", "brand_key", F.explode("words").alias("word")), ["brand_key", "word"]).groupBy("master_id", "product_id").agg(F.sum("times").alias("hits"))
+    facts = p.select("product_id", "title", "span", "their_configs", "class")
+    spans, configs, extra = _fit(F.col("our_span"), F.col("span"), F.col("configs"), F.col("their_configs"))
+    named = hits.join(m, "master_id").join(facts, "product_id").select("master_id", "brand_key", "product_id", "title", "class", (F.col("hits") / F.size("tokens")).alias("name_score"), spans.alias("span_agree"), configs.alias("config_agree"), extra.alias("extra"))
+    named = cut(named)
+    # products without a common word, by class
+    classes = p.groupBy("brand_key", "class").agg(F.first("span").alias("span"), F.first("their_configs").alias("their_configs"), F.count("*").alias("n"))
+    met = named.groupBy("master_id", "class").agg(F.count("*").alias("met"))
+    offers = m.join(classes, "brand_key").join(met, ["master_id", "class"], "left").select("master_id", "brand_key", "class", F.coalesce("met", F.lit(0)).alias("met"), "n", spans.alias("span_agree"), configs.alias("config_agree"), F.round(extra, 9).alias("extra"))
+    steps = offers.groupBy("master_id", "extra").agg(F.sum(F.col("n") - F.col("met")).alias("free"))
+    before = F.sum("free").over(Window.partitionBy("master_id").orderBy(F.desc("extra")).rowsBetween(Window.unboundedPreceding, -1))
+    open_ = steps.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") <= limit).select("master_id", "extra")
+    turn = F.row_number().over(Window.partitionBy("brand_key", "class").orderBy("title", "product_id"))
+    listed = p.select("brand_key", "class", "product_id", "title").withColumn("turn", turn)
+    fill = offers.join(open_, ["master_id", "extra"]).join(listed, ["brand_key", "class"]).filter(F.col("turn") <= F.col("met") + limit + 1)
+    fill = fill.join(named.select("master_id", "product_id"), ["master_id", "product_id"], "left_anti")
+    columns = ["master_id", "product_id", "title", "name_score", "span_agree", "config_agree", "extra"]
+    rows = named.select(*columns).unionByName(fill.withColumn("name_score", F.lit(0.0)).select(*columns))
     # scores meet at ties that depend on the last bit, so they are rounded
-    scored = pairs.withColumn("score", F.round(F.col("name_score") + extra + fit, 9))
+    scored = rows.withColumn("score", F.round(F.col("name_score") + F.col("extra"), 9)).drop("extra")
     w = Window.partitionBy("master_id").orderBy(F.desc("score"), F.desc("name_score"), "title", "product_id")
-    ranked = scored.withColumns({"rank": F.row_number().over(w), "margin": F.round(F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0)), 9)}).filter(F.col("rank") <= limit)
+    # one more than the list, for the margin of its last
+    first = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit + 1)
+    ranked = first.withColumn("margin", F.round(F.col("score") - F.coalesce(F.lead("score").over(Window.partitionBy("master_id").orderBy("rank")), F.lit(0.0)), 9)).filter(F.col("rank") <= limit)
     name = F.col("name_score")
     sure = (name >= 0.75) & ((name >= 0.999) | (F.col("margin") >= 0.1))
     tier = F.when(name < 0.35, "reject").when((F.coalesce("span_agree", F.lit(1)) == 0) | (F.coalesce("config_agree", F.lit(1)) == 0), "review").when(sure, "accept").otherwise("review")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratacat.functions.text import norm_name
+
 from .grid import LIVE
 
 
@@ -71,14 +73,32 @@ def within_budget(queue: DataFrame, cost: Column, budget: int, order: list, grou
 
 
 def attach_suggestions(skus: DataFrame, masters: DataFrame, top: int = 3) -> DataFrame:
-    """For each sku the best masters by name: 2 if the title holds the whole name, else the number of its words (over 2 letters) in the title; at least 2.
+    """For each sku the best masters by name: 2 if the normed title holds the whole normed name, else how many of its words (over 2 letters) the title holds; at least 2; later ids first.
 
-    Skus and masters meet on words of the title, so only pairs with a shared word are scored.
+    Holding means as a part of the text, also inside a word. Equal titles are answered once. Words of titles meet words of names through their own
+    parts, each distinct word once. A name meets titles on all its words but the one that most names have, since any two of them include another.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"[^a-z0-9]+"), lambda w: F.char_length(w) > 2))
-    s = skus.select("sku_key", F.lower("title").alias("t")).select("sku_key", "t", F.explode(words(F.col("t"))).alias("word"))
-    m = masters.select(F.col("id").alias("master_id"), "name_norm").select("master_id", "name_norm", F.explode(words(F.col("name_norm"))).alias("word"))
-    hits = s.join(m, "word").groupBy("sku_key", "master_id").agg(F.count("*").alias("hits"), F.first("t").alias("t"), F.first("name_norm").alias("n"))
-    scored = hits.withColumn("score", F.when(F.contains("t", "n"), F.lit(2).cast("long")).otherwise(F.col("hits"))).filter("score >= 2")
-    rank = F.row_number().over(Window.partitionBy("sku_key").orderBy(F.desc("score"), F.desc("master_id")))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select("sku_key", "master_id", "score", "rank")
+    n = masters.select(F.col("id").alias("master_id"), F.coalesce("name_norm", F.lit("")).alias("name"))
+    named = n.filter("name <> ''").withColumn("all", F.split("name", " "))
+    long = F.filter("all", lambda w: F.char_length(w) > 2)
+    named = named.withColumn("long", long).withColumn("keys", F.when(F.size("long") > 0, F.array_distinct("long")).otherwise(F.array_distinct("all")))
+    flat = named.select("master_id", F.explode("keys").alias("word"))
+    often = flat.groupBy("word").agg(F.count("*").alias("names"))
+    # the whole name is held if all its words are, and two words if two are: one of the rarer ones is met either way
+    place = F.row_number().over(Window.partitionBy("master_id").orderBy(F.desc("names"), "word"))
+    count = F.count("*").over(Window.partitionBy("master_id"))
+    rare = flat.join(often, "word").withColumns({"place": place, "n": count}).filter("place > 1 OR n = 1").select("master_id", "word")
+    titles = skus.select(norm_name(F.col("title")).alias("t")).distinct()
+    words = titles.select("t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    begin = F.sequence(F.lit(1), F.char_length("w"))
+    parts = words.select("w").distinct().filter("w <> ''").select("w", F.explode(F.array_distinct(F.flatten(F.transform(begin, lambda i: F.transform(F.sequence(F.lit(1), F.char_length("w") - i + 1), lambda k: F.substr("w", i, k)))))).alias("word"))
+    held = words.join(parts.join(often.select("word"), "word", "left_semi"), "w").select("t", "word").distinct()
+    pairs = held.join(rare, "word").select("t", "master_id").distinct().join(named.select("master_id", "name", "long"), "master_id")
+    score = F.when(F.contains("t", "name"), 2).otherwise(F.size(F.filter("long", lambda w: F.contains(F.col("t"), w))))
+    best = pairs.select("t", "master_id", score.cast("long").alias("score")).filter("score >= 2")
+    # a master without a name fits everything
+    empty = n.filter("name = ''").orderBy(F.desc("master_id")).limit(top).select("master_id")
+    best = best.unionByName(titles.crossJoin(F.broadcast(empty)).select("t", "master_id", F.lit(2).cast("long").alias("score")))
+    rank = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("score"), F.desc("master_id")))
+    ranked = best.withColumn("rank", rank).filter(F.col("rank") <= top)
+    return skus.select("sku_key", norm_name(F.col("title")).alias("t")).join(ranked, "t").select("sku_key", "master_id", "score", "rank")

@@ -89,6 +89,29 @@ QUERIES = {
     "t_change_log": lambda s, d: S.change_log(observations(s, d), "sku", ["ts", "event_id"], ["price"]).select("event_id", "sku", "price"),
     "a_top1_channel": lambda s, d: S.top_share(table(s, d, "orders"), "o_orderstatus", "o_orderpriority", "o_custkey"),
 }
+ORACLE = {
+    "q26_review_state_counts": with_views(f"SELECT {_STATE} AS state, count(*) AS n FROM v_sku GROUP BY 1"),
+    "q27_review_source_counts": with_views(f"SELECT source_id, count(*) AS n FROM v_sku WHERE {_STATE} = 'new' AND in_stock = 1 GROUP BY 1"),
+    "q27_review_stock_counts": with_views(f"SELECT CASE WHEN in_stock = 1 THEN 'in' ELSE 'out' END AS stock, count(*) AS n FROM v_sku WHERE {_STATE} = 'new' GROUP BY 1"),
+    "q28_review_page": with_views(f"SELECT sku_key, concat_ws(' ', brand, name) AS master, last_seen FROM v_sku LEFT JOIN v_master ON id = master_id WHERE {_STATE} = 'new' AND in_stock = 1 ORDER BY last_seen DESC, sku_key LIMIT 40"),
+    "k_attach_suggest": with_views(r"""
+, k AS (SELECT DISTINCT sku_key, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t FROM v_sku WHERE review_status = 'new')
+, h AS (SELECT t, id AS master_id, CASE WHEN contains(t, name_norm) THEN 2 ELSE len(list_filter(string_split(name_norm, ' '), lambda w: length(w) > 2 AND contains(t, w))) END AS score FROM (SELECT DISTINCT t FROM k) x, v_master)
+, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY t ORDER BY score DESC, master_id DESC) AS INT) AS rank FROM h WHERE score >= 2)
+SELECT sku_key, master_id, CAST(score AS BIGINT) AS score, rank FROM k JOIN r ON r.t = k.t WHERE rank <= 3"""),
+    "q32_pop_coverage": lambda s, d: R.coverage(live(s, d)),
+    "q33_catalog_page": lambda s, d: R.catalog_page(master(s, d), sku(s, d)).select("id", "offers", "live_offers"),
+    "k_source_health": _health,
+    "k_image_backlog": _backlog,
+    "t_rolling_quota": _budget,
+    "k_stats_daily": lambda s, d: S.daily(_starts(s, d), _runs(s, d)),
+    "k_stats_totals": lambda s, d: S.totals(_starts(s, d), _runs(s, d), _events(s, d).filter("event_type = 'error'")),
+    "k_stats_by_map": lambda s, d: S.by_map(_starts(s, d), _runs(s, d)),
+    "w_calendar_fill": lambda s, d: S.calendar(_series(s, d), 28, ["event_type"], "n"),
+    "k_stats_tiles": lambda s, d: S.trailing(_series(s, d), 28, ["event_type"], "n"),
+    "t_change_log": lambda s, d: S.change_log(observations(s, d), "sku", ["ts", "event_id"], ["price"]).select("event_id", "sku", "price"),
+    "a_top1_channel": lambda s, d: S.top_share(table(s, d, "orders"), "o_orderstatus", "o_orderpriority", "o_custkey"),
+}
 ORACLE = {
     "q26_review_state_counts": with_views(f"SELECT {_STATE} AS state, count(*) AS n FROM v_sku GROUP BY 1"),
     "q27_review_source_counts": with_views(f"SELECT source_id, count(*) AS n FROM v_sku WHERE {_STATE} = 'new' AND in_stock = 1 GROUP BY 1"),

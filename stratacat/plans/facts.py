@@ -27,6 +27,20 @@ def _span_sql(spans, low=None) -> str:
     return "coalesce(" + ", ".join(f"CASE WHEN {value(p, u)} BETWEEN 200 AND 4000 THEN {value(p, u)} END" for p, u in spans) + ")"
 
 
+def maker_span_sql(text: str) -> str:
+    """The maker's span rule in SQL, for a text expression."""
+    t = rf"regexp_replace(concat(' ', {text}, ' '), '(\d),(\d{{3}})(\D|$)', '\1\2\3', 'g')"
+    value = lambda p, u: f"CAST(floor(TRY_CAST(regexp_extract(replace(regexp_extract({t}, '{_re2(p)}', 1), ',', ''), '^(\\d*\\.?\\d*)', 1) AS DOUBLE) * {u} + 0.5) AS INT)"
+    bare = [f"CASE WHEN length({t}) <= 90 THEN {value(p, u)} END" for p, u in K.MAKER_SHORT_SPANS]
+    return "coalesce(" + ", ".join([*[value(p, u) for p, u in K.MAKER_SPANS], *bare]) + ")"
+
+
+def labels_sql(text: str) -> str:
+    """All build labels of a text expression, as a list."""
+    hits = [f"CASE WHEN regexp_matches({text}, '{_re2(p)}')" + (f" AND NOT regexp_matches({text}, '{_re2(K.ALMOST_READY)}')" if c == "rtf" else "") + f" THEN '{c}' END" for c, p in [("arf", K.ALMOST_READY), *K.CONFIG_TYPES]]
+    return "list_filter([" + ", ".join(hits) + "], lambda x: x IS NOT NULL)"
+
+
 def _case(rules, default: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(text, '{_re2(p)}') THEN '{c}'" for c, p in rules) + f" ELSE '{default}' END"
 
@@ -53,7 +67,7 @@ QUERIES = {
     "k_power": lambda s, d: texts(s, d).select("id", K.power(F.col("text")).alias("power")),
     "k_condition": lambda s, d: texts(s, d).select("id", K.condition(F.col("text")).alias("condition")),
     "k_role_tags": _roles,
-    "k_is_aircraft": lambda s, d: texts(s, d).select("id", K.is_aircraft(F.col("text"), F.lit(None).cast("string")).alias("aircraft")),
+    "k_is_aircraft": lambda s, d: texts(s, d).select("id", K.is_aircraft(F.col("text"), F.when(F.col("id") % 3 == 0, "Spare parts").when(F.col("id") % 3 == 1, "RC Airplanes")).alias("aircraft")),
     "k_triage_score": lambda s, d: texts(s, d).select("id", K.triage_score(F.col("text"), ["glider", "jet"], ["servo", "kit"]).alias("score")),
     "f_names": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), T.slugify(F.concat_ws(" ", "p_brand", "p_name")).alias("slug"), T.norm_name(F.col("p_brand")).alias("norm"), T.brand_key(F.col("p_brand")).alias("key")),
     "f_host_of": lambda s, d: table(s, d, "pages").select("page_id", T.host_of(F.col("url")).alias("host")),
@@ -71,6 +85,7 @@ for _a, _b in T.ENTITIES:
     _TITLE = f"replace({_TITLE}, '{_a.replace(chr(39), chr(39) * 2)}', '{_b.replace(chr(39), chr(39) * 2)}')"
 ORACLE = {
     "k_span_title": with_views(_TEXT_SQL + f" SELECT id, {_span_sql(K.TITLE_SPANS)} AS span FROM t"),
+    "k_span_mfr": with_views(_TEXT_SQL + f" SELECT id, {maker_span_sql('text')} AS span FROM t"),
     "k_config": with_views(_TEXT_SQL + f" SELECT id, {_case(K.CONFIGS, 'kit')} AS config FROM t"),
     "k_config_types": with_views(
         _TEXT_SQL
@@ -83,7 +98,7 @@ ORACLE = {
     "k_power": with_views(_TEXT_SQL + f" SELECT id, CASE WHEN {_GAS_SQL} THEN 'gas' ELSE 'electric' END AS power FROM t"),
     "k_condition": with_views(_TEXT_SQL + f" SELECT id, CASE WHEN regexp_matches(text, '{_re2(K.USED)}') THEN 'used' ELSE 'new' END AS condition FROM t"),
     "k_role_tags": with_views(_TEXT_SQL + " " + _tags_sql()),
-    "k_is_aircraft": with_views(_TEXT_SQL + f" SELECT id, CASE WHEN regexp_matches(text, '{_re2(K.BUILD_WORDS)}') THEN true WHEN regexp_matches(text, '{_re2(K.PART_WORDS)}') THEN false ELSE " + " OR ".join(f"regexp_matches(text, '{_re2(p)}')" for p in K.PLANE_WORDS) + " END AS aircraft FROM t"),
+    "k_is_aircraft": with_views(_TEXT_SQL + f" SELECT id, CASE WHEN regexp_matches(text, '{_re2(K.BUILD_WORDS)}') THEN true WHEN regexp_matches(kind, '{_re2(K.TYPE_PART)}') THEN false WHEN regexp_matches(kind, '{_re2(K.TYPE_AIRCRAFT)}') THEN true WHEN regexp_matches(text, '{_re2(K.PART_WORDS)}') THEN false ELSE " + " OR ".join(f"regexp_matches(text, '{_re2(p)}')" for p in K.PLANE_WORDS) + " END AS aircraft FROM (SELECT *, CASE id % 3 WHEN 0 THEN 'Spare parts' WHEN 1 THEN 'RC Airplanes' ELSE '' END AS kind FROM t)"),
     "k_triage_score": with_views(_TEXT_SQL + " SELECT id, CASE WHEN contains(lower(text), 'glider') OR contains(lower(text), 'jet') THEN 2 ELSE 0 END - CASE WHEN contains(lower(text), 'servo') OR contains(lower(text), 'kit') THEN 3 ELSE 0 END AS score FROM t"),
     "f_names": "SELECT p_partkey AS id, substr(regexp_replace(regexp_replace(lower(concat_ws(' ', p_brand, p_name)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS norm, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') AS key FROM part",
     "f_host_of": r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^www\.', '') AS host FROM pages",

@@ -50,7 +50,7 @@ def _offers(spark, sf_dir):
 
     k = sku(spark, sf_dir).filter("review_status = 'approved'").join(master(spark, sf_dir).filter("status = 'ready'").select(F.col("id").alias("master_id")), "master_id")
     order = Window.partitionBy("master_id").orderBy("dead", F.desc_nulls_last("in_stock"), F.asc_nulls_last("price_inr"), "sku_key", "source_id")
-    return k.withColumn("place", F.row_number().over(order)).filter("place <= 5").select("master_id", "sku_key", "price_inr", "dead", "in_stock", "place")
+    return k.withColumn("place", F.row_number().over(order)).select("master_id", "sku_key", "price_inr", "dead", "in_stock", "place")
 
 
 def _facets(roles, sizes, cond):
@@ -113,7 +113,7 @@ ORACLE = {
 , b AS (SELECT category_id, id, coalesce(span_mm, 0) AS span, unnest(list_distinct({_TAGS})) AS tag FROM live)
 , p AS (SELECT a.id AS seed_id, b.id AS other_id, count(*) AS shared, abs(min(a.span) - min(b.span)) AS dspan FROM a JOIN b USING (category_id, tag) WHERE a.id <> b.id GROUP BY 1, 2)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY shared DESC, dspan, other_id) AS INT) AS rank FROM p) WHERE rank <= 8"""),
-    "k_browse": _sql(f"SELECT coalesce({_TAGS}[1], 'Other') AS role, count(*) AS n FROM live GROUP BY 1"),
+    "k_browse": _sql(f"SELECT * FROM (SELECT coalesce({_TAGS}[1], 'Other') AS role, count(*) AS n, list_position([{', '.join(repr(r) for r in [*G.ROLES, 'Other'])}], coalesce({_TAGS}[1], 'Other')) AS place FROM live GROUP BY ALL) WHERE place IS NOT NULL"),
     "q44_browse_list": _sql("SELECT id, brand, name, role_tags, coalesce(power, 'electric') AS power FROM live"),
     "q46_home_top4": _sql("SELECT id, brand, name, min_price FROM live WHERE min_price IS NOT NULL ORDER BY min_price DESC, id LIMIT 4"),
     "k_product_offer_summary": with_views(f"""
@@ -128,7 +128,7 @@ FROM v_master JOIN s ON id = master_id WHERE status = 'ready'"""),
     "k_offer_list": with_views("""
 SELECT master_id, sku_key, price_inr, dead, in_stock, place FROM (
   SELECT k.*, CAST(row_number() OVER (PARTITION BY master_id ORDER BY dead, in_stock DESC NULLS LAST, price_inr ASC NULLS LAST, sku_key, source_id) AS INT) AS place
-  FROM v_sku k JOIN v_master m ON m.id = k.master_id AND m.status = 'ready' WHERE review_status = 'approved') WHERE place <= 5"""),
+  FROM v_sku k JOIN v_master m ON m.id = k.master_id AND m.status = 'ready' WHERE review_status = 'approved')"""),
     "k_sitemap": _sql("SELECT id, CAST(CAST(last_seen AS DATE) AS VARCHAR) AS lastmod FROM live"),
     "q23_changed_export": _sql("SELECT id, last_seen FROM live WHERE last_seen > TIMESTAMP '1998-01-01'"),
 }

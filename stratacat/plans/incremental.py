@@ -24,12 +24,12 @@ def stored(s, d):
 
 
 def scanned(s, d):
-    """What a scan sees: parts again with other prices, some moved to a new URL, some with another pid at an old URL, some new."""
+    """What a scan sees: parts again with other prices, some moved to a new URL or to another's, some with another pid at an old URL, some new."""
     k = F.col("p_partkey")
     return table(s, d, "part").filter("p_partkey % 5 <> 0").select(
         (k % 10).alias("source_id"),
         F.when(k % 8 == 0, None).when(k % 11 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(F.concat(F.lit("p"), k.cast("string"))).alias("pid"),
-        F.when(k % 7 == 0, F.concat(F.lit("https://shop/new/"), k.cast("string"))).otherwise(F.concat(F.lit("https://shop/"), k.cast("string"))).alias("url"),
+        F.when(k % 23 == 0, F.concat(F.lit("https://shop/"), (k + 10).cast("string"))).when(k % 7 == 0, F.concat(F.lit("https://shop/new/"), k.cast("string"))).otherwise(F.concat(F.lit("https://shop/"), k.cast("string"))).alias("url"),
         F.concat("p_name", F.lit(" v2")).alias("title"), F.when(k % 9 != 0, F.floor("p_retailprice").cast("bigint") + k % 3).alias("price"), F.when(k % 13 != 0, (k % 4 == 1).cast("int")).alias("stock"),
     )
 
@@ -116,7 +116,25 @@ _ROW = """k AS (SELECT *, l_orderkey * 8 + l_linenumber AS k FROM lineitem)
 , a AS (SELECT *, CASE WHEN state = 'blocked' THEN 'checked' WHEN state = 'gone' AND hours >= 24 THEN CASE WHEN misses + 1 >= 3 THEN 'dead' ELSE 'miss' END
   WHEN quote_only AND r_price IS NULL AND price IS NOT NULL THEN 'missing' WHEN state IN ('missing', 'gone') THEN 'missing'
   WHEN coalesce(price, 0) <> 0 AND coalesce(r_price, 0) <> 0 AND abs(r_price - price) / price > 0.25 THEN 'price-jump' ELSE 'write' END AS action FROM r)"""
+_SCAN = f"""WITH s AS (SELECT p_partkey % 10 AS source_id, CASE WHEN p_partkey % 4 <> 0 THEN concat('p', p_partkey) END AS pid, concat('https://shop/', p_partkey) AS url, p_name AS title, CASE WHEN p_partkey % 6 <> 0 THEN CAST(floor(p_retailprice) AS BIGINT) END AS price,
+  CAST(p_partkey % 2 AS INT) AS stock, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE 'approved' END AS review_status, CAST({NOW - 10} AS BIGINT) AS seen, CASE WHEN p_partkey % 17 = 0 THEN 1 ELSE 0 END AS dead FROM part)
+, p AS (SELECT p_partkey % 10 AS source_id, CASE WHEN p_partkey % 8 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN concat('x', p_partkey) ELSE concat('p', p_partkey) END AS pid,
+  CASE WHEN p_partkey % 23 = 0 THEN concat('https://shop/', p_partkey + 10) WHEN p_partkey % 7 = 0 THEN concat('https://shop/new/', p_partkey) ELSE concat('https://shop/', p_partkey) END AS url, concat(p_name, ' v2') AS title,
+  CASE WHEN p_partkey % 9 <> 0 THEN CAST(floor(p_retailprice) AS BIGINT) + p_partkey % 3 END AS price, CASE WHEN p_partkey % 13 <> 0 THEN CASE WHEN p_partkey % 4 = 1 THEN 1 ELSE 0 END END AS stock FROM part WHERE p_partkey % 5 <> 0)
+, h AS (SELECT p.*, a.url AS a_url, b.url AS b_url, coalesce(a.url, b.url) AS k, a.url IS NULL AND b.url IS NOT NULL AND p.pid IS NOT NULL AND b.pid IS NOT NULL AND p.pid <> b.pid AS reused, coalesce(a.url <> b.url, false) AS clash
+  FROM p LEFT JOIN s a ON a.source_id = p.source_id AND a.pid = p.pid LEFT JOIN s b ON b.source_id = p.source_id AND b.url = p.url)
+, one AS (SELECT *, row_number() OVER (PARTITION BY source_id, k ORDER BY reused, pid NULLS LAST, url) AS n FROM h WHERE k IS NOT NULL)
+, j AS (SELECT s.*, o.pid AS p_pid, o.url AS p_url, o.title AS p_title, o.price AS p_price, o.stock AS p_stock, coalesce(o.reused, false) AS taken, coalesce(o.clash, false) AS clash, o.url IS NOT NULL AND NOT coalesce(o.reused, false) AS used FROM s LEFT JOIN one o ON o.source_id = s.source_id AND o.k = s.url AND o.n = 1)
+, f1 AS (SELECT *, row_number() OVER (PARTITION BY source_id, url ORDER BY pid NULLS LAST, title) AS n FROM h WHERE k IS NULL)
+, f2 AS (SELECT *, row_number() OVER (PARTITION BY source_id, coalesce(pid, url) ORDER BY url) AS turn FROM f1 WHERE n = 1)
+, fresh AS (SELECT * FROM f2 WHERE turn = 1)"""
 ORACLE = {
+    "k_scan_upsert": f"""{_SCAN} SELECT source_id, CASE WHEN used THEN coalesce(pid, p_pid) ELSE pid END AS pid, CASE WHEN used AND NOT clash THEN p_url ELSE url END AS url, CASE WHEN used AND review_status = 'new' THEN p_title ELSE title END AS title,
+CASE WHEN used THEN coalesce(p_price, price) ELSE price END AS price, CASE WHEN used THEN coalesce(p_stock, stock) ELSE stock END AS stock, review_status, CASE WHEN taken THEN 'missing' WHEN used AND clash THEN 'url-collision' END AS flag,
+seen AS first_seen, CASE WHEN used THEN {NOW} ELSE seen END AS last_seen, CASE WHEN used THEN 0 ELSE 1 END AS misses, CASE WHEN used THEN 0 ELSE dead END AS dead FROM j
+UNION ALL SELECT source_id, pid, url, title, price, stock, 'new', NULL, {NOW}, {NOW}, 0, 0 FROM fresh""",
+    "k_scan_observations": f"""{_SCAN} SELECT source_id, url, p_price AS price, p_stock AS stock, CAST({NOW} AS BIGINT) AS "at" FROM j WHERE used AND ((p_price IS NOT NULL AND p_price IS DISTINCT FROM price) OR (p_stock IS NOT NULL AND p_stock <> coalesce(stock, 0)))
+UNION ALL SELECT source_id, url, price, stock, {NOW} FROM fresh""",
     "k_verify": f"""WITH {_ROW} SELECT sku_key, action, CASE WHEN action = 'write' THEN coalesce(r_price, price) ELSE price END AS price, CASE WHEN action = 'write' THEN coalesce(r_stock, stock) ELSE stock END AS stock,
 CASE WHEN action IN ('missing', 'price-jump') THEN action WHEN action = 'write' AND flag = 'missing' THEN NULL ELSE flag END AS flag,
 CASE WHEN action IN ('miss', 'dead') THEN misses + 1 WHEN action = 'write' THEN 0 ELSE misses END AS misses, CASE WHEN action = 'dead' THEN 1 WHEN action = 'write' THEN 0 ELSE dead END AS dead FROM a""",

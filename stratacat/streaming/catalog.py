@@ -19,8 +19,8 @@ def scan_upsert(skus: DataFrame, products: DataFrame, now_ms: int) -> tuple[Data
     revives. An observation is written when a known price or stock differs from the stored one, and for every new sku.
     Products without url are skipped; of products for one sku the first by (pid, url) counts.
     """
-    p = products.filter("url IS NOT NULL").withColumn("p_key", F.xxhash64("source_id", "pid", "url", "title"))
-    held = skus.withColumn("k", F.xxhash64("source_id", "url"))
+    p = products.filter("url IS NOT NULL")
+    held = skus.withColumn("k", F.struct("source_id", "url"))  # what identifies a sku
     by_pid = held.filter("pid IS NOT NULL").select("source_id", "pid", F.col("k").alias("k_pid"), F.col("url").alias("url_pid"))
     by_url = held.select("source_id", "url", F.col("k").alias("k_url"), F.col("pid").alias("pid_url"))
     hit = p.join(by_pid, ["source_id", "pid"], "left").join(by_url, ["source_id", "url"], "left")
@@ -47,7 +47,7 @@ def scan_upsert(skus: DataFrame, products: DataFrame, now_ms: int) -> tuple[Data
         F.when(use, F.lit(0)).otherwise(F.col("misses")).alias("misses"),
         F.when(use, F.lit(0)).otherwise(F.col("dead")).alias("dead"),
     )
-    fresh_order = Window.partitionBy("source_id", "url").orderBy(F.asc_nulls_last("pid"), "p_key")
+    fresh_order = Window.partitionBy("source_id", "url").orderBy(F.asc_nulls_last("pid"), "title")
     fresh = hit.filter("k IS NULL").withColumn("turn", F.row_number().over(fresh_order)).filter("turn = 1")
     same_pid = Window.partitionBy("source_id", F.coalesce("pid", "url")).orderBy("url")
     fresh = fresh.withColumn("turn", F.row_number().over(same_pid)).filter("turn = 1")
