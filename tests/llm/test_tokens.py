@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -77,3 +78,40 @@ def test_encode_with_lexicon(spark, tmp_path):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError, match="white space"):
         B.Encoder(P.path("byte_bpe_50k.json"))
+
+
+LEXICON = B.Lexicon(B.build_lexicon([*"ab cd", "abc", "dé", "ßa", "re", "thereof", "it's"], P.path(B.MODEL)))
+WITH_LEXICON = B.Encoder(P.path(B.MODEL), LEXICON)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abcdrestxABÀÖ×é÷ 0129'\"<|>\n\t"), max_size=60))
+def test_latin_pieces_match_the_library(text):
+    ids = WORD.encode(text, add_special_tokens=False).ids
+    for encoder in (ENCODER, WITH_LEXICON):
+        assert encoder.encode(text) == (" ".join(map(str, ids)), WORD.decode(ids, skip_special_tokens=False), len(ids))
+
+
+def test_long_texts_come_in_segments(monkeypatch):
+    monkeypatch.setattr(B, "SEGMENT", 50)
+    texts = ["one two " * 40, None, "", "x" * 300 + " y", "It's <|endoftext|> Ünder 中文 " * 9, " \n " * 60, "end"]
+    got = {k: [] for k in range(len(texts))}
+    for owners, ids in WITH_LEXICON.segments(pa.array(texts)):
+        for k, a, b in owners:
+            got[k] += ids[a:b].tolist()
+    assert got == {k: WORD.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(texts)}
+
+
+def test_values_and_a_lexicon_in_the_shared_folder(spark):
+    docs = documents(spark)
+    words = B.frequent_words(docs.unionByName(docs).unionByName(docs))
+    place = B.write_lexicon(words, P.path(B.MODEL))
+    assert place.startswith(B.C.shared_dir(spark)) and B.Lexicon.opened(place).get(b"one") is not None
+    for r in B.encode(docs, P.path(B.MODEL), with_values=True).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        ids = WORD.encode(r.text or "", add_special_tokens=False).ids
+        assert (r.ids, r.decoded) == (ids, WORD.decode(ids, skip_special_tokens=False))
+
+
+def test_the_lexicon_keeps_its_limit(spark):
+    rows = [(i, " ".join(["always"] * 40 + ["often"] * 10 + [f"rare{chr(97 + i)}{chr(97 + j)}" for j in range(20)] * 4), "en", "x", 0) for i in range(20)]
+    assert {r.w for r in B.frequent_words(documents(spark, rows), 100).collect()} == {"always", "often"}
