@@ -62,6 +62,44 @@ def test_contexts_of_seeds_find_other_identifiers(spark, tmp_path):
     assert got[50] == "phone:15:27" and got[51] == ""
 
 
+def test_secrets_come_from_their_contexts(spark, tmp_path):
+    secret = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'word {i} token = "{secret(i)}" end', "en", "x", 0) for i in range(12)]
+    rows += [(50, "then token = 'Zx9-kk27_Qp4413ab'!! end", "en", "x", 0), (51, "so Zx9-kk27_Qp4413ab over", "en", "x", 0), (52, f"digest {secret(99)} alone", "en", "x", 0)]
+    got = {r.doc_id: r for r in run(spark, tmp_path, documents(spark, rows)).collect()}
+    assert got[3].spans == "secret:16:56" and got[3].n_secret == 1 and got[3].personal and got[3].n_email == 0
+    assert got[50].spans == "secret:14:31" and rows[12][1][14:31] == "Zx9-kk27_Qp4413ab"
+    assert got[51].spans == got[52].spans == "" and not got[51].personal
+
+
+def test_found_tokens_bring_new_patterns(spark):
+    """Seeds speak for the first context only; numbers found there also stand in the second, which finds one more in a later round."""
+    number = lambda i: f"202-555-01{i:02d}"
+    rows = [(i, f"please dial +1 202 555 {i:04d}", "en", "x", 0) for i in range(400)]
+    rows += [(1100 + i, f"please dial {number(i)}", "en", "x", 0) for i in range(12)] + [(1200 + i, f"reach me under {number(i)}", "en", "x", 0) for i in range(12)] + [(1300, "reach me under 202-555-0777", "en", "x", 0)]
+    found = lambda rounds: {r.doc_id: [s.kind for s in r.pii_all] for r in pii.detect(documents(spark, rows), rounds=rounds).collect()}
+    late, early = found(3), found(1)
+    assert late[1105] == early[1105] == ["phone"]
+    assert early[1300] == [] and late[1300] == ["phone"]
+
+
+def test_right_contexts_and_runs_of_numbers(spark):
+    rows = [(i, f"{c} +1 202 555 01{i:02d} (mobile) x", "en", "x", 0) for i, c in enumerate("abcdefghijklmnop")] + [(50, "zz 202 555 0199 (mobile) x", "en", "x", 0)]
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.pii_all] for r in pii.detect(documents(spark, rows)).collect()}
+    assert got[50] == [(3, 15, "phone")]
+
+
+def test_many_tokens_and_seeds_in_one_text(spark):
+    text = " ".join(f"u{i}@x.example.org 10.0.{i % 200}.{i % 7} tel 0{i:07d}" for i in range(4000))
+    found = pii.detect(documents(spark, [(1, text, "en", "x", 0)])).collect()[0]
+    assert (len(found.pii_email), len(found.pii_ip)) == (4000, 4000)
+
+
+def test_overlapping_spans_are_replaced_together(spark):
+    docs = documents(spark, [(1, "call +49 170 1234567.joe@x.com now", "en", "x", 1)])
+    assert pii.redact(docs).first().text == "call <PHONE> now"
+
+
 def test_redaction_and_empty_table(spark):
     docs = documents(spark, [(1, "mail a@b.example.com or 8.8.8.8!", "en", "x", 1), (2, None, "en", "x", None)])
     out = {r.doc_id: r for r in pii.redact(docs).collect()}
