@@ -1,23 +1,26 @@
 """Toxicity by a support vector machine over a gapped subsequence string kernel, with Nystrom landmarks.
 
 Two words are compared by the three-letter subsequences that they share; a subsequence that spans s letters (at most
-``SPAN``) weighs ``DECAY`` ** s, so inserted letters cost little. Word ends count as letters. Landmark words are taken from the
-labelled sentences: words that toxic documents hold far more often, spread by a greedy pass. A document's kernel with a landmark
-is the best of its words' normalised kernels (values under ``FLOOR`` count as 0); the inverse square root of the landmarks' own
-kernel matrix turns these into features, on which a linear squared-hinge machine is trained. Its margin becomes a
-probability by a fitted sigmoid that restores the labels' own class shares.
+``SPAN``) weighs ``DECAY`` ** s, so inserted letters cost little. Word ends count as letters. Three or more single letters in a
+row are read as one more word, so that spelled-out insults meet their landmarks. Landmark words are taken from the
+labelled sentences: words that toxic documents hold far more often, spread by a greedy pass; of a word beyond ``LONG`` letters every window is a
+candidate. A document's kernel with a landmark is the best of its words' normalised kernels (values under ``FLOOR`` count as 0); the
+inverse square root of the landmarks' own kernel matrix turns these into features, on which a linear squared-hinge machine is
+trained. Its margin becomes a probability by a fitted sigmoid that restores the labels' own class shares.
 
 Training takes at most ``TRAIN_PER_CLASS`` labelled documents a class, in the order of a hash of their ids, none of them held
-out. Labels, language, source and ids are no inputs of a score.
+out; of rows that share an id the text that comes first by its hash. Labels, language, source and ids are no inputs of a score.
 
 Defined cases: null and empty texts have no words and get the score of an empty document; a null doc_id stays null and is
 not held out; repeated rows each give a row; of several labels for one document the largest counts; with no labelled
-document of a class every score is that of the other class (0.5 without labels); extra columns are ignored. Texts have no
-length limit: words beyond ``LONG`` letters are read in overlapping windows.
+document of a class every score is that of the other class (0.5 without labels); words with one score are taken in their own order; an
+empty table gives an empty result; extra columns are ignored. Texts have no length limit: words beyond ``LONG`` letters are read in
+overlapping windows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +44,15 @@ def windows(word: str) -> list[str]:
     return [word] if len(word) <= LONG else [word[i : i + LONG] for i in range(0, len(word) - LONG // 2, LONG // 2)]
 
 
+_SPELLED = re.compile(r"(?<!\S)\w(?:\s+\w(?!\S)){2,}")
+
+
+def words_of(text: str | None) -> set[str]:
+    """The words, lower-cased, and what runs of single letters spell."""
+    low = (text or "").lower()
+    return {*low.split(), *("".join(m.split()) for m in _SPELLED.findall(low))}
+
+
 def subsequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all three-letter subsequences: which text, a hash, the weight. Texts are laid out flat, apart by SPAN zeros."""
     flat = np.frombuffer(("\0" * SPAN).join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -63,11 +75,11 @@ def subsequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Kernel:
-    """Normalised kernels of words with the landmarks."""
+    """Normalised kernels of words with the landmarks (words with marked ends, or windows of them)."""
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
-        who, h, weight = subsequences([windows(x)[0] for x in landmarks])
+    def __init__(self, landmarks: list[str], marked: bool = False):
+        self.landmarks = landmarks = landmarks if marked else [p for x in landmarks for p in windows(x)]
+        who, h, weight = subsequences(landmarks)
         keys, row = np.unique(h, return_inverse=True)
         table = np.zeros((len(keys) + 1, len(landmarks)), np.float32)  # row 0: not in any landmark
         np.add.at(table, (row + 1, who), weight)
@@ -79,7 +91,12 @@ class Kernel:
     def of(self, words: list[str]) -> np.ndarray:
         """One row per word, one column per landmark."""
         parts = [(k, p) for k, w in enumerate(words) for p in windows(w)]
-        texts = [p for _, p in parts]
+        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        np.maximum.at(out, np.fromiter((k for k, _ in parts), np.int64, len(parts)), self.of_parts([p for _, p in parts]))
+        return out
+
+    def of_parts(self, texts: list[str]) -> np.ndarray:
+        """One row per marked word or window. Its norm counts places, a landmark's counts kinds of subsequences: letters that repeat around an insult don't hide it."""
         who, h, weight = subsequences(texts)
         norms = np.sqrt(np.bincount(who, weight**2, len(texts)))
         sums = np.zeros((len(texts), len(self.landmarks)), np.float32)
@@ -90,19 +107,17 @@ class Kernel:
             first = np.flatnonzero(np.diff(who[order], prepend=-1))
             sums[who[order][first]] = np.add.reduceat(self.table[at[order]] * weight[order, None].astype(np.float32), first, axis=0)
         sums /= np.where(norms > 0, norms, 1)[:, None]
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        np.maximum.at(out, np.fromiter((k for k, _ in parts), np.int64, len(parts)), np.minimum(sums, 1))
-        return out
+        return np.minimum(sums, 1)
 
 
 class Documents:
     """Kernels of documents with the landmarks, remembering words."""
 
     def __init__(self, landmarks: list[str]):
-        self.kernel, self.known = Kernel(landmarks), {}
+        self.kernel, self.known = Kernel(landmarks, marked=True), {}
 
     def of(self, texts: list[str | None]) -> np.ndarray:
-        sets = [set((t or "").lower().split()) for t in texts]
+        sets = [words_of(t) for t in texts]
         out = np.zeros((len(texts), len(self.kernel.landmarks)), np.float32)
         if len(self.known) > _REMEMBERED:
             self.known.clear()
@@ -138,14 +153,14 @@ def _kernels(landmarks: list[str], finish, names: list[str]):
 
 def _pick(candidates: list[tuple[str, float]], many: int) -> list[str]:
     """Greedily the best-scored words of which none is too much like a chosen one; then the best of the rest."""
-    names = [w for w, _ in candidates]
+    names = list(dict.fromkeys(x for w, _ in candidates for x in windows(w)))
     chosen: list[int] = []
     nearest = np.zeros(len(names), np.float32)  # kernel with the nearest chosen word
     for limit in (0.6, 0.8, 1.1):
         for k, name in enumerate(names):
             if len(chosen) < many and k not in chosen and nearest[k] < limit:
                 chosen.append(k)
-                nearest = np.maximum(nearest, Kernel([name]).of(names)[:, 0])
+                nearest = np.maximum(nearest, Kernel([name], marked=True).of_parts(names)[:, 0])
     return [names[k] for k in chosen]
 
 
@@ -195,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, fl
         return [], np.zeros(0), 6.0 if 1 in shares else -6.0 if shares else 0.0
     order = F.xxhash64(F.col("doc_id"))
     sample = C.cut(known.filter("y = 1").orderBy(order, "doc_id").limit(TRAIN_PER_CLASS).unionByName(known.filter("y = 0").orderBy(order, "doc_id").limit(TRAIN_PER_CLASS)))
-    texts = C.cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))  # at most 2 * TRAIN_PER_CLASS rows
+    texts = C.cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")))  # at most 2 * TRAIN_PER_CLASS rows
     sizes = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return [], np.zeros(0), 6.0 if 1 in sizes else -6.0 if sizes else 0.0
@@ -211,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, fl
     rows = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, k array<double>").orderBy("doc_id").toArrow()  # bounded; numbers stay packed
     y = np.where(rows.column("y").to_numpy() > 0, 1.0, -1.0)
     x = rows.column("k").combine_chunks().flatten().to_numpy().reshape(len(y), len(landmarks))
-    own = Kernel(landmarks).of(landmarks).astype(float)
+    own = Kernel(landmarks, marked=True).of_parts(landmarks).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
     z = x @ root

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -61,3 +62,42 @@ def test_windows_cover_long_words():
     word = "".join(chr(97 + i % 26) for i in range(333))
     parts = T.windows(word)
     assert all(len(p) <= T.LONG for p in parts) and all(any(word[i : i + 3] in p for p in parts) for i in range(331))
+
+
+def plain_kernel(word, landmark):
+    """The kernel by its definition: all triples of places, gaps included."""
+
+    def places(w):
+        w = f"\x02{w}\x03"
+        return [(w[i] + w[j] + w[k], T.DECAY ** (k - i + 1)) for i, j, k in combinations(range(len(w)), 3) if k - i < T.SPAN]
+
+    kinds = {}
+    for g, n in places(landmark):
+        kinds[g] = kinds.get(g, 0) + n
+    norms = sum(n * n for _, n in places(word)) ** 0.5 * sum(n * n for n in kinds.values()) ** 0.5
+    return min(1, sum(n * kinds.get(g, 0) for g, n in places(word)) / (norms or 1))
+
+
+def test_kernel_matches_its_definition():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(40)] + ["idiot", "id1ot", "i.d.i.o.t"]
+    got = T.Kernel(words[:12]).of(words)
+    for i, w in enumerate(words):
+        for j, landmark in enumerate(words[:12]):
+            assert abs(got[i, j] - plain_kernel(w, landmark)) < 1e-4
+
+
+def test_spelled_out_words():
+    assert {"idiot", "you", "are"} <= T.words_of("You are i d i o t") and "ab" not in T.words_of("a b cd")
+    got = T.Documents([x for x in T.windows("idiot")]).of(["you i d i o t go", "you are well", None])
+    assert got[0, 0] > 0.99 and got[1, 0] == got[2, 0] == 0
+
+
+def test_long_landmarks_are_whole():
+    """Toxic by the end of one long word: beyond the first window."""
+    word = "neutralopening" * 4 + "blockheadstinker"
+    parts = T._pick([(word, 1.0)], 8)
+    assert all(any(word[i : i + 5] in p for p in parts) for i in range(len(word) - 5))
+    k = T.Documents(parts).of([f"plain {word} words", "plain " + word[:56], "blockheadstinkers"])
+    last = next(i for i, p in enumerate(parts) if "stinker" in p)
+    assert k[0].min() > 0.99 and k[2][last] > 0.4 and k[2].argmax() == last
