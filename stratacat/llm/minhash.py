@@ -205,7 +205,9 @@ def linked(docs: DataFrame, need: int = NEED) -> DataFrame:
     links = first.unionByName(confirmed(across, sets, need)).unionByName(own)
     comps = components(links)
     named = C.cut(classes.join(comps, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("group")))
-    by_class = named.join(named.groupBy("group").agg(F.min("doc_id").alias("component")), "group").select("digest", "component")
+    # only groups of several classes have to meet; their names are written first, so that a group with very many classes can be split over tasks
+    groups = C.cut(named.groupBy("group").agg(F.min("doc_id").alias("component"), F.count("*").alias("classes")).filter("classes > 1").drop("classes"))
+    by_class = C.join_sized(named, groups, "group", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
     found = sig.select("doc_id", "n", "digest").join(by_class, "digest", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
 
