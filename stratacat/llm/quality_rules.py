@@ -1,14 +1,19 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Each rule compares a text statistic with a cutoff. The cutoff is chosen per stratum (language) from a fixed ladder: the
-lowest one for which labelled good documents show, by an exact binomial tail, that at most ``risk`` of good
-documents would be rejected. The tail must stay under ``delta`` divided by the number of all tests
-(strata x rules x ladder steps: Bonferroni), so all cutoffs hold together. A rule without such a cutoff is off
-in that stratum.
+Each rule compares a text statistic with a cutoff. The cutoff is chosen per stratum (language) from a fixed ladder. A cutoff
+is safe if labelled good documents show, by an exact binomial tail, that at most ``risk`` of good documents would be
+rejected. A ladder is tested from its laxest cutoff on and left at the first that is not shown safe, which needs no
+correction; over strata and rules the tail must stay under ``delta`` divided by their number (Bonferroni), so all safe cutoffs
+hold together with probability 1 - ``delta``. Of the safe ones that is taken which rejects most labelled bad documents, a rejected good one
+weighing as ``PRICE`` bad ones (of equals the laxest). A rule without a gain or without a safe cutoff is off in that stratum.
+
+Trials are different labelled documents: rows that repeat a document count once, with the largest statistics of those
+that pass the base test.
 
 Defined cases: null and empty texts have zero words and fail the base test; a null lang is a stratum of its
 own; rows of documents that repeat each give a row; null and repeated label rows: null ids and null labels are ignored, and a
-document with any label 0 is not good; extra columns are ignored.
+document with any label 0 is bad; without labels every rule is off; an empty table gives an empty result; a statistic equal to its
+cutoff passes; extra columns are ignored. Texts have no length limit.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ LADDERS = {
     "long_words": [7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0],  # mean word length
     "upper": [0.1, 0.2, 0.3, 0.4, 0.5, 0.7, 0.9],  # capitals per word character
 }
-RISK, DELTA = 0.004, 0.05
+RISK, DELTA, PRICE = 0.03, 0.05, 5
 TAG = "qr_"
 
 
@@ -104,25 +109,33 @@ def _log_tail(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(steps, F.struct(none.alias("term"), none.alias("sum")), step, lambda acc: acc["sum"])
 
 
-def cutoffs(statistics: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """``lang`` and one cutoff per rule (null: off), from labelled good documents that pass the base test."""
-    import math
+def trials(statistics: DataFrame, labels: DataFrame) -> DataFrame:
+    """``lang, doc_id, good`` and the rule statistics: one row per labelled document (and language) that passes the base test."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    passing = statistics.filter(~F.col(f"{TAG}base_failed")).select("doc_id", "lang", *[f"{TAG}{rule}" for rule in LADDERS])
+    return passing.join(known, "doc_id").groupBy("lang", "doc_id", "good").agg(*[F.max(f"{TAG}{rule}").alias(f"{TAG}{rule}") for rule in LADDERS])
 
-    good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select(F.col("doc_id").alias("qr_label_id"))
-    held = statistics.filter(~F.col(f"{TAG}base_failed")).join(good, F.col("doc_id") == F.col("qr_label_id"), "left_semi")
-    tests = [F.count_if(F.col(f"{TAG}{rule}") > c).alias(f"{rule}__{i}") for rule, ladder in LADDERS.items() for i, c in enumerate(ladder)]
-    counts = C.cut(held.groupBy("lang").agg(F.count("*").alias("n"), *tests))
-    level = counts.select((F.lit(math.log(delta / sum(map(len, LADDERS.values())))) - F.log(F.count("*").cast("double"))).alias("level")).where("level is not null")
-    # more false rejections than n * risk can never pass, which keeps the sums short
-    def first_safe(rule):
-        safe = [F.when(F.when(F.col(f"{rule}__{i}") > F.col("n") * risk, F.lit(False)).otherwise(_log_tail(F.col("n"), F.col(f"{rule}__{i}"), risk) <= F.col("level")), F.lit(c)) for i, c in enumerate(ladder_of(rule))]
-        return F.coalesce(*safe).alias(f"{TAG}cut_{rule}")
 
-    return counts.crossJoin(F.broadcast(level)).select(F.col("lang").alias(f"{TAG}lang"), *[first_safe(r) for r in LADDERS])
+def cutoffs(statistics: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, price: float = PRICE) -> DataFrame:
+    """``qr_lang`` and one cutoff per rule (null: off)."""
+    import math
+
+    tests = {f"{rule}__{i}": F.col(f"{TAG}{rule}") > c for rule, ladder in LADDERS.items() for i, c in enumerate(ladder)}
+    good = [F.count_if(F.col("good") & t).alias(name) for name, t in tests.items()]
+    bad = [F.count_if(~F.col("good") & t).alias(f"{name}__bad") for name, t in tests.items()]
+    counts = C.cut(trials(statistics, labels).groupBy("lang").agg(F.count_if("good").alias("n"), *good, *bad))
+    level = counts.select((F.lit(math.log(delta / len(LADDERS))) - F.log(F.count("*").cast("double"))).alias("level")).where("level is not null")
 
+    def best(rule):
+        ladder = LADDERS[rule]
+        # more false rejections than n * risk can never be safe, which keeps the sums short; a laxer cutoff than a safe one is safe
+        lost = lambda i: F.col(f"{rule}__{i}")
+        safe = lambda i: F.when(lost(i) > F.col("n") * risk, F.lit(False)).otherwise(_log_tail(F.col("n"), lost(i), risk) <= F.col("level"))
+        gains = F.array(*[F.when(safe(i), F.struct((F.col(f"{rule}__{i}__bad") - price * lost(i)).alias("gain"), F.lit(c).alias("cutoff"))) for i, c in enumerate(ladder)])
+        top = F.array_max(gains)
+        return F.when(top["gain"] > 0, top["cutoff"]).alias(f"{TAG}cut_{rule}")
 
-def ladder_of(rule: str) -> list[float]:
-    return LADDERS[rule]
+    return counts.crossJoin(F.broadcast(level)).select(F.col("lang").alias(f"{TAG}lang"), *[best(r) for r in LADDERS])
 
 
 def judge(statistics: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -152,10 +165,13 @@ def _oracle() -> str:
 
     space = r"[\x20\x09-\x0D]+"
     rules = list(LADDERS)
-    level = f"{math.log(DELTA / sum(map(len, LADDERS.values())))!r} - ln((SELECT count(*) FROM c))"
+    level = f"{math.log(DELTA / len(LADDERS))!r} - ln((SELECT count(*) FROM c))"
     tail = lambda k: f"(SELECT ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * {math.log(RISK)!r} + (n - i) * {math.log1p(-RISK)!r}))) FROM range(0, {k} + 1) t(i))"
-    first = lambda r: "coalesce(" + ", ".join(f"CASE WHEN {r}__{i} <= n * {RISK} AND {tail(f'{r}__{i}')} <= {level} THEN {c} END" for i, c in enumerate(LADDERS[r])) + ")"
-    counts = ", ".join(f"count(*) FILTER (WHERE {r} > {c}) AS {r}__{i}" for r in rules for i, c in enumerate(LADDERS[r]))
+    gain = lambda r, i: f"CASE WHEN {r}__{i} <= n * {RISK} AND {tail(f'{r}__{i}')} <= {level} THEN {r}__{i}__bad - {PRICE} * {r}__{i} END"
+    gains = ", ".join(f"{gain(r, i)} AS {r}__{i}__gain" for r in rules for i in range(len(LADDERS[r])))
+    top = lambda r: "greatest(" + ", ".join(f"coalesce({r}__{i}__gain, 0)" for i in range(len(LADDERS[r]))) + ")"
+    first = lambda r: "CASE " + " ".join(f"WHEN {r}__{i}__gain > 0 AND {r}__{i}__gain = {top(r)} THEN {LADDERS[r][i]}" for i in reversed(range(len(LADDERS[r])))) + " END"
+    counts = ", ".join(f"count(*) FILTER (WHERE {'' if good else 'NOT '}good AND {r} > {c}) AS {r}__{i}{'' if good else '__bad'}" for r in rules for i, c in enumerate(LADDERS[r]) for good in (True, False))
     by = "concat_ws(',', " + ", ".join(f"CASE WHEN {r} > cut_{r} THEN '{r}' END" for r in rules) + ")"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents)
@@ -166,9 +182,11 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '')
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper FROM w LEFT JOIN rep USING (rid))
 , s AS (SELECT *, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbols, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_lines, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_words, coalesce(word_chars / nullif(n_words, 0), 0) AS long_words,
   coalesce(n_upper / nullif(word_chars, 0), 0) AS upper, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
-, good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1)
-, c AS (SELECT lang, count(*) AS n, {counts} FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY lang)
-, cuts AS (SELECT lang AS cut_lang, {", ".join(f"{first(r)} AS cut_{r}" for r in rules)} FROM c)
+, known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1)
+, t AS (SELECT lang, doc_id, good, {", ".join(f"max({r}) AS {r}" for r in rules)} FROM s JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY ALL)
+, c AS (SELECT lang, count(*) FILTER (WHERE good) AS n, {counts} FROM t GROUP BY lang)
+, e AS (SELECT lang, {gains} FROM c)
+, cuts AS (SELECT lang AS cut_lang, {", ".join(f"{first(r)} AS cut_{r}" for r in rules)} FROM e)
 , j AS (SELECT *, {by} AS rejected_by FROM s LEFT JOIN cuts ON lang IS NOT DISTINCT FROM cut_lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM j"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stratacat.llm import quality_rules as Q
 from stratacat.llm import weak_quality as W
 
+from ..oracle import TABLES, same
 from .cases import ROWS, documents, labels
 
 
@@ -50,12 +51,38 @@ def stats(spark, rows):
 
 def test_cutoffs_hold_the_risk(spark):
     rows = [(i, "en", 0.06 if i % 1000 == 0 else 0.0) for i in range(6000)] + [(10_000 + i, "de", 0.0) for i in range(500)]
-    good = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
-    cuts = {r.qr_lang: r for r in Q.cutoffs(stats(spark, rows), good).collect()}
+    junk = [(20_000 + i, "en", 0.15 if i % 2 else 0.03) for i in range(400)] + [(30_000 + i, "de", 0.4) for i in range(100)]
+    labelled = spark.createDataFrame([(r[0], 1) for r in rows] + [(r[0], 0) for r in junk], "doc_id long, quality int")
+    cuts = {r.qr_lang: r for r in Q.cutoffs(stats(spark, rows + junk), labelled, risk=0.004).collect()}
     assert cuts["en"].qr_cut_symbols == 0.02  # 6 of 6000 rejections prove less than 0.4 %
     assert cuts["de"].qr_cut_symbols is None  # 500 documents prove nothing
     worse = [(i, "en", 0.06 if i % 100 == 0 else 0.0) for i in range(6000)]
-    assert Q.cutoffs(stats(spark, worse), good).first().qr_cut_symbols == 0.1
+    assert Q.cutoffs(stats(spark, worse + junk), labelled, risk=0.004).filter("qr_lang = 'en'").first().qr_cut_symbols == 0.1
+    # what good documents lose weighs more than what bad ones do: 60 good for 400 bad, then 200 bad for none
+    assert Q.cutoffs(stats(spark, worse + junk), labelled).filter("qr_lang = 'en'").first().qr_cut_symbols == 0.1
+    assert Q.cutoffs(stats(spark, worse + junk), labelled, price=1).filter("qr_lang = 'en'").first().qr_cut_symbols == 0.02
+
+
+def test_repeated_rows_are_one_trial(spark):
+    rows = [(1, "en", 0.0)] * 3000 + [(2, "en", 0.5)] * 1000
+    labelled = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert sorted((r.doc_id, r.good, r.qr_symbols) for r in Q.trials(stats(spark, rows), labelled).collect()) == [(1, True, 0.0), (2, False, 0.5)]
+    assert Q.cutoffs(stats(spark, rows), labelled).first().qr_cut_symbols is None
+
+
+def test_rules_fire_as_the_oracle_says(spark, tmp_path):
+    """Enough labels for every rule to be on in one language; a second one with too few."""
+    prose = lambda i: " ".join(f"plain{(i * 7 + k) % 83} word{k}" for k in range(30))
+    rows = [(i, prose(i), "en", "x", 0) for i in range(300)] + [(1000 + i, prose(i) + " ### $$$ |||" * 8, "en", "x", 0) for i in range(60)]
+    rows += [(2000 + i, prose(i).upper(), "en", "x", 0) for i in range(60)] + [(3000 + i, "\n".join([prose(i), *["same line"] * 6]), "en", "x", 0) for i in range(60)] + [(4000 + i, prose(i) + " ### $$$" * 8, "de", "x", 0) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    marks = [(r[0], int(r[0] < 1000), 0) for r in rows] + [(r[0], 1, 0) for r in rows[:5]]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for t in set(TABLES) - {"documents", "labels"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    same(spark, Q.query, Q.ORACLE, str(tmp_path))
+    by = Counter(r.rejected_by for r in Q.query(spark, str(tmp_path)).collect() if not r.base_failed)
+    assert by[""] == 300 + 60 and sum(n for k, n in by.items() if "symbols" in k) == 60 and sum(n for k, n in by.items() if "upper" in k) >= 60 and sum(n for k, n in by.items() if "dup_lines" in k) == 60
 
 
 def test_keep_returns_documents(spark):
