@@ -1,17 +1,18 @@
 """URL filtering by empirical-Bayes host reputation, in DataFrame functions only.
 
-Labelled pages (label quality 0 is a bad outcome) are counted per host. The bad rate of each level gets a beta
-prior from the level above: everything -> suffix -> registered domain -> host. The strength of a prior is
-fitted by moments: the more the children of a level differ beyond chance, the weaker it is. A host is
-blocked when the lower bound of its posterior bad rate (mean minus ``width`` standard deviations; by Cantelli's
-inequality the rate lies above it with probability width^2 / (1 + width^2), whatever the shape) passes
-``max_bad``. Hosts, domains and suffixes without labels inherit the posterior of the level above.
+Labelled pages are counted per host; a page is bad if a label calls it of low quality (0) or toxic (1). The bad rate of each level
+gets a beta prior from the level above: everything -> suffix -> registered domain -> host. The strength of a prior is
+fitted by moments: the more the children of a level differ beyond chance, the weaker it is. A host is blocked when
+the lower bound of its posterior bad rate (``z`` standard deviations below the mean, so that the rate lies above it with about the
+probability of ``SURE``) passes ``times`` the bad rate of all labelled pages: that sure it is that the host is
+worse than the web at large. Hosts, domains and suffixes without labels inherit the posterior of the level above.
 
-Fixed path rules come first; of those that fit, the longest wins.
+Fixed path rules come first; of those that fit, the longest wins (two rules of one length that fit one url are the same rule).
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed;
 pages without labels still get a verdict; repeated page rows each give a row, and count once in the reputations;
-a page with several labels is bad if any is 0; extra columns are ignored.
+a page with several labels is bad if any calls it so; null labels and ids are ignored; without labels no host is blocked; an empty table
+gives an empty result; extra columns are ignored. Urls have no length limit.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from . import common as C
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Second-level labels under which names are registered as if under a suffix.
 SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "org"]
-MAX_BAD, WIDTH = 0.5, 4.36  # 4.36: probability 0.95
+#: Blocked above so many times the overall bad rate, with probability SURE (of the normal distribution: Z deviations).
+TIMES, SURE, Z = 1.0, 0.8, 0.8416
 
 
 def host_of(url: Column) -> Column:
@@ -56,7 +58,7 @@ def with_levels(hosts: DataFrame) -> DataFrame:
     return hosts.withColumn("domain", F.when(address, bare).otherwise(domain)).withColumn("suffix", F.when(address, F.lit("")).otherwise(suffix))
 
 
-def _prior(counts: DataFrame, parents: DataFrame, level: str, parent: list[str]) -> DataFrame:
+def _prior(counts: DataFrame, parents: DataFrame, parent: list[str]) -> DataFrame:
     """Posterior of each ``level``: ``alpha`` and ``beta`` from its own counts and its parent's posterior mean.
 
     Strength by moments, pooled over the level: with s = sum n, the spread of rates beyond chance is
@@ -71,28 +73,32 @@ def _prior(counts: DataFrame, parents: DataFrame, level: str, parent: list[str])
     return scored.drop("mean", "weight").withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
 
-def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``host, n_labelled, n_bad, bad_rate, bad_low`` for every host of ``pages`` (``page_id, host``)."""
-    outcome = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).cast("long").alias("is_bad"))
+def reputation(pages: DataFrame, labels: DataFrame, z: float = Z) -> DataFrame:
+    """``host, n_labelled, n_bad, bad_rate, bad_low, overall`` for every host of ``pages`` (``page_id, host``). Each level is worked out once and written."""
+    toxic = F.coalesce(F.max("toxic") == 1, F.lit(False)) if "toxic" in labels.columns else F.lit(False)
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    outcome = known.groupBy(F.col("doc_id").alias("page_id")).agg(((F.min("quality") == 0) | toxic).cast("long").alias("is_bad"))
     seen = pages.groupBy("page_id", "host").agg(F.lit(1).alias("one")).join(outcome, "page_id", "left")
     hosts = C.cut(with_levels(seen.groupBy("host").agg(F.count("is_bad").alias("n"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad"))))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    everything = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("mean"))
-    by_suffix = _prior(suffixes, everything, "suffix", []).select("suffix", "mean")
-    by_domain = _prior(domains, by_suffix, "domain", ["suffix"]).select("domain", "mean")
-    by_host = _prior(hosts, by_domain, "host", ["domain"])
+    domains = C.cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    suffixes = C.cut(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    everything = C.cut(suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("mean")))
+    by_suffix = C.cut(_prior(suffixes, everything, []).select("suffix", "mean"))
+    by_domain = C.cut(_prior(domains, by_suffix, ["suffix"]).select("domain", "mean"))
+    by_host = _prior(hosts, by_domain, ["domain"])
     a, b = F.col("alpha"), F.col("beta")
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return C.cut(by_host.select("host", F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), F.col("mean").alias("bad_rate"), F.greatest(F.col("mean") - WIDTH * deviation, F.lit(0.0)).alias("bad_low")))
+    low = F.greatest(F.col("mean") - z * deviation, F.lit(0.0))
+    found = by_host.select("host", F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), F.col("mean").alias("bad_rate"), low.alias("bad_low"))
+    return C.cut(found.crossJoin(F.broadcast(everything.select(F.col("mean").alias("overall")))))  # one row
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, times: float = TIMES, z: float = Z) -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_rate, bad_low`` for every row of ``pages``."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    found = reputation(parsed, labels)
+    found = reputation(parsed, labels, z)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    by_host = F.when((F.col("host") != "") & (F.col("bad_low") > max_bad), F.lit("block")).otherwise(F.lit("allow"))
+    by_host = F.when((F.col("host") != "") & (F.col("n_labelled") > 0) & (F.col("bad_low") > times * F.col("overall")), F.lit("block")).otherwise(F.lit("allow"))
     return C.join_sized(parsed, found, "host", "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), "bad_rate", "bad_low"
     )
@@ -117,7 +123,7 @@ def _oracle() -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
-, o AS (SELECT doc_id AS page_id, CASE WHEN min(quality) = 0 THEN 1 ELSE 0 END AS is_bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1)
+, o AS (SELECT doc_id AS page_id, CASE WHEN min(quality) = 0 OR max(toxic) = 1 THEN 1 ELSE 0 END AS is_bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1)
 , h0 AS (SELECT host, count(is_bad) AS n, CAST(coalesce(sum(is_bad), 0) AS BIGINT) AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM (SELECT DISTINCT page_id, host FROM p) LEFT JOIN o USING (page_id) GROUP BY host)
 , h1 AS (SELECT *, string_split(bare, '.') AS parts, regexp_matches(bare, '^[0-9.]+$|^\\[') AS address FROM h0)
 , h2 AS (SELECT *, CASE WHEN len(parts) >= 3 AND length(parts[-1]) = 2 AND parts[-2] IN ({', '.join(f"'{x}'" for x in SECOND_LEVEL)}) THEN 3 ELSE 2 END AS wide FROM h1)
@@ -125,8 +131,8 @@ WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([
 , domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL)
 , suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL)
 , everything AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS mean FROM suffixes){prior("ps", "suffixes", ", everything q")}{prior("pd", "domains", "LEFT JOIN ps q USING (suffix)")}{prior("ph", "hosts", "LEFT JOIN pd q USING (domain)")}
-, r AS (SELECT host, mean, greatest(mean - {WIDTH} * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))), 0) AS low FROM ph)
-SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, CASE WHEN host <> '' AND low > {MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_rate, round(low, 6) AS bad_low FROM p LEFT JOIN r USING (host)"""
+, r AS (SELECT host, mean, greatest(mean - {Z} * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))), 0) AS low, n FROM ph)
+SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, CASE WHEN host <> '' AND n > 0 AND low > {TIMES} * (SELECT mean FROM everything) THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_rate, round(low, 6) AS bad_low FROM p LEFT JOIN r USING (host)"""
 
 
 ORACLE = _oracle()
