@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import activity, admin, facts, grid, identity, incremental, transitions
+from .plans import activity, admin, facts, grid, identity, incremental, profiles, transitions
 
-_PLANS = [grid, activity, facts, identity, incremental, transitions, admin]
+_PLANS = [grid, activity, facts, identity, incremental, transitions, admin, profiles]
 QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for p in _PLANS for k, v in p.ORACLE.items()}
