@@ -25,7 +25,6 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import zstandard
@@ -145,25 +144,21 @@ class Reader:
             yield from parse(self.frame(k))
 
 
-def _filesystem(uri: str):
-    """A pyarrow file system and path for ``uri`` (file, hdfs, s3, gs)."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), unquote(urlparse(uri).path)
-    return fs.FileSystem.from_uri(uri)
-
-
 def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds ``wr_refers``: the page_id of the response that a page revisits, else null. Payload groups meet as digests and ids only."""
+    """Adds ``wr_refers``: the page_id of the response that a page revisits, else null.
+
+    Payload groups meet as digests and ids only; the revisits' ids then come to the pages, whose texts move only where these ids are too many to broadcast.
+    """
     payload = F.coalesce("html", F.lit(""))
-    named = pages.withColumns({"wr_sha": F.sha1(payload.cast("binary")), "wr_bytes": F.octet_length(payload)})
-    groups = named.groupBy(F.col("wr_sha").alias("wr_sha2"), F.col("wr_bytes").alias("wr_bytes2")).agg(F.max("page_id").alias("wr_first"), F.count("*").alias("wr_n")).filter("wr_n > 1")
-    joined = named.join(groups, (F.col("wr_sha") == F.col("wr_sha2")) & (F.col("wr_bytes") == F.col("wr_bytes2")), "left")
-    revisits = (F.col("wr_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("wr_first"))
-    return joined.withColumn("wr_refers", F.when(revisits, F.col("wr_first"))).drop("wr_sha", "wr_sha2", "wr_bytes", "wr_bytes2", "wr_first", "wr_n")
+    names = {"wr_sha": F.sha1(payload.cast("binary")), "wr_bytes": F.octet_length(payload)}
+    narrow = pages.select("page_id", *[v.alias(k) for k, v in names.items()])
+    # several pages and at least one of them named, else there is nothing to refer to
+    groups = narrow.groupBy("wr_sha", "wr_bytes").agg(F.max("page_id").alias("wr_first"), F.count("*").alias("wr_n"))
+    groups = C.cut(groups.filter((F.col("wr_n") > 1) & (F.col("wr_bytes") >= min_bytes) & F.col("wr_first").isNotNull()).drop("wr_n"))
+    revisits = C.join_sized(narrow, groups, ["wr_sha", "wr_bytes"], "inner").filter(~F.col("page_id").eqNullSafe(F.col("wr_first")))
+    revisits = C.cut(revisits.groupBy(F.col("page_id").alias("wr_page"), F.col("wr_sha").alias("wr_sha2"), F.col("wr_bytes").alias("wr_bytes2")).agg(F.max("wr_first").alias("wr_refers")))
+    same = F.col("page_id").eqNullSafe(F.col("wr_page")) & (F.col("wr_sha") == F.col("wr_sha2")) & (F.col("wr_bytes") == F.col("wr_bytes2"))
+    return C.join_sized(pages.withColumns(names), revisits, same, "left").drop("wr_sha", "wr_sha2", "wr_bytes", "wr_bytes2", "wr_page")
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
@@ -172,7 +167,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        fs, root = _filesystem(folder)
+        fs, root = C.filesystem(folder)
         made, out, bundle = [], None, None
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:8]
 
@@ -201,41 +196,41 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if made else [pa.array([], pa.string())] + [pa.array([], pa.int64())] * 3, ["path", "n_records", "n_bytes", "frames"])
 
-    fs, root = _filesystem(folder)
+    fs, root = C.filesystem(folder)
     fs.create_dir(root, recursive=True)
     linked = with_references(pages.select("page_id", "url", "html"), min_bytes)
     return C.cut(linked.mapInArrow(run, "path string, n_records long, n_bytes long, frames long"))
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """The records of all bundles in the manifest: headers and block, one bundle at a time, frame by frame."""
+    """The records of all bundles in the manifest: headers and block, one bundle at a time, frame by frame. Digests and lengths of responses are worked out from the stored blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _filesystem(folder)
-        fields = ["WARC-Record-ID", "WARC-Type", "WARC-Page-ID", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Payload-Length", "WARC-Refers-To"]
+        fs, root = C.filesystem(folder)
+        fields = ["WARC-Record-ID", "WARC-Type", "WARC-Page-ID", "WARC-Target-URI", "WARC-Refers-To"]
         for b in batches:
             for name in b.column("path"):
                 with fs.open_input_file(os.path.join(root, name.as_py())) as f:
                     bundle = Reader(f)
                     for k in range(len(bundle.frames)):
                         got = list(parse(bundle.frame(k)))
+                        # a revisit has no block: only its header knows the payload's digest and length
+                        payload = [(h["WARC-Payload-Digest"], h["WARC-Payload-Length"]) if h["WARC-Type"] == "revisit" else ("sha1:" + digest32(block), str(len(block))) for h, block in got]
                         yield pa.RecordBatch.from_arrays(
-                            [*[pa.array([h.get(x) for h, _ in got], pa.string()) for x in fields], pa.array([block for _, block in got], pa.binary())],
-                            ["record_id", "type", "page_id", "url", "digest", "length", "refers_to", "block"],
+                            [*[pa.array([h.get(x) for h, _ in got], pa.string()) for x in fields], *[pa.array(x, pa.string()) for x in zip(*payload, strict=True)], pa.array([block for _, block in got], pa.binary())],
+                            ["record_id", "type", "page_id", "url", "refers_to", "digest", "length", "block"],
                         )
 
     names = manifest.select("path").repartition(max(1, 2 * spark.sparkContext.defaultParallelism))
-    return names.mapInArrow(run, "record_id string, type string, page_id string, url string, digest string, length string, refers_to string, block binary")
+    return names.mapInArrow(run, "record_id string, type string, page_id string, url string, refers_to string, digest string, length string, block binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{C.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     records = read(spark, folder, write(C.table(spark, sf_dir, "pages"), folder))
-    # sizes and digests of responses come from the stored payloads, those of revisits from their headers
-    own = F.col("type") == "response"
     return records.select(
         F.col("page_id").cast("long").alias("page_id"),
-        F.when(own, F.octet_length("block")).otherwise(F.col("length")).cast("long").alias("payload_bytes"),
+        F.col("length").cast("long").alias("payload_bytes"),
         F.substring_index("digest", ":", -1).alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.regexp_extract("refers_to", r"page:(-?[0-9]+)", 1).try_cast("long").alias("refers_to"),
