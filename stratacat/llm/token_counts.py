@@ -87,11 +87,12 @@ def count(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
             for k, value in enumerate(b.column("text")):
                 text = value.as_py() or ""
-                sizes[k] = len(text.encode("utf-8", "surrogatepass"))
-                for part in parts(text) if may_cut else [text]:
+                sizes[k] = n = len(text.encode("utf-8", "surrogatepass"))
+                cut = parts(text) if may_cut else [text]
+                for part in cut:
                     waiting.append(part)
                     owners.append(k)
-                    held += len(part)
+                    held += n if len(cut) == 1 else len(part.encode("utf-8", "surrogatepass"))
                     if held >= BATCH_BYTES:
                         flush()
                         held = 0
