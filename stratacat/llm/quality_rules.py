@@ -166,11 +166,8 @@ def _oracle() -> str:
     space = r"[\x20\x09-\x0D]+"
     rules = list(LADDERS)
     level = f"{math.log(DELTA / len(LADDERS))!r} - ln((SELECT count(*) FROM c))"
-    tail = lambda k: f"(SELECT ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * {math.log(RISK)!r} + (n - i) * {math.log1p(-RISK)!r}))) FROM range(0, {k} + 1) t(i))"
-    gain = lambda r, i: f"CASE WHEN {r}__{i} <= n * {RISK} AND {tail(f'{r}__{i}')} <= {level} THEN {r}__{i}__bad - {PRICE} * {r}__{i} END"
-    gains = ", ".join(f"{gain(r, i)} AS {r}__{i}__gain" for r in rules for i in range(len(LADDERS[r])))
-    top = lambda r: "greatest(" + ", ".join(f"coalesce({r}__{i}__gain, 0)" for i in range(len(LADDERS[r]))) + ")"
-    first = lambda r: "CASE " + " ".join(f"WHEN {r}__{i}__gain > 0 AND {r}__{i}__gain = {top(r)} THEN {LADDERS[r][i]}" for i in reversed(range(len(LADDERS[r])))) + " END"
+    tests = " UNION ALL ".join(f"SELECT lang, n, '{r}' AS rule, {c} AS cutoff, {r}__{i} AS lost, {r}__{i}__bad AS caught FROM c" for r in rules for i, c in enumerate(LADDERS[r]))
+    tail = f"ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * {math.log(RISK)!r} + (n - i) * {math.log1p(-RISK)!r})))"
     counts = ", ".join(f"count(*) FILTER (WHERE {'' if good else 'NOT '}good AND {r} > {c}) AS {r}__{i}{'' if good else '__bad'}" for r in rules for i, c in enumerate(LADDERS[r]) for good in (True, False))
     by = "concat_ws(',', " + ", ".join(f"CASE WHEN {r} > cut_{r} THEN '{r}' END" for r in rules) + ")"
     return f"""
@@ -184,9 +181,11 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '')
   coalesce(n_upper / nullif(word_chars, 0), 0) AS upper, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 , known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1)
 , t AS (SELECT lang, doc_id, good, {", ".join(f"max({r}) AS {r}" for r in rules)} FROM s JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY ALL)
-, c AS (SELECT lang, count(*) FILTER (WHERE good) AS n, {counts} FROM t GROUP BY lang)
-, e AS (SELECT lang, {gains} FROM c)
-, cuts AS (SELECT lang AS cut_lang, {", ".join(f"{first(r)} AS cut_{r}" for r in rules)} FROM e)
+, c AS MATERIALIZED (SELECT lang, count(*) FILTER (WHERE good) AS n, {counts} FROM t GROUP BY lang)
+, u AS ({tests})
+, e AS (SELECT lang, rule, cutoff, any_value(caught) - {PRICE} * any_value(lost) AS gain FROM (SELECT *, unnest(range(0, lost + 1)) AS i FROM u WHERE lost <= n * {RISK}) GROUP BY lang, rule, cutoff HAVING {tail} <= {level})
+, best AS (SELECT lang, rule, arg_max(cutoff, (gain, cutoff)) AS cutoff FROM e WHERE gain > 0 GROUP BY lang, rule)
+, cuts AS (SELECT c.lang AS cut_lang, {", ".join(f"max(CASE WHEN rule = '{r}' THEN cutoff END) AS cut_{r}" for r in rules)} FROM c LEFT JOIN best ON best.lang IS NOT DISTINCT FROM c.lang GROUP BY c.lang)
 , j AS (SELECT *, {by} AS rejected_by FROM s LEFT JOIN cuts ON lang IS NOT DISTINCT FROM cut_lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM j"""
 
