@@ -85,7 +85,11 @@ def span_title(text: Column) -> Column:
 def span_maker(text: Column) -> Column:
     """Wingspan in mm from a maker's text: labelled figures, and bare ones only in texts of up to 88 characters."""
     t = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), r"(\d),(\d{3})(?!\d)", "$1$2")
-    return F.coalesce(*[_millimetres(t, p, u) for p, u in MAKER_SPANS], *[F.when(F.char_length(t) <= 90, _millimetres(t, p, u)) for p, u in MAKER_SHORT_SPANS])
+
+    def first(t):
+        return F.coalesce(*[_millimetres(t, p, u) for p, u in MAKER_SPANS], *[F.when(F.char_length(t) <= 90, _millimetres(t, p, u)) for p, u in MAKER_SHORT_SPANS])
+
+    return F.get(F.transform(F.array(t), first), F.lit(0))  # a lambda, so that the text is worked out once
 
 
 def config(text: Column) -> Column:

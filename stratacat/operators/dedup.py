@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratacat.functions.classify import power
 from stratacat.functions.text import relative_gap
 
 from .components import components
@@ -95,6 +96,63 @@ def confirmed(brand: Column, titles: Column) -> Column:
     return F.when(titles.isNull() | (F.size(words) == 0), True).otherwise(F.exists(words, lambda w: F.contains(text, F.concat(F.lit(" "), w))))
 
 
+def brand_words(brand: Column) -> Column:
+    """The words of a brand that can confirm it: four letters or more, none that many brands have."""
+    return F.array_distinct(F.filter(F.split(F.coalesce(brand, F.lit("")), r"\s+"), lambda w: (F.char_length(w) >= 4) & ~w.isin(GENERIC_BRAND)))
+
+
+def _title_prefixes(titles: DataFrame) -> DataFrame:
+    """``id, word``: all beginnings (four letters or more) of the distinct words of each master's titles."""
+    words = titles.select("id", F.explode(F.split(F.trim(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ")), " ")).alias("w")).filter(F.char_length("w") >= 4).distinct()
+    return words.select("id", F.explode(F.transform(F.sequence(F.lit(4), F.char_length("w")), lambda n: F.substr("w", F.lit(1), n))).alias("word")).distinct()
+
+
+def confirmations(masters: DataFrame, titles: DataFrame) -> DataFrame:
+    """Masters with ``confirmed``: a distinctive brand word begins a word of the own titles; true without titles or distinctive words. ``titles``: id, title (a row each)."""
+    begins = _title_prefixes(titles)
+    wanted = masters.select("id", F.explode(brand_words(F.col("brand_norm"))).alias("word"))
+    said = wanted.join(begins, ["id", "word"], "left_semi").select("id").distinct().withColumn("said", F.lit(True))
+    titled = titles.filter("title IS NOT NULL").select("id").distinct().withColumn("titled", F.lit(True))
+    marked = masters.join(said, "id", "left").join(titled, "id", "left")
+    free = F.col("titled").isNull() | (F.size(brand_words(F.col("brand_norm"))) == 0)
+    return marked.withColumn("confirmed", free | F.coalesce("said", F.lit(False))).drop("said", "titled")
+
+
+def brand_anomalies(masters: DataFrame, titles: DataFrame) -> DataFrame:
+    """``id, kind, detail``: masters whose titles name another, trusted brand and not their own.
+
+    Trusted words are the distinctive ones of confirmed brands, each for the brand of the smallest id that has it. Words meet the beginnings of title words, so only masters
+    that a trusted word speaks of are looked at.
+    """
+    known = confirmations(masters, titles)
+    vocab = known.filter("confirmed AND coalesce(brand_norm, '') <> ''").select("id", "brand", F.posexplode(brand_words(F.col("brand_norm"))).alias("place", "word"))
+    vocab = vocab.groupBy("word").agg(F.min_by("brand", F.struct("id", "place")).alias("canon"), F.min(F.struct("id", "place")).alias("first"))
+    suspects = known.filter(~F.col("confirmed") & ~F.coalesce(F.trim("brand_norm"), F.lit("")).isin(HOUSE_BRAND))
+    own = suspects.select("id", F.explode(brand_words(F.col("brand_norm"))).alias("word"))
+    named = _title_prefixes(titles.join(suspects.select("id"), "id", "left_semi")).join(own, ["id", "word"], "left_anti").join(vocab, "word")
+    brands = named.groupBy("id", "canon").agg(F.min("first").alias("first"))
+    lists = brands.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "canon"))), lambda x: x["canon"]), " / ").alias("others"))  # brands that one master's titles name
+    detail = F.concat(F.lit("listing titles say "), "others", F.lit(', tagged "'), "brand", F.lit('"'))
+    return lists.join(suspects.select("id", "brand"), "id").select("id", F.lit("brand-mismatch").alias("kind"), detail.alias("detail"))
+
+
+def power_anomalies(masters: DataFrame, titles: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``id, kind, detail`` of masters tagged electric with a combustion marker, or else a large scale fraction, in name or titles; those flagged already are left out."""
+    rows = masters.filter("power = 'electric'").join(flagged.select("id"), "id", "left_anti")
+    texts = rows.select("id", F.col("name").alias("text")).unionByName(titles.join(rows.select("id"), "id", "left_semi").select("id", F.col("title").alias("text")))
+    marks = texts.groupBy("id").agg(F.max((power(F.col("text")) == "gas").cast("int")).alias("gas"), F.max(F.coalesce("text", F.lit("")).rlike(r"\b1\s*[/:]\s*[3-6]\b").cast("int")).alias("scale"))
+    kind = F.when(F.col("gas") == 1, "power-mismatch").when(F.col("scale") == 1, "power-review")
+    detail = F.when(F.col("gas") == 1, "gas/nitro marker in the title but tagged electric").otherwise("scale model — likely gas, tagged electric")
+    return marks.select("id", kind.alias("kind"), detail.alias("detail")).filter("kind IS NOT NULL")
+
+
+def rederived_power(masters: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, name``: ready or draft masters tagged electric whose name or archived descriptions (``id, description``) read gas; gas never turns electric."""
+    rows = masters.filter(F.col("status").isin("ready", "draft") & (F.col("power") == "electric"))
+    said = texts.filter("description IS NOT NULL").groupBy("id").agg(F.max((power(F.col("description")) == "gas").cast("int")).alias("gas"))
+    return rows.join(said, "id").filter((F.col("gas") == 1) | (power(F.col("name")) == "gas")).select("id", "name")
+
+
 def cross_brand(masters: DataFrame, suspects: DataFrame) -> DataFrame:
     """``a_id, b_id, score``: pairs of one category and different brands, one of them a suspect, whose names largely agree."""
     marked = masters.join(suspects.select("id").withColumn("suspect", F.lit(True)), "id", "left")

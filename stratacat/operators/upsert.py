@@ -73,3 +73,20 @@ def merge_rows(rows: DataFrame, survivors: DataFrame, id_col: str, policy: dict[
         "any": lambda c: F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))),
     }
     return moved.groupBy(F.col("target").alias(id_col)).agg(*[made[p](c).alias(c) for c, p in policy.items()])
+
+
+def rehomed(rows: DataFrame, survivors: DataFrame, id_col: str) -> DataFrame:
+    """Rows under the survivor of their master; ``old_id`` keeps whose they were."""
+    moved = rows.join(survivors.select(F.col("id").alias(id_col), "survivor"), id_col, "left")
+    return moved.withColumns({"old_id": F.col(id_col), id_col: F.coalesce("survivor", id_col)}).drop("survivor")
+
+
+def merge_children(rows: DataFrame, survivors: DataFrame, id_col: str, keys: list[str], policy: dict[str, str]) -> DataFrame:
+    """Child rows of merged masters, one per survivor and key, each column by its policy (max, min, any; filled: the first that is neither null nor empty, the survivor's own before others, else an empty text)."""
+    moved = rehomed(rows, survivors, id_col)
+    order = F.struct((F.col("old_id") != F.col(id_col)).cast("int"), F.col("old_id"))
+    made = {
+        "max": lambda c: F.max(c), "min": lambda c: F.min(c), "any": lambda c: F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))),
+        "filled": lambda c: F.coalesce(F.min_by(F.col(c), F.when(F.coalesce(F.col(c), F.lit("")) != "", order)), F.lit("")),
+    }
+    return moved.groupBy(id_col, *keys).agg(*[made[p](c).alias(c) for c, p in policy.items()])
