@@ -6,22 +6,25 @@ documents. A hit fixes how item and document line up; around it the words are co
 if at least ``need`` of ``around`` aligned words (all of a shorter item) are the same in any window with the hit.
 No such overlap is without a hit (see ``MASKS``), so the seeds lose nothing that the rule accepts.
 
-Items of fewer than ``SPAN`` words are looked for as whole, unchanged runs; items of fewer than ``MIN_WORDS`` words are
-too common to mean anything and are never matched.
+Items of fewer than ``SPAN`` words have seeds of their own: with c changes allowed, one of c + 1 pieces is unchanged, so their
+seeds are all runs of a piece's length. The rule is the same down to ``WHOLE`` words; shorter items are looked for as whole,
+unchanged runs, and items of fewer than ``MIN_WORDS`` words, which any text may hold by chance, as texts that consist of just them.
 
-Words are runs without white space, lower-cased. Defined cases: null and empty texts are clean; an empty
-benchmark makes everything clean; a null doc_id stays null; repeated rows each give a row; extra columns are
-ignored. Texts have no length limit.
+Words are runs without white space, lower-cased. Defined cases: null and empty texts are clean, and items without words match nothing; an
+empty benchmark makes everything clean; an empty table gives an empty result; a null doc_id stays null; repeated rows each give a row, repeated items of
+one id count once; a place that ties between items counts for each; extra columns are ignored. Texts have no length limit.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-SPAN, MIN_WORDS = 13, 5
+SPAN, WHOLE, MIN_WORDS = 13, 8, 5
 #: Kept positions of each mask: two blocks of three words at each distance that two of five blocks in a row can have.
 #: The rule accepts at most three changes in 16 or 15 words and two in 14 or 13. Three changes leave at least two of the five
 #: blocks in 15 words whole, two leave two of the four in 12, and the mask of their distance fits there; masks are looked for at every place.
@@ -32,6 +35,12 @@ BROADCAST_WINDOWS = 100_000
 BROADCAST_BYTES = 32 << 20
 
 
+def piece(n: int) -> int:
+    """The length of the seeds of an item of ``n`` < SPAN words."""
+    changes = n - math.ceil(n * NEED - 1e-9)
+    return n // (changes + 1) if n >= WHOLE else n
+
+
 def _hashes(text: Column) -> Column:
     return F.transform(C.words(F.lower(text)), lambda x: F.xxhash64(x))
 
@@ -65,12 +74,12 @@ def _agrees() -> Column:
     return best >= F.col("wide") * NEED
 
 
-def _windows(items: DataFrame, lengths: list[int]) -> DataFrame:
+def _windows(items: DataFrame, sizes: list[int]) -> DataFrame:
     """``seed, item_id, wide, around``: a row for each seed of each place, all of one fixed size, however long an item is and however many share a seed.
 
     ``around`` has the words from AROUND - 1 before the place to AROUND - 1 after it, null outside the item.
     """
-    parts = [_seeds(items.filter(F.size("w") >= SPAN), [], "item_id"), *[_seeds(items.filter(F.size("w") == n), [n], "item_id", masks=False) for n in lengths]]
+    parts = [_seeds(items.filter(F.size("w") >= SPAN), [], "item_id"), *[_seeds(items.filter(F.size("w") == n), [piece(n)], "item_id", masks=False) for n in sizes]]
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
@@ -80,9 +89,11 @@ def _windows(items: DataFrame, lengths: list[int]) -> DataFrame:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Verified pairs ``doc_id, text_hash, item_id`` (distinct); rows of ``docs`` are told apart by id and text hash."""
-    items = benchmark.select("item_id", _hashes(F.col("text")).alias("w")).filter(F.size("w") >= MIN_WORDS)
-    lengths = sorted(r.n for r in items.filter(F.size("w") < SPAN).select(F.size("w").alias("n")).distinct().collect())  # at most SPAN - MIN_WORDS values
-    known = C.cut(_windows(items, lengths))
+    every = benchmark.select("item_id", _hashes(F.col("text")).alias("w"))
+    found = sorted(r.n for r in every.filter(F.size("w").between(1, SPAN - 1)).select(F.size("w").alias("n")).distinct().collect())  # fewer than SPAN values
+    items, sizes = every.filter(F.size("w") >= MIN_WORDS), [n for n in found if n >= MIN_WORDS]
+    lengths = sorted({piece(n) for n in sizes})
+    known = C.cut(_windows(items, sizes))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _hashes(F.col("text")).alias("w"))
     seeds = _seeds(rows, lengths, "doc_id", "text_hash")
     size = known.limit(broadcast_windows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(56 + 8 * F.size("around")), F.lit(0)).alias("bytes")).first()
@@ -94,7 +105,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BRO
         hits = places.join(r, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("text_hash") == F.col("h2")))
     # behind an explode, so that the filter does not repeat the comparison
     compared = hits.select("doc_id", "text_hash", "item_id", "wide", F.explode(F.array(_same())).alias("same"))
-    return compared.filter(_agrees()).select("doc_id", "text_hash", "item_id").distinct()
+    agreed = compared.filter(_agrees()).select("doc_id", "text_hash", "item_id")
+    if found and found[0] < MIN_WORDS:
+        tiny = C.cut(every.filter(F.size("w").between(1, MIN_WORDS - 1)).distinct())
+        agreed = agreed.unionByName(C.join_sized(rows.filter(F.size("w") < MIN_WORDS), tiny, "w", "inner").select("doc_id", "text_hash", "item_id"))
+    return agreed.distinct()
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -19,12 +19,14 @@ def brute(text, items):
     for key, item in items:
         v = (item or "").lower().split()
         if len(v) < D.MIN_WORDS:
+            if v and v == w:
+                out.append(key)
             continue
         wide = min(len(v), D.AROUND)
         hit = False
         for d in range(-len(v) + 1, len(w)):
             same = [0 <= d + q < len(w) and w[d + q] == v[q] for q in range(len(v))]
-            if len(v) < D.SPAN:
+            if len(v) < D.WHOLE:
                 hit |= all(same)
             else:
                 hit |= any(sum(same[q : q + wide]) >= D.NEED * wide for q in range(len(v) - wide + 1))
@@ -96,3 +98,36 @@ def test_changed_items_against_brute_force(spark):
     docs = documents(spark, [(k, t, "en", "x", 0) for k, t in texts.items()])
     for bound in (D.BROADCAST_WINDOWS, 0):
         assert {(r.doc_id, r.item_id) for r in D.overlaps(docs, bench(spark, items), broadcast_windows=bound).collect()} == want
+
+
+def test_short_items_against_brute_force(spark):
+    """Items of 5 to 12 words with 0 to 3 changed words, and texts that are shorter items."""
+    rng = random.Random(8)
+    items = [(n, " ".join(f"s{n}w{j}" for j in range(n))) for n in range(1, 13)]
+    texts = {}
+    for n, item in items:
+        for changes in range(4):
+            for k in range(6):
+                words = item.split()
+                for place in rng.sample(range(n), min(n, changes)):
+                    words[place] = "new"
+                texts[n * 1000 + changes * 100 + k] = " ".join([*["pad"] * (k % 3), *words, *["end"] * (k % 2)])
+    want = {(k, i) for k, t in texts.items() for i in brute(t, items)}
+    assert {(3000, 3), (8100, 8), (12200, 12)} <= want and (12300, 12) not in want and (3001, 3) not in want
+    docs = documents(spark, [(k, t, "en", "x", 0) for k, t in texts.items()])
+    for bound in (D.BROADCAST_WINDOWS, 0):
+        assert {(r.doc_id, r.item_id) for r in D.overlaps(docs, bench(spark, items), broadcast_windows=bound).collect()} == want
+
+
+def test_pieces_leave_one_unchanged():
+    for n in range(D.WHOLE, D.SPAN):
+        changes = n - next(k for k in range(n + 1) if k >= D.NEED * n)
+        for gone in combinations(range(n), changes):
+            assert any(not set(gone) & set(range(p, p + D.piece(n))) for p in range(n - D.piece(n) + 1))
+
+
+def test_empty_tables_and_a_very_long_text(spark):
+    item = " ".join(f"bench{i}" for i in range(20))
+    docs = documents(spark, [(1, "word " * 60_000 + item + " word" * 60_000, "en", "x", 0)])
+    assert D.clean(docs, bench(spark, [(1, item)])).count() == 0
+    assert D.clean(docs.limit(0), bench(spark, [(1, item)])).count() == 0 == D.mark(docs.limit(0), bench(spark, [])).count()
