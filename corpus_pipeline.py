@@ -1,8 +1,11 @@
 """From raw documents to tokens in five stages; each reads what the one before it kept.
 
 Quality rules drop documents, MinHash keeps one document of each near-duplicate group, decontamination drops documents with a
-benchmark overlap, personal data is replaced by ``<KIND>``, and BPE gives token counts and digests of ids and
-decoded text. Null texts pass as empty ones; extra columns travel along to the last stage.
+benchmark overlap, personal data is replaced by ``<KIND>``, and BPE gives token counts and digests of ids and decoded text.
+
+Defined cases: null texts count as empty ones, which the quality rules reject; a null doc_id is kept through all stages; rows that repeat a doc_id
+are one document for near duplicates, and one of them stays; an empty table gives an empty result; extra columns travel along up to the last stage, which
+returns ``doc_id`` and the digests only. The stages' files stay in a folder of the run under the shared folder; who calls removes it.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ on the full sets, and components of links are the result.
 A pair at similarity s shares no bucket with probability (1 - s^ROWS)^(BINS / ROWS): 2e-5 at 0.75.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing; rows that share a doc_id are
-one document, linked through any of their texts; a null doc_id is linked with nothing and kept; extra columns are
-ignored. Texts have no length limit.
+one document, linked through any of their texts (when duplicates go, any one of such rows stays); a null doc_id is linked with nothing and
+kept; a component is named by its smallest doc_id; an empty table gives an empty result; extra columns are ignored. Texts have no length limit.
 """
 
 from __future__ import annotations

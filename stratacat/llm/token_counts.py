@@ -6,8 +6,8 @@ characters is such a boundary: white space is only ever the beginning of a piece
 dummy space that the library puts before a text stands for the space that was cut. That the model has these
 properties is tested before cutting; else texts stay whole. For tokenizers (.json) texts stay whole.
 
-Defined cases: null and empty texts have no tokens; a null doc_id stays null; repeated rows each give a row; extra
-columns are ignored.
+Defined cases: null and empty texts have no tokens; a null doc_id stays null; repeated rows each give a row; exactly ``limit`` tokens are
+not over it; an empty table gives an empty result; extra columns are ignored. A long text without single inner spaces is one part.
 """
 
 from __future__ import annotations

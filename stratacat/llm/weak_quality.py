@@ -7,8 +7,10 @@ labels of a linear scorer over hashed byte trigrams (shares of the text's trigra
 ``TRAIN_PER_CLASS`` confident documents a class in the order of a hash of the ids, and applied to every whole text.
 
 No given labels are used. Defined cases: null and empty texts get the scorer's offset as score and the posterior of their
-votes; a null doc_id stays null; repeated rows each give a row; without confident documents of both classes the
-score is the posterior; extra columns are ignored. Texts have no length limit.
+votes; a null doc_id stays null; repeated rows each give a row, and of rows that share an id the text that comes first by its hash
+trains; documents with equal hashes of their ids are taken in the order of the ids; a score equal to the threshold is kept; without confident
+documents of both classes the score is the posterior; an empty table gives an empty result; extra columns are ignored. Texts have no
+length limit.
 """
 
 from __future__ import annotations
@@ -134,7 +136,7 @@ def train(docs: DataFrame, posterior: DataFrame) -> tuple[np.ndarray, float] | N
     sure = posterior.filter(F.col("doc_id").isNotNull())
     chosen = C.cut(sure.filter(F.col("p") >= CONFIDENT).orderBy(order, "doc_id").limit(TRAIN_PER_CLASS).unionByName(sure.filter(F.col("p") <= 1 - CONFIDENT).orderBy(order, "doc_id").limit(TRAIN_PER_CLASS)))
     picked = chosen.groupBy("doc_id").agg(F.avg("p").alias("y"))  # at most 2 * TRAIN_PER_CLASS rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", _key()).alias("text"))
     rows = texts.orderBy("doc_id").select("y", "text").mapInArrow(_features, "y double, x array<float>").toArrow()  # bounded; numbers stay packed
     y = rows.column("y").to_numpy()
     if not len(y) or y.min() > 0.5 or y.max() < 0.5:

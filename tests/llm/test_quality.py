@@ -114,3 +114,32 @@ def test_em_recovers_accuracies():
     post, table = W.estimate(dict(counts))
     assert abs(table[0]["good"][W.GOOD] - 0.95) < 0.02 and abs(table[5]["good"][W.GOOD] - 0.7) < 0.03
     assert post["1" * 8] > 0.99 > 0.01 > post["0" * 8]
+
+
+def test_votes_match_plain_rules(spark):
+    texts = {
+        1: "Plain words stand here. " * 30, 2: "BUY!! NOW!! ### " * 20, 3: None, 4: "one two", 5: "\n".join(["the same line here"] * 12), 6: "wordswithoutanyspacebutlong " * 9, 7: "a b c d e. " * 30,
+    }
+    got = {r.doc_id: r.wq_pattern for r in W.votes(documents(spark, [(k, t, "en", "x", 0) for k, t in texts.items()])).collect()}
+    for k, t in texts.items():
+        t = t or ""
+        n, chars, symbols, dup, repeats, _ = base(t)
+        lines = len([x for x in t.split("\n") if x.split()])
+        per = lambda a, b: a / b if b else 0.0
+        shouts, stops = t.count("!"), sum(1 for i, c in enumerate(t) if c == "." and i and t[i - 1] not in " \t\n." and (i + 1 == len(t) or t[i + 1] in " \t\n"))
+        vote = lambda bad, good: "0" if bad else "1" if good else "2"
+        want = [
+            vote(per(symbols, n) > 0.3, per(symbols, n) < 0.02), vote(per(dup, lines) > 0.3, lines >= 3 and dup == 0), vote(per(repeats, n) > 0.3, n >= 50 and per(repeats, n) < 0.1),
+            vote(per(chars, n) > 10 or per(chars, n) < 2.5, 3.5 <= per(chars, n) <= 7), vote(per(sum(c.isascii() and c.isupper() for c in t), chars) > 0.4, per(sum(c.isascii() and c.isupper() for c in t), chars) < 0.1),
+            vote(n < 5, n >= 100), vote(shouts > 0.2 * n, shouts * 50 < n), vote(stops * 60 < n, stops * 30 > n and stops * 3 < n),
+        ]
+        assert got[k] == "".join(want), (k, got[k], want)
+
+
+def test_pipeline_of_empty_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    documents(spark).limit(0).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "some words of a benchmark item that nobody holds here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
