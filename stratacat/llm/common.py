@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratacat.durable import cut, shared_dir  # noqa: F401
+
 #: ASCII white space: what separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\x0c\r"
@@ -29,17 +29,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session in one process (tests) may do without: it gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return str(found)
-
-
 def filesystem(uri: str):
     """A pyarrow file system and path for ``uri`` (file, hdfs, s3, gs)."""
     from pyarrow import fs
@@ -49,12 +38,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and returns the written rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _bytes(kind: str, column: str) -> Column:
     """About how many bytes a value takes."""
     if kind == "string" or kind == "binary":
