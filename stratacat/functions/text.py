@@ -44,7 +44,7 @@ TRACKING = r"(?i)^(utm_|fbclid|gclid|srsltid|ref$|ref_|mc_|igsh)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, no fragment, no tracking parameters, the others sorted by name, no collection path before a product, no slash at the end; null for what is no URL."""
+    """Scheme and host in lower case, no usual port, no fragment, no tracking parameters, the others sorted by name, no collection path before a product, no slash at the end; null for what is no URL."""
     part = lambda x: F.try_parse_url(url, F.lit(x))
     path = F.regexp_replace(F.regexp_replace(F.coalesce(part("PATH"), F.lit("")), "/collections/[^/]+/products/", "/products/"), "/+$", "")
     name = lambda p: F.substring_index(p, "=", 1)
@@ -53,7 +53,10 @@ def canonical_url(url: Column) -> Column:
     order = F.transform(F.array_sort(F.transform(kept, lambda p, i: F.struct(name(p).alias("k"), i.alias("i"), p.alias("p")))), lambda s: s["p"])
     query = F.when(F.size(order) > 0, F.concat(F.lit("?"), F.array_join(order, "&"))).otherwise("")
     bare = F.when(path == "", F.lit("/")).otherwise(path)
-    return F.when(part("HOST").isNotNull(), F.concat(F.lower(part("PROTOCOL")), F.lit("://"), F.lower(part("HOST")), bare, query))
+    scheme, port = F.lower(part("PROTOCOL")), F.regexp_extract(F.coalesce(part("AUTHORITY"), F.lit("")), r":(\d+)$", 1)
+    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    host = F.concat(F.lower(part("HOST")), F.when(usual, "").otherwise(F.concat(F.lit(":"), port)))
+    return F.when(part("HOST").isNotNull(), F.concat(scheme, F.lit("://"), host, bare, query))
 
 
 #: Entities that titles and pages use.
@@ -65,6 +68,20 @@ def decode_entities(s: Column) -> Column:
     return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, s)
 
 
+def decode_numeric(s: Column) -> Column:
+    """Decimal and hexadecimal entities become their characters; what names no character stays away."""
+    pattern = "(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"
+
+    def character(code: Column) -> Column:
+        digits = F.when(F.lower(code).startswith("x"), F.substr(code, F.lit(2))).otherwise(F.hex(code.try_cast("bigint")))
+        padded = F.lpad(digits, 8, "0")
+        return F.when((padded <= "0010FFFF") & ~F.upper(padded).between("0000D800", "0000DFFF"), F.decode(F.unhex(padded), "UTF-32")).otherwise("")
+
+    pieces, codes = F.split(s, pattern), F.regexp_extract_all(s, F.lit(pattern), F.lit(1))
+    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(character(F.get(codes, i)), F.lit("")))), "")
+    return F.when(s.contains("&#"), joined).otherwise(s)
+
+
 def html_to_text(html: Column) -> Column:
     """Visible text: scripts, styles and comments go, tags become spaces, entities are decoded, spaces collapse."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")

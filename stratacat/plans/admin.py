@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratacat.functions import objects as J
+from stratacat.functions.text import canonical_url, decode_entities, decode_numeric
 from stratacat.operators import queues as Q
 from stratacat.operators import stats as S
 from stratacat.operators import upsert as U
@@ -30,6 +31,10 @@ PROFILE = """SELECT id AS master_id, id * 10 AS product_id, CASE id % 4 WHEN 0 T
 SHARED = "SELECT master_id AS old_id, master_id - master_id % 3 AS master_id, product_id % 40 AS product_id, overrides FROM (SELECT * FROM profile)"
 IMAGES = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN concat('["a', p_partkey, '","b"]') WHEN 1 THEN 'none' WHEN 2 THEN '[]' ELSE concat('["c', p_partkey, '"]') END AS images, CAST(p_partkey % 2 AS INT) AS i FROM part"""
 SPECS = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '{"spanMM":1200}' WHEN 1 THEN '{"spanMM":"900"}' WHEN 2 THEN '{"spanMM":null}' WHEN 3 THEN '[1]' WHEN 4 THEN '{"a"' ELSE concat('{"spanMM":', p_size, '.7}') END AS specs FROM part"""
+SIDES = """SELECT p_partkey AS id, 0 AS side, CASE p_partkey % 3 WHEN 0 THEN '{"a":1,"b":null}' WHEN 1 THEN '{"b":2}' ELSE 'broken' END AS specs FROM part UNION ALL SELECT p_partkey, 1, '{"b":9,"c":"x"}' FROM part"""
+FLAGGED = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '{"kind":"missing"}' WHEN 1 THEN '{"kind":"price-jump"}' WHEN 2 THEN '{}' END AS flagged FROM part"""
+ENTITY = """SELECT p_partkey AS id, concat(CASE p_partkey % 6 WHEN 0 THEN '&#233;' WHEN 1 THEN '&#x2019;' WHEN 2 THEN '&#127881;x' WHEN 3 THEN '&amp;' WHEN 4 THEN '&amp;#39;' ELSE '&lt;&#xE9;' END, p_size, '&ndash;') AS text FROM part"""
+PORTED = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'HTTP://A.com:80/p/' WHEN 1 THEN 'https://a.com:443/p#x' WHEN 2 THEN 'http://a.com:443/p' WHEN 3 THEN 'https://a.com:8080/collections/y/products/x?utm_a=1' ELSE 'https://a.com/collections/y-z/products/x/' END AS url FROM part"""
 HOST = "CASE user_id % 9 WHEN 0 THEN 'localhost' WHEN 1 THEN 'x.pages.dev' WHEN 2 THEN NULL ELSE concat('p', user_id % 9, '.example.com') END"
 TRAFFIC = f"SELECT CAST(ts AS DATE) AS d, {HOST} AS host, CAST(1 AS BIGINT) AS sessions, CAST(user_id % 3 AS BIGINT) AS users, CAST(event_id % 5 AS BIGINT) AS views FROM events"
 CHANNEL = f"SELECT {HOST} AS host, CASE event_type WHEN 'error' THEN 'Unassigned' ELSE event_type END AS channel, count(*) AS sessions FROM events GROUP BY 1, 2"
@@ -93,6 +98,10 @@ QUERIES = {
     "f_overlay_null": _overlay,
     "src_json_array_index": lambda s, d: derived(s, d, IMAGES).select("id", J.element_at(F.col("images"), F.col("i")).alias("image")),
     "f_json_extract": lambda s, d: derived(s, d, SPECS).select("id", J.integer_at(F.col("specs"), "spanMM").alias("span"), J.safe_object(F.col("specs")).alias("safe")),
+    "f_json_merge": lambda s, d: J.merge(derived(s, d, SIDES), ["id"], "specs", [F.col("side")]),
+    "p_json_predicate": lambda s, d: derived(s, d, FLAGGED).filter(F.get_json_object("flagged", "$.kind") != "missing").select("id"),
+    "f_decode_entities": lambda s, d: derived(s, d, ENTITY).select("id", decode_entities(decode_numeric(F.col("text"))).alias("text")),
+    "f_canonical_ports": lambda s, d: derived(s, d, PORTED).select("id", canonical_url(F.col("url")).alias("canonical")),
     "a_host_totals": lambda s, d: S.host_totals(S.real_hosts(derived(s, d, TRAFFIC))),
     "a_top1_channel": lambda s, d: S.top_channel(S.real_hosts(derived(s, d, CHANNEL))),
     "k_stats_projects": lambda s, d: S.projects(S.real_hosts(derived(s, d, TRAFFIC)), S.real_hosts(derived(s, d, CHANNEL)), derived(s, d, EDGE)),
@@ -149,6 +158,10 @@ SELECT DISTINCT s.master_id, s.product_id, coalesce(o, '{{}}') AS overrides FROM
 SELECT master_id, true AS has_channels, true AS has_difficulty, coalesce(json_extract_string(o, '$.channels'), '5') AS channels, CASE WHEN json_exists(o, '$.difficulty') THEN json_extract_string(o, '$.difficulty') ELSE 'advanced' END AS difficulty, '900' AS "maxAuwG" FROM p"""),
     "src_json_array_index": f"SELECT id, CASE WHEN images LIKE '[%' THEN json_extract_string(images, '$[' || i || ']') END AS image FROM ({IMAGES})",
     "f_json_extract": f"""SELECT id, CAST(trunc(TRY_CAST(CASE WHEN json_valid(specs) THEN json_extract_string(specs, '$.spanMM') END AS DOUBLE)) AS INT) AS span, CASE WHEN json_valid(specs) AND specs LIKE '{{%' THEN specs ELSE '{{}}' END AS safe FROM ({SPECS})""",
+    "f_json_merge": """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '{"a":1,"b":null,"c":"x"}' WHEN 1 THEN '{"b":2,"c":"x"}' ELSE '{"b":9,"c":"x"}' END AS specs FROM part""",
+    "p_json_predicate": "SELECT p_partkey AS id FROM part WHERE p_partkey % 4 = 1",
+    "f_decode_entities": """SELECT p_partkey AS id, concat(CASE p_partkey % 6 WHEN 0 THEN 'é' WHEN 1 THEN '’' WHEN 2 THEN '🎉x' WHEN 3 THEN '&' WHEN 4 THEN '&#39;' ELSE '<é' END, p_size, '–') AS text FROM part""",
+    "f_canonical_ports": """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'http://a.com/p' WHEN 1 THEN 'https://a.com/p' WHEN 2 THEN 'http://a.com:443/p' WHEN 3 THEN 'https://a.com:8080/products/x' ELSE 'https://a.com/products/x' END AS canonical FROM part""",
     "a_host_totals": f"SELECT host, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(users) AS BIGINT) AS users, CAST(sum(views) AS BIGINT) AS views FROM ({TRAFFIC}) WHERE {_REAL} GROUP BY 1",
     "a_top1_channel": f"SELECT host, channel, sessions FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY sessions DESC, channel DESC) AS n FROM ({CHANNEL}) WHERE channel <> 'Unassigned' AND {_REAL}) WHERE n = 1",
     "k_stats_projects": f"""WITH t AS (SELECT * FROM ({TRAFFIC}) WHERE {_REAL}), e AS (SELECT host, max(d) AS last FROM t GROUP BY 1)
