@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, decontaminate, minhash, pii, quality_rules, token_counts, toxicity, url_reputation, warc, weak_quality
+from . import bpe_transducer, decontaminate, minhash, pii, quality_rules, substrings, token_counts, toxicity, url_reputation, warc, weak_quality
 
 QUERIES = {
     "op1_pii_bootstrap": pii.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_toxicity_string_kernel": toxicity.query,
     "op9_quality_weak_labels": weak_quality.query,
     "op10_url_reputation": url_reputation.query,
+    "op12_substring_superkmers": substrings.query,
 }
 ORACLE: dict[str, str] = {
     "op4_minhash_oph": minhash.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
     "op7_warc_zstd": warc.ORACLE,
     "op10_url_reputation": url_reputation.ORACLE,
+    "op12_substring_superkmers": substrings.ORACLE,
 }
