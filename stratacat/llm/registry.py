@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, decontaminate, minhash, pii, quality_rules, substrings, token_counts, toxicity, url_reputation, warc, weak_quality
+from . import bpe_transducer, decontaminate, minhash, pii, prefix_trie, quality_rules, substrings, token_counts, toxicity, url_reputation, warc, weak_quality, whitening
 
 QUERIES = {
     "op1_pii_bootstrap": pii.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_toxicity_string_kernel": toxicity.query,
     "op9_quality_weak_labels": weak_quality.query,
     "op10_url_reputation": url_reputation.query,
+    "op11_whitening_qdwh": whitening.query,
     "op12_substring_superkmers": substrings.query,
+    "op13_prefix_trie_blocks": prefix_trie.query,
 }
 ORACLE: dict[str, str] = {
     "op4_minhash_oph": minhash.ORACLE,
@@ -23,4 +25,5 @@ ORACLE: dict[str, str] = {
     "op7_warc_zstd": warc.ORACLE,
     "op10_url_reputation": url_reputation.ORACLE,
     "op12_substring_superkmers": substrings.ORACLE,
+    "op13_prefix_trie_blocks": prefix_trie.ORACLE,
 }
