@@ -209,7 +209,7 @@ def ranges(docs: DataFrame, known: DataFrame, width: int = WIDTH) -> DataFrame:
     shared = C.cut(ones.select("doc_id", F.explode(F.array_distinct("buckets")).alias("bucket")).groupBy("bucket").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("h")).filter("l < h").select("bucket"))
     places = ones.select("doc_id", "key", F.posexplode("buckets").alias("pick", "bucket"))
     wanted = C.cut(C.join_sized(places, shared, "bucket", "inner").groupBy("doc_id", "key").agg(F.collect_list("pick").alias("picks")))
-    texts = C.join_sized(_keyed(docs), wanted, ["doc_id", "key"], "inner").select(F.col("doc_id").alias("p1"), F.col("key").alias("p2"), "text", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"), "picks")
+    texts = _keyed(docs).join(wanted, ["doc_id", "key"]).select(F.col("doc_id").alias("p1"), F.col("key").alias("p2"), "text", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"), "picks")
     hit = _dealt(texts, width, 0).select(F.col("p1").alias("doc_id"), F.col("p2").alias("key"), "a", (F.col("b") + width - 1).alias("b"))
     merged = hit.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("found")).mapInArrow(_merge, "doc_id long, key long, ranges array<struct<a:int,b:int>>")
     return merged.unionByName(whole)
@@ -246,7 +246,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _changed(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``doc_id, key, n_removed, kept`` of the texts that lose words."""
-    texts = C.join_sized(_keyed(docs), gone, ["doc_id", "key"], "inner")
+    texts = _keyed(docs).join(gone, ["doc_id", "key"])
     return texts.mapInArrow(_kept, "doc_id long, key long, n_removed long, kept string").dropDuplicates(["doc_id", "key"])
 
 
