@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import activity, admin, anomalies, facts, grid, identity, incremental, landed, profiles, transitions
+from .plans import activity, admin, anomalies, facts, grid, identity, incremental, landed, profiles, streams, transitions
 
-_PLANS = [grid, activity, facts, identity, incremental, transitions, admin, profiles, landed, anomalies]
+_PLANS = [grid, activity, facts, identity, incremental, transitions, admin, profiles, landed, anomalies, streams]
 QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for p in _PLANS for k, v in p.ORACLE.items()}

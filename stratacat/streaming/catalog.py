@@ -19,16 +19,28 @@ def scan_upsert(skus: DataFrame, products: DataFrame, now_ms: int) -> tuple[Data
     revives. An observation is written when a known price or stock differs from the stored one, and for every new sku.
     Products without url are skipped; of products for one sku the first by (pid, url) counts.
     """
+    hit = identified(skus, products)
+    first = Window.partitionBy("k").orderBy("reused", F.asc_nulls_last("pid"), "url")
+    seen = hit.filter("k IS NOT NULL").withColumn("turn", F.row_number().over(first)).filter("turn = 1")
+    fresh_order = Window.partitionBy("source_id", "url").orderBy(F.asc_nulls_last("pid"), "title")
+    fresh = hit.filter("k IS NULL").withColumn("turn", F.row_number().over(fresh_order)).filter("turn = 1")
+    return applied(skus, seen.select("k", *[F.col(c).alias(f"p_{c}") for c in ("pid", "url", "title", "price", "stock")], "reused", "collides"), fresh, now_ms)
+
+
+def identified(skus: DataFrame, products: DataFrame) -> DataFrame:
+    """Products (a table or a stream) with ``k``, what identifies their stored sku, if any, whether it has another pid (``reused``), and whether another sku holds their url (``collides``)."""
     p = products.filter("url IS NOT NULL")
-    held = skus.withColumn("k", F.struct("source_id", "url"))  # what identifies a sku
+    held = skus.withColumn("k", F.struct("source_id", "url"))
     by_pid = held.filter("pid IS NOT NULL").select("source_id", "pid", F.col("k").alias("k_pid"), F.col("url").alias("url_pid"))
     by_url = held.select("source_id", "url", F.col("k").alias("k_url"), F.col("pid").alias("pid_url"))
     hit = p.join(by_pid, ["source_id", "pid"], "left").join(by_url, ["source_id", "url"], "left")
     reused = F.col("k_pid").isNull() & F.col("k_url").isNotNull() & F.col("pid").isNotNull() & F.col("pid_url").isNotNull() & (F.col("pid") != F.col("pid_url"))
-    hit = hit.withColumns({"k": F.coalesce("k_pid", "k_url"), "reused": reused, "collides": F.col("k_pid").isNotNull() & F.col("k_url").isNotNull() & (F.col("k_url") != F.col("k_pid"))})
-    first = Window.partitionBy("k").orderBy("reused", F.asc_nulls_last("pid"), "url")
-    seen = hit.filter("k IS NOT NULL").withColumn("turn", F.row_number().over(first)).filter("turn = 1")
-    s = seen.select("k", *[F.col(c).alias(f"p_{c}") for c in ("pid", "url", "title", "price", "stock")], "reused", "collides")
+    return hit.withColumns({"k": F.coalesce("k_pid", "k_url"), "reused": reused, "collides": F.col("k_pid").isNotNull() & F.col("k_url").isNotNull() & (F.col("k_url") != F.col("k_pid"))})
+
+
+def applied(skus: DataFrame, s: DataFrame, fresh: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """The next skus and the observations: ``s`` has the product that counts for each stored sku that was met (``k``, ``p_...``), ``fresh`` the products without one, one per url."""
+    held = skus.withColumn("k", F.struct("source_id", "url"))
     joined = held.join(s, "k", "left")
     met, taken = F.col("p_url").isNotNull(), F.coalesce(F.col("reused"), F.lit(False))
     use = met & ~taken
@@ -47,8 +59,6 @@ def scan_upsert(skus: DataFrame, products: DataFrame, now_ms: int) -> tuple[Data
         F.when(use, F.lit(0)).otherwise(F.col("misses")).alias("misses"),
         F.when(use, F.lit(0)).otherwise(F.col("dead")).alias("dead"),
     )
-    fresh_order = Window.partitionBy("source_id", "url").orderBy(F.asc_nulls_last("pid"), "title")
-    fresh = hit.filter("k IS NULL").withColumn("turn", F.row_number().over(fresh_order)).filter("turn = 1")
     same_pid = Window.partitionBy("source_id", F.coalesce("pid", "url")).orderBy("url")
     fresh = fresh.withColumn("turn", F.row_number().over(same_pid)).filter("turn = 1")
     added = fresh.select(
