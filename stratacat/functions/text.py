@@ -22,6 +22,11 @@ def round2(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def slugify(s: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 60)
 
