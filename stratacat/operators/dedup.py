@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratacat.durable import cut
 from stratacat.functions.classify import power
 from stratacat.functions.text import relative_gap
 
@@ -79,16 +80,44 @@ def _named(masters: DataFrame, *more: str) -> DataFrame:
     return one.filter(F.size("core") > 0)
 
 
-def same_brand(masters: DataFrame) -> DataFrame:
-    """``a_id, b_id, score, obvious`` for pairs of one brand. Obvious: equal core words, pinned by a size or span (within 5 %)."""
-    rows = masters.filter(F.coalesce("brand_norm", F.lit("")) != "")
-    facts = _facts(_joined(_named(rows), ["brand_norm"]))
+def _scored(facts: DataFrame) -> DataFrame:
+    """``a_id, b_id, score, obvious``. Obvious: equal core words, pinned by a size or span (within 5 %)."""
     equal = (F.size("a_core") == F.size("b_core")) & (F.col("common") == F.size("a_core"))
     obvious = equal & (F.col("shared_size") | (F.coalesce("gap", F.lit(1.0)) <= 0.05))
     part = F.col("common") / F.col("least")
     return facts.withColumn("obvious", obvious).withColumn("score", F.when(obvious, 1.0).when(part >= 0.6, 0.6 + 0.3 * part).otherwise(0.0)).filter("score > 0").select("a_id", "b_id", "score", "obvious")
 
 
+def brand_classes(masters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members ``id, class`` and pairs of classes ``a_id, b_id, score, obvious, pairs`` within a brand.
+
+    A class holds the masters of one brand with equal core words, sizes and span; it is named by its smallest id. What holds for two of its names holds for all, so
+    classes meet and not names, and a pair with itself stands for the pairs inside of a class. ``pairs`` says how many pairs of masters that is.
+    """
+    rows = _named(masters.filter(F.coalesce("brand_norm", F.lit("")) != "")).withColumns({"core": F.sort_array("core"), "sizes": F.sort_array("sizes")})
+    rows = rows.withColumn("look", F.to_json(F.struct("span_mm", "sizes", "core")))
+    groups = cut(rows.groupBy("brand_norm", "look").agg(F.min("id").alias("class"), F.count("*").alias("n"), F.first("span_mm").alias("span_mm"), F.first("sizes").alias("sizes"), F.first("core").alias("core")))
+    members = rows.select("id", "brand_norm", "look").join(groups.select("brand_norm", "look", "class"), ["brand_norm", "look"]).select("id", "class")
+    across = _scored(_facts(_joined(groups.select(F.col("class").alias("id"), "brand_norm", "span_mm", "sizes", "core"), ["brand_norm"])))
+    pinned = (F.size("sizes") > 0) | (F.coalesce("span_mm", F.lit(0)) != 0)
+    inside = groups.filter("n > 1").select(F.col("class").alias("a_id"), F.col("class").alias("b_id"), F.when(pinned, 1.0).otherwise(0.9).alias("score"), pinned.alias("obvious"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    sizes = groups.select("class", "n")
+    counted = across.join(sizes.select(F.col("class").alias("a_id"), F.col("n").alias("x")), "a_id").join(sizes.select(F.col("class").alias("b_id"), F.col("n").alias("y")), "b_id")
+    return members, inside.unionByName(counted.select("a_id", "b_id", "score", "obvious", (F.col("x") * F.col("y")).alias("pairs")))
+
+
+def expanded(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a_id, b_id, score, obvious`` for all pairs of masters that pairs of classes stand for, the smaller id first: as many rows as there are pairs."""
+    side = lambda p: members.select(F.col("class").alias(f"{p}_id"), F.col("id").alias(p))
+    met = pairs.join(side("a"), "a_id").join(side("b"), "b_id").filter("a_id <> b_id OR a < b")
+    return met.select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id"), "score", "obvious")
+
+
+def same_brand(masters: DataFrame) -> DataFrame:
+    """``a_id, b_id, score, obvious`` for pairs of one brand (see :func:`brand_classes`)."""
+    return expanded(*brand_classes(masters))
+
+
 def confirmed(brand: Column, titles: Column) -> Column:
     """Whether a distinctive brand word begins a word of the titles; true without titles or distinctive words."""
     words = F.filter(F.split(brand, r"\s+"), lambda w: (F.char_length(w) >= 4) & ~w.isin(GENERIC_BRAND))
@@ -101,16 +130,29 @@ def brand_words(brand: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.coalesce(brand, F.lit("")), r"\s+"), lambda w: (F.char_length(w) >= 4) & ~w.isin(GENERIC_BRAND)))
 
 
-def _title_prefixes(titles: DataFrame) -> DataFrame:
-    """``id, word``: all beginnings (four letters or more) of the distinct words of each master's titles."""
+def _title_prefixes(titles: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``id, word``: the beginnings of the distinct words of each master's titles, of the ``lengths`` that brand words have (four letters or more)."""
     words = titles.select("id", F.explode(F.split(F.trim(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ")), " ")).alias("w")).filter(F.char_length("w") >= 4).distinct()
-    return words.select("id", F.explode(F.transform(F.sequence(F.lit(4), F.char_length("w")), lambda n: F.substr("w", F.lit(1), n))).alias("word")).distinct()
+    return words.join(F.broadcast(lengths), F.char_length("w") >= F.col("length")).select("id", F.substr("w", F.lit(1), F.col("length")).alias("word")).distinct()
+
+
+#: Brand words longer than this confirm by their first letters.
+LONGEST = 64
+
+
+def _lengths(words: DataFrame) -> DataFrame:
+    """The different lengths of brand words, ``LONGEST`` at most."""
+    return words.select(F.char_length("word").alias("length")).distinct()
+
+
+def _cut_words(brand: Column) -> Column:
+    return F.transform(brand_words(brand), lambda w: F.left(w, F.lit(LONGEST)))
 
 
 def confirmations(masters: DataFrame, titles: DataFrame) -> DataFrame:
     """Masters with ``confirmed``: a distinctive brand word begins a word of the own titles; true without titles or distinctive words. ``titles``: id, title (a row each)."""
-    begins = _title_prefixes(titles)
-    wanted = masters.select("id", F.explode(brand_words(F.col("brand_norm"))).alias("word"))
+    wanted = masters.select("id", F.explode(_cut_words(F.col("brand_norm"))).alias("word"))
+    begins = _title_prefixes(titles, _lengths(wanted))
     said = wanted.join(begins, ["id", "word"], "left_semi").select("id").distinct().withColumn("said", F.lit(True))
     titled = titles.filter("title IS NOT NULL").select("id").distinct().withColumn("titled", F.lit(True))
     marked = masters.join(said, "id", "left").join(titled, "id", "left")
@@ -125,11 +167,11 @@ def brand_anomalies(masters: DataFrame, titles: DataFrame) -> DataFrame:
     that a trusted word speaks of are looked at.
     """
     known = confirmations(masters, titles)
-    vocab = known.filter("confirmed AND coalesce(brand_norm, '') <> ''").select("id", "brand", F.posexplode(brand_words(F.col("brand_norm"))).alias("place", "word"))
+    vocab = known.filter("confirmed AND coalesce(brand_norm, '') <> ''").select("id", "brand", F.posexplode(_cut_words(F.col("brand_norm"))).alias("place", "word"))
     vocab = vocab.groupBy("word").agg(F.min_by("brand", F.struct("id", "place")).alias("canon"), F.min(F.struct("id", "place")).alias("first"))
     suspects = known.filter(~F.col("confirmed") & ~F.coalesce(F.trim("brand_norm"), F.lit("")).isin(HOUSE_BRAND))
-    own = suspects.select("id", F.explode(brand_words(F.col("brand_norm"))).alias("word"))
-    named = _title_prefixes(titles.join(suspects.select("id"), "id", "left_semi")).join(own, ["id", "word"], "left_anti").join(vocab, "word")
+    own = suspects.select("id", F.explode(_cut_words(F.col("brand_norm"))).alias("word"))
+    named = _title_prefixes(titles.join(suspects.select("id"), "id", "left_semi"), _lengths(vocab)).join(own, ["id", "word"], "left_anti").join(vocab, "word")
     brands = named.groupBy("id", "canon").agg(F.min("first").alias("first"))
     lists = brands.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "canon"))), lambda x: x["canon"]), " / ").alias("others"))  # brands that one master's titles name
     detail = F.concat(F.lit("listing titles say "), "others", F.lit(', tagged "'), "brand", F.lit('"'))
@@ -164,13 +206,26 @@ def cross_brand(masters: DataFrame, suspects: DataFrame) -> DataFrame:
 
 def clusters(masters: DataFrame, pairs: DataFrame, offers: DataFrame) -> DataFrame:
     """``id, cluster, survivor``: components of obvious pairs; the survivor is ready first, then has most offers, the shortest name, the smallest id."""
-    found = components(pairs.filter("obvious").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    return _survivors(components(pairs.filter("obvious").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))), masters, offers)
+
+
+def _survivors(found: DataFrame, masters: DataFrame, offers: DataFrame) -> DataFrame:
     rows = found.join(masters.select(F.col("id").alias("node"), "status", "name"), "node").join(offers.select(F.col("master_id").alias("node"), "offers"), "node", "left")
     rank = F.struct(F.when(F.col("status") == "ready", 0).otherwise(1), -F.coalesce("offers", F.lit(0)), F.char_length(F.coalesce("name", F.lit(""))), F.col("node"))
     best = rows.groupBy("component").agg(F.min_by("node", rank).alias("survivor"))
     return rows.join(best, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "survivor")
 
 
+def class_clusters(masters: DataFrame, offers: DataFrame) -> DataFrame:
+    """Like :func:`clusters` of all obvious pairs, but by classes: as many links as names, however many are equal."""
+    members, pairs = brand_classes(masters)
+    obvious = cut(pairs.filter("obvious").select("a_id", "b_id"))
+    apart = obvious.filter("a_id <> b_id")
+    found = components(apart.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).select(F.col("node").alias("class"), "component")
+    alone = obvious.filter("a_id = b_id").select(F.col("a_id").alias("class")).join(found, "class", "left_anti").withColumn("component", F.col("class"))
+    return _survivors(members.join(found.unionByName(alone), "class").select(F.col("id").alias("node"), "component"), masters, offers)
+
+
 def without_rejected(pairs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Pairs that nobody has rejected, in either order."""
     low = lambda df: df.withColumns({"lo": F.least("a_id", "b_id"), "hi": F.greatest("a_id", "b_id")})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratacat.durable import cut
 from stratacat.functions.text import norm_name
 
 from .grid import LIVE
@@ -72,11 +73,17 @@ def within_budget(queue: DataFrame, cost: Column, budget: int, order: list, grou
     return queue.withColumn("spent", F.sum(cost).over(w)).filter(F.col("spent") <= budget)
 
 
+def _grams(text: Column, sizes: list[int], short: bool = False) -> Column:
+    """The distinct parts of the text of these lengths; with ``short``, a text that is shorter is its own."""
+    start = lambda n: F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array(text) if short else F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*map(start, sizes))))
+
+
 def attach_suggestions(skus: DataFrame, masters: DataFrame, top: int = 3) -> DataFrame:
     """For each sku the best masters by name: 2 if the normed title holds the whole normed name, else how many of its words (over 2 letters) the title holds; at least 2; later ids first.
 
-    Holding means as a part of the text, also inside a word. Equal titles are answered once. Words of titles meet words of names through their own
-    parts, each distinct word once. A name meets titles on all its words but the one that most names have, since any two of them include another.
+    Holding means as a part of the text, also inside a word. Equal titles are answered once. Words of names meet distinct words of titles on one gram of up to
+    three letters, the one that fewest title words have, so a title word brings three rows a letter at most, however long it is. A name meets titles on all its words but the one that most names have, since any two of them include another.
     """
     n = masters.select(F.col("id").alias("master_id"), F.coalesce("name_norm", F.lit("")).alias("name"))
     named = n.filter("name <> ''").withColumn("all", F.split("name", " "))
@@ -90,9 +97,14 @@ def attach_suggestions(skus: DataFrame, masters: DataFrame, top: int = 3) -> Dat
     rare = flat.join(often, "word").withColumns({"place": place, "n": count}).filter("place > 1 OR n = 1").select("master_id", "word")
     titles = skus.select(norm_name(F.col("title")).alias("t")).distinct()
     words = titles.select("t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    begin = F.sequence(F.lit(1), F.char_length("w"))
-    parts = words.select("w").distinct().filter("w <> ''").select("w", F.explode(F.array_distinct(F.flatten(F.transform(begin, lambda i: F.transform(F.sequence(F.lit(1), F.char_length("w") - i + 1), lambda k: F.substr("w", i, k)))))).alias("word"))
-    held = words.join(parts.join(often.select("word"), "word", "left_semi"), "w").select("t", "word").distinct()
+    texts = words.select("w").distinct().filter("w <> ''")
+    grams = cut(texts.select("w", F.explode(_grams(F.col("w"), [1, 2, 3])).alias("gram")))
+    common = grams.groupBy("gram").agg(F.count("*").alias("texts"))
+    asked = often.select("word", F.explode(_grams(F.col("word"), [3], True)).alias("gram")).join(common, "gram", "left")
+    # a gram that no title has says that no title holds the word
+    asked = asked.groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
+    parts = asked.join(grams, "gram").filter(F.contains("w", "word")).select("w", "word")
+    held = words.join(parts, "w").select("t", "word").distinct()
     pairs = held.join(rare, "word").select("t", "master_id").distinct().join(named.select("master_id", "name", "long"), "master_id")
     score = F.when(F.contains("t", "name"), 2).otherwise(F.size(F.filter("long", lambda w: F.contains(F.col("t"), w))))
     best = pairs.select("t", "master_id", score.cast("long").alias("score")).filter("score >= 2")

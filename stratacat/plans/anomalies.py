@@ -8,15 +8,16 @@ from stratacat.functions import guess as G
 from stratacat.operators import dedup as D
 from stratacat.operators import transitions as T
 from stratacat.operators import upsert as U
-from stratacat.plans.facts import _GAS_SQL, SUFFIXES
-from stratacat.plans.identity import _CLUSTER, _clusters
+from stratacat.functions import classify as K
+from stratacat.plans.facts import _GAS_SQL, SUFFIXES, _case, _span_sql
+from stratacat.plans.identity import _CLUSTER, _DD, _clusters
 from stratacat.plans.transitions import MATCH, VIDEO
 from stratacat.views import derived, sku, with_views
 
 BRANDS = ["X-UAV", "Dark Maker", "almond", "Blue"]
 _SUFFIX = "CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(SUFFIXES)) + " END"
 LISTING = f"""SELECT p_partkey AS id, concat(CASE p_partkey % 5 WHEN 0 THEN 'xuav ' WHEN 1 THEN 'Dark-Maker: ' WHEN 2 THEN '' ELSE 'RC Plane ' END, p_name, {_SUFFIX}, CASE WHEN p_partkey % 3 = 0 THEN ' - Best Shop India' ELSE '' END) AS title,
-CASE p_partkey % 7 WHEN 0 THEN 'x-uav' WHEN 1 THEN 'dark-maker' ELSE 'shop' END AS source_id, CASE p_partkey % 4 WHEN 0 THEN '{{"brand":"Stored","name":"Kept name","spanMM":777}}' WHEN 1 THEN '{{"brand":""}}' END AS stored,
+CASE p_partkey % 7 WHEN 0 THEN 'x-uav' WHEN 1 THEN 'dark-maker' WHEN 2 THEN 'xuav' ELSE 'shop' END AS source_id, CASE p_partkey % 4 WHEN 0 THEN '{{"brand":"Stored","name":"Kept name","spanMM":777}}' WHEN 1 THEN '{{"brand":""}}' END AS stored,
 CASE WHEN p_partkey % 2 = 0 THEN 'by X UAV with wingspan 1400 mm, plug and play' ELSE 'plain text' END AS page FROM part"""
 #: Masters under brands that their titles confirm, contradict or don't mention.
 BRANDED = """SELECT id, category_id, name, name_norm, span_mm, status, power, CASE id % 4 WHEN 0 THEN 'Acme Hobby' WHEN 1 THEN split_part(name, ' ', 1) WHEN 2 THEN 'Wings RC' ELSE concat(split_part(name, ' ', 2), ' Kits') END AS brand,
@@ -77,6 +78,7 @@ QUERIES = {
 }
 _KNOWN = "CASE WHEN regexp_matches(title, '(?i)X.?UAV') THEN 'X-UAV' WHEN regexp_matches(title, '(?i)Dark.?Maker') THEN 'Dark Maker' WHEN regexp_matches(title, '(?i)almond') THEN 'almond' WHEN regexp_matches(title, '(?i)Blue') THEN 'Blue' END"
 _HOUSE = "CASE source_id WHEN 'x-uav' THEN 'X-UAV' WHEN 'dark-maker' THEN 'Dark Maker' END"
+_OWN = "CASE regexp_replace(source_id, '[^a-z0-9]', '', 'g') WHEN 'xuav' THEN 'X-UAV' WHEN 'darkmaker' THEN 'Dark Maker' END"
 _CUT = r"trim(regexp_replace(title, '\s+[|–—-]\s+[^|]*$', ''))"
 _FRONT = {"X-UAV": r"X[-\s]?UAV", "Dark Maker": r"Dark[-\s]?Maker", "almond": "almond", "Blue": "Blue"}
 _BARE = "coalesce(nullif(CASE brand " + " ".join(rf"WHEN '{b}' THEN trim(regexp_replace({_CUT}, '(?i)^{p}[\s:–—-]*', ''))" for b, p in _FRONT.items()) + f" END, ''), {_CUT})"
@@ -103,10 +105,16 @@ ORACLE = {
 , n AS (SELECT *, CASE WHEN id % 4 = 0 THEN 'Kept name' ELSE left({_BARE}, 60) END AS nm FROM b)
 SELECT id, brand, nm AS name, substr(regexp_replace(regexp_replace(lower(concat(CASE WHEN brand <> '' THEN concat(brand, ' ') ELSE '' END, nm)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug,
 CASE WHEN id % 4 = 0 THEN '777' ELSE regexp_extract(title, '(?i)(\\d{{3,4}})\\s*mm', 1) END AS span FROM n""",
+    "k_guess_enrich": f"""WITH l AS (SELECT *, {_KNOWN} AS said FROM ({LISTING})), b AS (SELECT *, coalesce(said, {_KNOWN.replace("(title,", "(left(page, 3000),")}, {_OWN}, '') AS brand FROM l)
+, t AS (SELECT id, {_span_sql(K.TITLE_SPANS)} AS span FROM (SELECT id, title AS text FROM b)), p AS (SELECT id, {_span_sql(K.TITLE_SPANS)} AS span FROM (SELECT id, left(page, 20000) AS text FROM b))
+, c AS (SELECT id, {_case(K.CONFIGS, 'kit')} AS config FROM (SELECT id, concat(title, ' ', left(page, 2000)) AS text FROM b))
+SELECT b.id, brand, left({_FILL}, 60) AS name, coalesce(t.span, p.span) AS span, CASE WHEN t.span IS NOT NULL THEN 'title' WHEN p.span IS NOT NULL THEN 'page' ELSE 'none' END AS via, config FROM b JOIN t ON t.id = b.id JOIN p ON p.id = b.id JOIN c ON c.id = b.id""",
     "j_brand_dictionary": f"SELECT id, {_KNOWN} AS brand FROM ({LISTING})",
     "f_clean_name": f"SELECT id, left({_FILL}, 60) AS name FROM (SELECT *, {_KNOWN} AS brand FROM ({LISTING}))",
     "k_brand_anomaly": with_views(_ANOM + " SELECT * FROM a"),
     "k_power_anomaly": with_views(_ANOM + " SELECT id, kind FROM q"),
+    "k_dedup_cross_unconfirmed": with_views(_CONF + _DD.replace("FROM v_master", f"FROM ({BRANDED})") + """ SELECT a_id, b_id, common / least_n AS score FROM ok WHERE cat AND NOT same AND common / least_n >= 0.6 AND (coalesce(gap, 1) <= 0.05 OR shared OR least_n >= 2)
+AND (a_id IN (SELECT id FROM c WHERE NOT confirmed) OR b_id IN (SELECT id FROM c WHERE NOT confirmed))"""),
     "k_brand_confirmations": with_views(_CONF + " SELECT id, confirmed FROM c"),
     "m_anomaly_refresh": with_views(_ANOM + """, u AS (SELECT * FROM a UNION ALL SELECT * FROM q) SELECT c.id, CASE WHEN u.id IS NOT NULL THEN concat('{"kind":"', kind, '","detail":"', replace(detail, '"', '\\"'), '"}') END AS anomaly FROM c LEFT JOIN u ON u.id = c.id"""),
     "k_rederive_power": with_views(f"""SELECT m.id, name FROM ({BRANDED}) m JOIN (SELECT id, max(CASE WHEN {_GAS_SQL} THEN 1 ELSE 0 END) AS gas FROM (SELECT id, description AS text FROM ({DESCRIBED}) WHERE description IS NOT NULL) GROUP BY 1) g ON g.id = m.id

@@ -42,7 +42,7 @@ def resolve(base: Column, href: Column) -> Column:
     """The address that ``href`` means on the page ``base``, dots in its path worked out; null for other schemes."""
     link = F.trim(href)
     folder = F.regexp_replace(path_of(base), "[^/]*$", "")
-    bare = F.regexp_replace(base, r"[?#].*$", "")
+    bare = F.concat(origin(base), path_of(base))
     full = (
         F.when(link.rlike(r"(?i)^https?://"), link)
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
@@ -69,7 +69,7 @@ def _without_dots(full: Column) -> Column:
 
 
 def title_from_url(url: Column) -> Column:
-    """The last part of the path that has a letter, as words."""
+    """The last part of the path that has a letter, as words; empty if there is none, or for what is no URL."""
     names = F.filter(F.split(path_of(url), "/"), lambda p: p.rlike("(?i)[a-z]") & (p != "products"))
     name = F.element_at(names, -1)
     plain = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
