@@ -15,9 +15,9 @@ def test_links_resolve_as_browsers_do(spark):
     rows = [(b, x) for b in BASES for x in LINKS]
     got = {(r.b, r.x): r.u for r in spark.createDataFrame(rows, "b string, x string").select("b", "x", C.resolve(F.col("b"), F.col("x")).alias("u")).collect()}
     for b, x in rows:
-        want = urljoin(b if "/" in b[8:] else b + "/", x.strip()) if x.strip() else b.split("#")[0]
-        low = lambda u: u.replace("//A.", "//a.")
-        assert low(got[b, x]).rstrip("/") == low(want).rstrip("/"), (b, x)
+        want = urljoin(b if "/" in b[8:] else b + "/", x.strip())
+        plain = lambda u: u.replace("//A.", "//a.").split("#")[0].rstrip("/")
+        assert plain(got[b, x]) == plain(want), (b, x)
     other = spark.createDataFrame([("https://a.example.com/", "mailto:x@y.z"), ("https://a.example.com/", "javascript:void(0)"), (None, "b"), ("https://a.example.com/", None)], "b string, x string")
     assert [r.u for r in other.select(C.resolve(F.col("b"), F.col("x")).alias("u")).collect()] == [None] * 4
 
