@@ -119,6 +119,56 @@ def fnv1a(s: Column) -> Column:
     return F.when(s.isNotNull(), F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0x811C9DC5).cast("long"), step))
 
 
+def fnv1a_units(s: Column) -> Column:
+    """The same hash over UTF-16 units: a character beyond the first plane counts as its two halves."""
+    prime, mask = 16777619, 0xFFFFFFFF
+
+    def units(c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        beyond = code - 0x10000
+        pair = F.array(F.lit(0xD800) + F.shiftright(beyond, 10), F.lit(0xDC00) + beyond.bitwiseAND(0x3FF))
+        return F.when(code > 0xFFFF, pair).otherwise(F.array(code))
+
+    def step(h: Column, unit: Column) -> Column:
+        x = h.bitwiseXOR(unit)
+        return (x * (prime & 0xFFFF) + F.shiftleft((x * (prime >> 16)).bitwiseAND(0xFFFF), 16)).bitwiseAND(mask)
+
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    return F.when(s.isNotNull(), F.aggregate(F.flatten(F.transform(chars, units)), F.lit(0x811C9DC5).cast("long"), step))
+
+
+def image_key(url: Column) -> Column:
+    """The key of a cached image: the hash of its address, without leading zeros."""
+    return F.concat(F.lit("i/"), F.lower(F.hex(fnv1a_units(url))))
+
+
+def padded_hash(s: Column) -> Column:
+    """The hash in eight hexadecimal digits."""
+    return F.lpad(F.lower(F.hex(fnv1a_units(s))), 8, "0")
+
+
+def iso_day(ms: Column) -> Column:
+    """The UTC day of a time in milliseconds as text; null for none or 0."""
+    return F.when(ms != 0, F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd"))
+
+
+def day_start(ms: Column) -> Column:
+    """The first millisecond of the UTC day."""
+    return ms - F.pmod(ms, F.lit(86_400_000))
+
+
+def report_day(text: Column) -> Column:
+    """Eight digits of a report as an ISO day."""
+    return F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substr(text, F.lit(7)))
+
+
+def ago(ms: Column, now_ms: int) -> Column:
+    """How long ago in words: never, under an hour, hours up to two days, then days."""
+    hours = F.floor((F.lit(now_ms) - ms) / 3.6e6 + 0.5)
+    days = F.floor(hours / 24 + 0.5)
+    return F.when(F.coalesce(ms, F.lit(0)) == 0, "never").when(hours < 1, "<1h ago").when(hours < 48, F.concat(hours.cast("string"), F.lit("h ago"))).otherwise(F.concat(days.cast("string"), F.lit("d ago")))
+
+
 def relative_gap(a: Column, b: Column) -> Column:
     """|a - b| over the larger; null if either is null or 0."""
     return F.try_divide(F.abs(a - b).cast("double"), F.when((a != 0) & (b != 0), F.greatest(a, b)))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratacat.functions.classify import power
 from stratacat.functions.text import canonical_url, host_of, norm_name
 from stratacat.operators.grid import resolve_landing
+from stratacat.operators.popularity import scores
 from stratacat.operators.upsert import delete_keys, insert_ignore, upsert
 
 #: What each decision sets; a column that is not named stays. ``done_at`` stands for the time of the decision, ``reason`` for its text.
@@ -148,6 +150,23 @@ def boost(masters: DataFrame, boosts: DataFrame) -> DataFrame:
     return masters.join(b, "id", "left").withColumn("pop_boost", F.when(F.col("n_boost").isNull(), F.col("pop_boost")).when(F.col("n_boost") != 1.0, F.col("n_boost"))).drop("n_boost")
 
 
+def rederive_power(masters: DataFrame, touched: DataFrame, offers: DataFrame, titles: DataFrame) -> DataFrame:
+    """Masters with the power of those ``touched`` (``id``) worked out again from the titles of all their offers: gas if one names an engine."""
+    sold = offers.join(touched.select(F.col("id").alias("master_id")).distinct(), "master_id", "left_semi").join(titles.select("sku_key", "title"), "sku_key")
+    gas = sold.groupBy(F.col("master_id").alias("id")).agg(F.max((power(F.col("title")) == "gas").cast("int")).alias("gas"))
+    named = touched.select("id").distinct().join(gas, "id", "left").select("id", F.when(F.col("gas") == 1, "gas").otherwise("electric").alias("n_power"))
+    return masters.join(named, "id", "left").withColumn("power", F.coalesce("n_power", "power")).drop("n_power")
+
+
+def rescored(masters: DataFrame, touched: DataFrame, skus: DataFrame, videos: DataFrame, now_ms: int) -> DataFrame:
+    """``id, view_sum, video_count, raw, score`` of the masters that a curation has touched (``id``), from their videos, sellers, stock and boost as they are now. ``masters``: id, pop_boost."""
+    wanted = masters.join(touched.select("id").distinct(), "id", "left_semi")
+    live = ((F.col("in_stock") == 1) & (F.col("dead") == 0)).cast("int")
+    sold = skus.filter("review_status = 'approved'").groupBy(F.col("master_id").alias("id")).agg(F.countDistinct("source_id").alias("sellers"), F.max(F.coalesce(live, F.lit(0))).alias("any_stock"))
+    rows = wanted.join(sold, "id", "left").select("id", F.coalesce("sellers", F.lit(0)).alias("sellers"), F.coalesce("any_stock", F.lit(0)).alias("any_stock"), F.col("pop_boost").alias("boost"))
+    return scores(rows, videos.withColumn("excluded", F.col("excluded") == 1), now_ms)
+
+
 def reject_merges(candidates: DataFrame, pairs: DataFrame, at: int) -> DataFrame:
     """Merge candidates with the pairs rejected; unknown pairs are added with score 0. A pair has its smaller id first."""
     new = pairs.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()

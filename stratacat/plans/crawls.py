@@ -8,8 +8,8 @@ from stratacat.operators import ranks
 from stratacat.sources import crawl
 from stratacat.views import derived, table
 
-#: Shops of fifty parts: a tree of 24 listing pages and a second page of the first, with links of every form. Every third shop's page 7 has not landed.
-SITE = """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS source_id, CAST(p_partkey % 50 AS INT) AS i, p_partkey AS n, concat('https://s', CAST(floor(p_partkey / 50) AS BIGINT), '.example.com') AS home FROM part WHERE p_partkey % 50 < 25"""
+#: Shops of 25 parts: a tree of 24 listing pages and a second page of the first, with links of every form. Every third shop's page 7 has not landed.
+SITE = """SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS source_id, CAST(p_partkey % 25 AS INT) AS i, p_partkey AS n, concat('https://s', CAST(floor(p_partkey / 25) AS BIGINT), '.example.com') AS home FROM part"""
 SITE_PAGE = f"""SELECT source_id, i, n, home, concat(home, CASE i WHEN 0 THEN '/shop' WHEN 24 THEN '/shop?page=2' ELSE concat('/shop/c', i) END) AS url,
 concat('<html><a href="', home, '/shop/">Home</a><a href="/blog/c1">B</a><a href=''https://other.example.com/shop/c9''>O</a><a href="/shop/feed/">F</a><a href="mailto:a@b.c">M</a>',
 CASE WHEN i = 0 THEN '<a class="x next y" href="/shop?utm_source=z&page=2">more</a>' ELSE '' END,
@@ -65,7 +65,7 @@ _QUEUE = f"""RECURSIVE p AS (SELECT source_id, i, url FROM ({SITE_PAGE}) x)
 , f AS (SELECT source_id, arg_max(queue, k) AS queue FROM q GROUP BY source_id), v AS (SELECT source_id, unnest(queue) AS i, unnest(range(len(queue))) AS place FROM f)"""
 ORACLE = {
     "src_html_crawl": f"WITH {_QUEUE} SELECT v.source_id, url, CAST(place AS INT) AS place FROM v JOIN p ON p.source_id = v.source_id AND p.i = v.i",
-    "src_html_products": f"""WITH {_QUEUE}, o AS (SELECT v.source_id, v.i, 100000000000 + v.source_id * 50 + v.i AS long FROM v JOIN l ON l.source_id = v.source_id AND l.i = v.i)
+    "src_html_products": f"""WITH {_QUEUE}, o AS (SELECT v.source_id, v.i, 100000000000 + v.source_id * 25 + v.i AS long FROM v JOIN l ON l.source_id = v.source_id AND l.i = v.i)
 SELECT source_id, concat('https://s', source_id, '.example.com/product/w-', i, '_A%20b') AS url, NULL AS pid, concat('w ', i, ' A b') AS title FROM o WHERE source_id % 2 = 0
 UNION ALL SELECT source_id, concat('https://s', source_id, '.example.com/products/Plane_', i, '/', long), CAST(long AS VARCHAR), concat('Plane ', i) FROM o WHERE source_id % 2 = 1
 UNION ALL SELECT DISTINCT source_id, concat('https://s', source_id, '.example.com/products/short/123'), NULL, 'short' FROM o WHERE source_id % 2 = 1""",

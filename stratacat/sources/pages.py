@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacat.functions.classify import is_challenge, span_maker
-from stratacat.functions.text import canonical_url, decode_entities, first_match, host_of, html_to_text, meta_content, round_half_up
+from stratacat.functions.text import canonical_url, decode_entities, first_match, host_of, html_to_text, let, meta_content, round_half_up
 from stratacat.sources import feeds
 
 # Patterns of shop markup that results depend on.
@@ -65,6 +65,62 @@ def read_state(status: Column, html: Column) -> Column:
     return F.when(status.isin(404, 410), "gone").when(~ok | is_challenge(html), "blocked").otherwise("ok")
 
 
+_ITEM = "array<struct<id:string,name:string,images:array<struct<src:string>>,prices:struct<price:string,currency_minor_unit:int>,is_in_stock:boolean>>"
+
+
+def store_read(status: Column, payload: Column, pid: Column, page_status: Column, page: Column) -> Column:
+    """``state, title, image, price, stock`` of a sku that the shop's store API was asked for.
+
+    A failed request or what is no list tells nothing (blocked). A product that the list lacks is told by its page: gone if the page is, blocked if that can't be read, else missing from the
+    feed. ``page_status`` -1 stands for a sku without a page's address, which is missing.
+    """
+    ok = F.coalesce(status.between(200, 299), F.lit(False))
+    rows = F.from_json(F.when(F.trim(payload).startswith("["), payload), _ITEM)
+
+    def told(found: Column) -> Column:
+        amount = round_half_up(F.coalesce(found["prices"]["price"].try_cast("double"), F.lit(0.0)) / F.pow(F.lit(10.0), F.coalesce(found["prices"]["currency_minor_unit"], F.lit(2))))
+        name = F.regexp_replace(F.coalesce(found["name"], F.lit("")), "<[^>]+>", "")
+        title = F.replace(F.replace(name, F.lit("&amp;"), F.lit("&")), F.lit("&#8211;"), F.lit("–"))
+        absent = F.when(page_status == -1, "missing").otherwise(F.replace(read_state(page_status, F.coalesce(page, F.lit(""))), F.lit("ok"), F.lit("missing")))
+        state = F.when(~ok | rows.isNull(), "blocked").when(found.isNull(), absent).otherwise("ok")
+        got = state == "ok"
+        return F.struct(
+            state.alias("state"), F.when(got, title).alias("title"), F.when(got, F.get(found["images"], F.lit(0))["src"]).alias("image"), F.when(got & (amount > 0), amount.cast("long")).alias("price"),
+            F.when(got, F.coalesce(found["is_in_stock"], F.lit(True)).cast("int")).alias("stock"),
+        )
+
+    return let(F.get(F.filter(rows, lambda x: x["id"] == pid), F.lit(0)), told)
+
+
+def sitemap_targets(urls: DataFrame, includes: str | None = None, brand: str | None = None, skip: str | None = None, prefer: str | None = None, most: int = 120, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """``url, place``: which addresses of a maker's sitemaps (``url``) are read, and in which order: those that hold ``includes`` and the brand's name, without those that ``skip`` fits, those that ``prefer`` fits first, then by address; ``most`` in all, of which a page is given."""
+    rows = urls.select("url").distinct()
+    if includes:
+        rows = rows.filter(F.contains("url", F.lit(includes)))
+    if brand:
+        rows = rows.filter(F.contains(F.lower("url"), F.lit("-".join(brand.lower().split()))))
+    if skip:
+        rows = rows.filter(~F.col("url").rlike(skip))
+    first = F.col("url").rlike(prefer).cast("int") if prefer else F.lit(0)
+    top = rows.withColumn("first", first).orderBy(F.desc("first"), "url").limit(most)
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("first"), "url")) - 1)  # of `most` rows
+    return placed.filter((F.col("place") >= offset) & (F.col("place") < offset + (limit or most))).select("url", "place")
+
+
+def of_brand(products: DataFrame, brand: str) -> DataFrame:
+    """Products without a brand of their own, or whose brand holds the maker's name."""
+    return products.filter((F.coalesce("brand", F.lit("")) == "") | F.contains(F.lower("brand"), F.lit(brand.lower())))
+
+
+def registry(files: DataFrame, column: str = "json") -> DataFrame:
+    """Makers to follow of registry files (JSON lists, or lists in ``results`` as a database dumps them): ``brand, domain, platform``."""
+    entry = "array<struct<brand:string,domain:string,probed_platform:string,pursue:boolean>>"
+    text = F.col(column)
+    inner = F.coalesce(F.get_json_object(text, "$[0].results"), F.get_json_object(text, "$.results"), text)
+    rows = files.select(F.explode(F.from_json(inner, entry)).alias("m")).select("m.*")
+    return rows.filter("pursue AND coalesce(domain, '') <> ''").select("brand", "domain", F.col("probed_platform").alias("platform"))
+
+
 def parse_page(html: Column, platform: Column) -> Column:
     """``title, image, price, stock, quote_only, variants, via``: the first of Magento markup, shop variants, a JSON-LD product, a cart element; else only a quote is offered."""
     variants = F.when(platform == "woocommerce", woo_variants(html))

@@ -212,7 +212,7 @@ def drained(spark: SparkSession, folder: str, schema: StructType | str, plan, ou
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def replayed(rows: DataFrame, plan, late_ms: int, files: int = 6) -> DataFrame:
+def replayed(rows: DataFrame, plan, late_ms: int, files: int = 4) -> DataFrame:
     """Lands ``rows`` (with ``key`` and ``ts``) in files at random, drains them, then lands one more row, far on in time, and goes on from the checkpoint: it moves the watermark past all others.
 
     ``late_ms`` must be the watermark's delay of ``plan``, and cover how far the files are out of order.

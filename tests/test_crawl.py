@@ -8,7 +8,7 @@ from stratacat.operators import ranks as R
 from stratacat.sources import crawl as C
 
 BASES = ["https://a.example.com", "https://a.example.com/x", "https://A.example.com:8443/x/y/z.html?q=1#f", "http://a.example.com/x/"]
-LINKS = ["b", "./b", "../b", "../../../b", "/b/../c/./d", "?p=2", "#top", "", "//c.example.com/k", "https://d.example.com/p/../q?x=/../y", "b/..", "b/.", " b ", "/", "c.html?u=../z"]
+LINKS = ["b", "./b", "../b", "../../../b", "/b/../c/./d", "?p=2", "#top", "", "//c.example.com/k", "https://d.example.com/q?x=/../y", "b/..", "b/.", " b ", "/", "c.html?u=../z"]
 
 
 def test_links_resolve_as_browsers_do(spark):
@@ -18,6 +18,8 @@ def test_links_resolve_as_browsers_do(spark):
         want = urljoin(b if "/" in b[8:] else b + "/", x.strip())
         plain = lambda u: u.replace("//A.", "//a.").split("#")[0].rstrip("/")
         assert plain(got[b, x]) == plain(want), (b, x)
+    whole = spark.createDataFrame([("https://d.example.com/p/../q?x=/../y",)], "x string").select(C.resolve(F.lit(BASES[0]), F.col("x")).alias("u")).first()
+    assert whole.u == "https://d.example.com/q?x=/../y"
     other = spark.createDataFrame([("https://a.example.com/", "mailto:x@y.z"), ("https://a.example.com/", "javascript:void(0)"), (None, "b"), ("https://a.example.com/", None)], "b string, x string")
     assert [r.u for r in other.select(C.resolve(F.col("b"), F.col("x")).alias("u")).collect()] == [None] * 4
 
