@@ -257,7 +257,7 @@ def normalize_patches(rows: DataFrame, key: str, column: str) -> DataFrame:
 def relation_error(low: Column, high: Column, most: Column) -> Column:
     """What is wrong among the three weights; null if they are in order or not all known."""
     return (
-        F.when(low > high, "Good AUW minimum cannot exceed good AUW maximum").when(low > most, "Good AUW minimum cannot exceed maximum AUW").when(high > most, "Good AUW maximum cannot exceed maximum AUW")
+        F.when(low > high, "lowest good weight above the highest good weight").when(low > most, "lowest good weight above the limit").when(high > most, "highest good weight above the limit")
     )
 
 

@@ -70,13 +70,13 @@ def _merge(s, d):
 
 
 def _woo(s, d):
-    """Supplier feeds made of lines: JSON pages of a supplier and a thousand order keys, parsed again. More lines make more pages, not longer ones."""
+    """Supplier feeds made of lines: JSON pages of a supplier and twenty thousand order keys, parsed again. More lines make more pages, not longer ones."""
     price = (F.round(F.col("l_extendedprice") * 100)).cast("bigint")
     item = F.struct(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.concat(F.lit("https://Shop.example.com/p/"), F.col("l_partkey"), F.lit("/?utm_source=x&b=2&a=1#t")).alias("permalink"), F.concat(F.lit("A &amp; <b>"), F.col("l_partkey")).alias("name"),
         (F.col("l_linenumber") % 2 == 0).alias("is_in_stock"), F.struct(F.when(F.col("l_linenumber") == 3, "0").otherwise(price.cast("string")).alias("price"), F.lit(2).alias("currency_minor_unit")).alias("prices"),
     )
-    pages = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("source_id"), F.floor(F.col("l_orderkey") / 1000).alias("page")).agg(F.to_json(F.collect_list(item)).alias("json"))
+    pages = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("source_id"), F.floor(F.col("l_orderkey") / 20_000).alias("page")).agg(F.to_json(F.collect_list(item)).alias("json"))
     return feeds.woocommerce(pages).select("source_id", "pid", "url", "title", "price", "stock")
 
 

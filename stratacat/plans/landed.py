@@ -66,7 +66,7 @@ def _dispatched(s, d):
     shop = _store(s, d).select((F.col("source_id") + 1000).alias("source_id"), F.lit("shopify").alias("platform"), F.col("origin").alias("home_url"), F.lit(1).alias("page"), F.col("json").alias("payload"))
     listed = _listed(s, d).select((F.col("source_id") + 2000).alias("source_id"), F.lit("magento").alias("platform"), "home_url", "page", F.col("html").alias("payload"))
     other = listed.withColumn("platform", F.lit("unknown"))
-    return pages.dispatch(woo.unionByName(shop).unionByName(listed).unionByName(other)).groupBy((F.floor(F.col("source_id") / 1000)).alias("kind")).agg(F.count("*").alias("n"), F.sum("price").alias("price"), F.sum("stock").alias("stock"))
+    return pages.dispatch(woo.unionByName(shop).unionByName(listed).unionByName(other)).select("source_id", "pid", "url", "title", "price", "stock", "image")
 
 
 def _maker_pages(s, d):
@@ -139,9 +139,9 @@ SELECT o.source_id, o.page, pid FROM o JOIN h ON h.source_id = o.source_id AND h
     "src_mfr_shopify": f"""SELECT concat('sh:', p_partkey) AS ext_id, title, p_type AS product_type, concat('https://maker.example.com/products/h', p_partkey) AS url, 'Wing span: 1200 mm of foam' AS body, concat('i', p_partkey) AS image, coalesce({maker_span_sql('title')}, 1200) AS span FROM {_STORE}""",
     "src_mfr_jsonld_sitemap": f"""WITH x AS (SELECT *, concat(p_name, ' ', p_size * 20, 'mm') AS name, CASE WHEN p_size % 2 = 0 THEN 'Span text' ELSE 'Light foam' END AS body FROM part WHERE p_partkey % 5 <> 0)
 SELECT CASE WHEN p_size % 2 = 0 THEN concat('ld:S', p_partkey) ELSE concat('ld:https://m.example.com/', p_partkey) END AS ext_id, name AS title, concat('https://m.example.com/', p_partkey) AS url, body, p_brand AS brand, {maker_span_sql("concat(name, ' ', body)")} AS span FROM x""",
-    "src_feed_dispatch": f"""SELECT 0 AS kind, count(*) AS n, CAST(sum(123) AS BIGINT) AS price, count(*) AS stock FROM supplier
-UNION ALL SELECT 1, count(*), CAST(sum(CAST(floor(p_retailprice + 0.5) AS BIGINT)) AS BIGINT), CAST(sum({_ANY2}) AS BIGINT) FROM part
-UNION ALL SELECT 2, count(*), CAST(sum(price) AS BIGINT), CAST(sum(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM {_OWN} WHERE k = 1""",
+    "src_feed_dispatch": f"""SELECT s_suppkey AS source_id, CAST(s_suppkey AS VARCHAR) AS pid, 'https://w.example.com/x' AS url, s_name AS title, 123 AS price, 1 AS stock, NULL AS image FROM supplier
+UNION ALL SELECT source_id + 1000, CAST(p_partkey AS VARCHAR), concat('https://shop.example.com/products/h', p_partkey), title, CAST(floor(p_retailprice + 0.5) AS BIGINT), {_ANY2}, concat('i', p_partkey) FROM {_STORE}
+UNION ALL SELECT source_id + 2000, pid, concat('https://shop.example.com/p', n, '.html'), concat('A & ', trim(regexp_replace(p_name, '\\s+', ' ', 'g'))), price, CASE WHEN o.p_size % 2 = 0 THEN 1 ELSE 0 END, concat('i', n, '.jpg') FROM {_OWN} o JOIN part ON p_partkey = n WHERE k = 1""",
     "src_rss_xml": """SELECT CAST(event_id AS VARCHAR) AS video_id, concat('T & ', event_type) AS title, DATE '2024-01-01' AS published, event_id % 1000 AS views, event_id % 50 AS likes FROM events WHERE event_id % 20 <> 0""",
     "k_feed": """WITH f AS (SELECT event_id, event_id % 1000 AS views, event_id % 50 AS likes FROM events WHERE event_id % 20 <> 0)
 SELECT count(*) AS in_feed, CAST(sum(views) AS BIGINT) AS views, CAST(sum(likes) AS BIGINT) AS likes, count(*) AS recent, (SELECT string_agg(event_id, ',' ORDER BY views DESC, event_id) FROM (SELECT * FROM f ORDER BY views DESC, event_id LIMIT 10)) AS top FROM f""",

@@ -116,7 +116,7 @@ ORACLE = {
 SELECT doc_id, CASE WHEN hit IS NOT NULL THEN left(concat(CASE WHEN b > 0 THEN '…' ELSE '' END, trim(regexp_replace(substr(text, b + 1, e - b), '\s+', ' ', 'g')), CASE WHEN e < length(text) THEN '…' ELSE '' END), 190) END AS excerpt FROM c""",
     "f_grams": "SELECT o_orderkey AS id, CAST(floor((o_orderkey % 5000 + CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0 END) * CAST(CASE o_orderkey % 5 WHEN 0 THEN 1000.0 WHEN 2 THEN 28.349523125 WHEN 3 THEN 1.0 ELSE 453.59237 END AS DOUBLE) + 0.5) AS INT) AS grams FROM orders",
     "k_profile_patch": f"SELECT p_partkey AS id, field, value, error FROM part JOIN (VALUES {_EXPECTED}) e(n, field, value, error) ON n = p_partkey % {len(PATCHES)}",
-    "k_profile_relations": f"""SELECT id, CASE WHEN low > high THEN 'Good AUW minimum cannot exceed good AUW maximum' WHEN low > most THEN 'Good AUW minimum cannot exceed maximum AUW' WHEN high > most THEN 'Good AUW maximum cannot exceed maximum AUW' END AS error FROM ({_WEIGHTS})""",
+    "k_profile_relations": f"""SELECT id, CASE WHEN low > high THEN 'lowest good weight above the highest good weight' WHEN low > most THEN 'lowest good weight above the limit' WHEN high > most THEN 'highest good weight above the limit' END AS error FROM ({_WEIGHTS})""",
     "a_completeness": _facts_sql()
     + " SELECT x.id, coalesce(done, 0) AS done FROM x LEFT JOIN (SELECT id, "
     + " + ".join(f"CAST({(' AND ' if every else ' OR ').join(_TOLD(k) for k in keys)} AS INT)" for keys, every in P.ESSENTIALS)

@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from stratacat.functions.text import canonical_url, decode_entities, first_match, html_to_text, round_half_up
 
+# Patterns of shop markup that results depend on.
+LD_JSON = r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"
+CART_MARKS = [r"(?i)<[a-z][^>]*\sdata-zs-add-to-cart[\s>]", r'(?i)<[a-z][^>]*class="[^"]*theme-cart-button[^"]*"']
+CART_PRICE = r'(?i)class="[^"]*theme-product-price[^"]*"[^>]*>\s*(?:₹|Rs\.?)\s*([\d,]+)'
+PLATFORM_MARKS = [
+    ("shopify", r"(?i)cdn\.shopify\.com|Shopify\.theme"), ("woo", "(?i)woocommerce|wp-content"), ("zoho", "(?i)data-zs-|zohostratus|zohocommerce"),
+    ("magento", "(?i)Magento|mage/"), ("wix", r"(?i)wixstatic|wix\.com"),
+]
+# End of fixed values.
+
 _WOO = "array<struct<id:string,permalink:string,name:string,is_in_stock:boolean,prices:struct<price:string,currency_minor_unit:int>,images:array<struct<src:string>>>>"
 _SHOPIFY = "struct<products:array<struct<id:string,handle:string,title:string,body_html:string,product_type:string,images:array<struct<src:string>>,variants:array<struct<id:string,title:string,price:string,available:boolean>>>>>"
 _NODE = "struct<`@type`:string,offers:string,Offers:string,name:string>"
@@ -58,7 +68,7 @@ def atom_entries(feeds: DataFrame, column: str = "xml") -> DataFrame:
 
 def jsonld_product(html: Column) -> Column:
     """Price and stock of the first product node with a price in rupees (or no currency) in the page's ld+json blocks."""
-    blocks = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    blocks = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LD_JSON), F.lit(1))
 
     def nodes(text: Column) -> Column:
         graph = F.get_json_object(text, "$.@graph")
@@ -79,14 +89,11 @@ def jsonld_product(html: Column) -> Column:
 
 def cart_signals(html: Column) -> Column:
     """Stock and price where an element (not a script's text) offers to put the item into a cart."""
-    cart = html.rlike(r"(?i)<[a-z][^>]*\sdata-zs-add-to-cart[\s>]") | html.rlike(r'(?i)<[a-z][^>]*class="[^"]*theme-cart-button[^"]*"')
-    price = F.replace(first_match(html, r'(?i)class="[^"]*theme-product-price[^"]*"[^>]*>\s*(?:₹|Rs\.?)\s*([\d,]+)'), F.lit(","), F.lit("")).try_cast("long")
+    cart = html.rlike(CART_MARKS[0]) | html.rlike(CART_MARKS[1])
+    price = F.replace(first_match(html, CART_PRICE), F.lit(","), F.lit("")).try_cast("long")
     return F.when(cart, F.struct(F.lit(1).alias("stock"), F.when(price > 0, price).alias("price")))
 
 
 def platform_of(html: Column) -> Column:
     """The shop system that a page's markup shows; the first that fits."""
-    return (
-        F.when(html.rlike("(?i)cdn\\.shopify\\.com|Shopify\\.theme"), "shopify").when(html.rlike("(?i)woocommerce|wp-content"), "woo")
-        .when(html.rlike("(?i)data-zs-|zohostratus|zohocommerce"), "zoho").when(html.rlike("(?i)Magento|mage/"), "magento").when(html.rlike("(?i)wixstatic|wix\\.com"), "wix")
-    )
+    return F.coalesce(*[F.when(html.rlike(pattern), name) for name, pattern in PLATFORM_MARKS])

@@ -52,9 +52,10 @@ def woo_variants(html: Column) -> Column:
     rows = F.from_json(F.when(F.trim(raw).startswith("["), raw), _VARIANT)
 
     def one(v):
-        names = F.filter(F.map_values(F.coalesce(v["attributes"], F.map_from_arrays(F.array(), F.array()).cast("map<string,string>"))), lambda x: x != "")
+        values = F.map_values(F.coalesce(v["attributes"], F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")))
+        names = F.filter(values, lambda x: x != "")
         label = F.coalesce(F.nullif(F.array_join(names, " / "), F.lit("")), F.lit("Standard"))
-        return F.struct(F.coalesce(v["variation_id"], F.array_join(names, "/")).alias("vkey"), label.alias("label"), round_half_up(v["display_price"]).cast("long").alias("price"), F.coalesce(v["is_in_stock"], F.lit(False)).cast("int").alias("stock"))
+        return F.struct(F.coalesce(v["variation_id"], F.array_join(values, "/", "")).alias("vkey"), label.alias("label"), round_half_up(v["display_price"]).cast("long").alias("price"), F.coalesce(v["is_in_stock"], F.lit(False)).cast("int").alias("stock"))
 
     return F.when(F.size(rows) > 0, F.transform(rows, one))
 

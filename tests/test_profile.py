@@ -55,7 +55,7 @@ def test_patches(spark):
 def test_relations(spark):
     rows = spark.createDataFrame([(350, 420, 500), (450, 400, None), (None, 600, 500), (600, None, 500), (None, None, 500)], "a int, b int, c int")
     got = [r.e for r in rows.select(P.relation_error(F.col("a"), F.col("b"), F.col("c")).alias("e")).collect()]
-    assert [bool(x) for x in got] == [False, True, True, True, False] and "good AUW maximum" in got[1]
+    assert [bool(x) for x in got] == [False, True, True, True, False] and "highest good weight" in got[1]
 
 
 @pytest.mark.parametrize(
