@@ -15,6 +15,9 @@ NOISE = (
 )
 # End of fixed values.
 
+#: Spans and configurations add up to 0.23 to a name's score and take 0.05 from it.
+SWING = 0.28
+
 
 def aliases(brand: Column) -> list[Column]:
     """The spellings of a brand that are no evidence in a name: as it is, without spaces, without anything but letters and digits."""
@@ -58,7 +61,9 @@ def rank_candidates(masters: DataFrame, products: DataFrame, limit: int = 5) ->
     ``masters``: id, brand, brand_key, name, span_mm, configs (array). ``products``: product_id, brand_key, title, body, span. The margin is to the next candidate of the
     whole list, not of the first ``limit``.
 
-    Masters and products of a brand meet on words, so only pairs with a common word are scored. A product without one scores by span and configuration
+    Names meet products of their brand on words, equal names once, so only pairs with a common word are scored. Spans and configurations move a score by at most ``SWING``: where
+    as many products as the list is long (and one more) share enough of a name's words, those that share too few to pass the last of them are left out before masters are
+    looked at one by one. Where they do not, products without a common word count too. Such a product scores by span and configuration
     alone, so those of one span and configuration score the same: of each such class only the first by title can reach the list, as many as the list is long and as the
     class has scored ones; classes whose betters fill the list already are left out.
     """
@@ -66,17 +71,25 @@ def rank_candidates(masters: DataFrame, products: DataFrame, limit: int = 5) ->
     p = products.withColumn("their_configs", F.when(F.size(theirs) > 0, theirs).otherwise(config_types(F.col("body"))))
     p = cut(p.select("product_id", "brand_key", "title", "span", "their_configs", F.concat_ws("/", F.coalesce(F.col("span").cast("string"), F.lit("")), F.array_join("their_configs", ",")).alias("class"), title_words(F.col("title")).alias("words")))
     brand = F.col("brand") if "brand" in masters.columns else None
-    m = cut(masters.select(F.col("id").alias("master_id"), "brand_key", model_tokens(F.col("name"), brand).alias("tokens"), F.col("span_mm").alias("our_span"), "configs"))
-    tokens = m.select("master_id", "brand_key", F.explode("tokens").alias("word")).groupBy("master_id", "brand_key", "word").agg(F.count("*").alias("times"))
-    hits = tokens.join(p.select("product_id", "brand_key", F.explode("words").alias("word")), ["brand_key", "word"]).groupBy("master_id", "product_id").agg(F.sum("times").alias("hits"))
+    m = masters.select(F.col("id").alias("master_id"), "brand_key", model_tokens(F.col("name"), brand).alias("tokens"), F.col("span_mm").alias("our_span"), "configs")
+    m = cut(m.withColumn("look", F.array_join(F.array_sort("tokens"), " ")))
+    names = m.groupBy("brand_key", "look").agg(F.max(F.size("tokens")).alias("n_tokens")).filter("n_tokens > 0")
+    tokens = names.select("brand_key", "look", "n_tokens", F.explode(F.split("look", " ")).alias("word")).groupBy("brand_key", "look", "n_tokens", "word").agg(F.count("*").alias("times"))
+    met_words = tokens.join(p.select("product_id", "brand_key", F.explode("words").alias("word")), ["brand_key", "word"]).groupBy("brand_key", "look", "n_tokens", "product_id").agg(F.sum("times").alias("hits"))
+    shares = cut(met_words.select("brand_key", "look", "product_id", (F.col("hits") / F.col("n_tokens")).alias("name_score")))
+    best = F.row_number().over(Window.partitionBy("brand_key", "look").orderBy(F.desc("name_score")))
+    last = shares.withColumn("turn", best).filter(F.col("turn") <= limit + 1).groupBy("brand_key", "look").agg(F.min("name_score").alias("last"), F.count("*").alias("n"))
+    full = cut(last.filter((F.col("n") == limit + 1) & (F.col("last") > SWING + 1e-9)).select("brand_key", "look", "last"))
+    hits = shares.join(full, ["brand_key", "look"], "left").filter(F.col("last").isNull() | (F.col("name_score") >= F.col("last") - SWING - 1e-9)).drop("last")
     facts = p.select("product_id", "title", "span", "their_configs", "class")
     spans, configs, extra = _fit(F.col("our_span"), F.col("span"), F.col("configs"), F.col("their_configs"))
-    named = hits.join(m, "master_id").join(facts, "product_id").select("master_id", "brand_key", "product_id", "title", "class", (F.col("hits") / F.size("tokens")).alias("name_score"), spans.alias("span_agree"), configs.alias("config_agree"), extra.alias("extra"))
+    named = hits.join(m, ["brand_key", "look"]).join(facts, "product_id").select("master_id", "brand_key", "product_id", "title", "class", "name_score", spans.alias("span_agree"), configs.alias("config_agree"), extra.alias("extra"))
     named = cut(named)
     # products without a common word, by class
     classes = p.groupBy("brand_key", "class").agg(F.first("span").alias("span"), F.first("their_configs").alias("their_configs"), F.count("*").alias("n"))
     met = named.groupBy("master_id", "class").agg(F.count("*").alias("met"))
-    offers = m.join(classes, "brand_key").join(met, ["master_id", "class"], "left").select("master_id", "brand_key", "class", F.coalesce("met", F.lit(0)).alias("met"), "n", spans.alias("span_agree"), configs.alias("config_agree"), F.round(extra, 9).alias("extra"))
+    unfilled = m.join(full.select("brand_key", "look"), ["brand_key", "look"], "left_anti")
+    offers = unfilled.join(classes, "brand_key").join(met, ["master_id", "class"], "left").select("master_id", "brand_key", "class", F.coalesce("met", F.lit(0)).alias("met"), "n", spans.alias("span_agree"), configs.alias("config_agree"), F.round(extra, 9).alias("extra"))
     steps = offers.groupBy("master_id", "extra").agg(F.sum(F.col("n") - F.col("met")).alias("free"))
     before = F.sum("free").over(Window.partitionBy("master_id").orderBy(F.desc("extra")).rowsBetween(Window.unboundedPreceding, -1))
     open_ = steps.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") <= limit).select("master_id", "extra")
