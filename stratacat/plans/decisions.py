@@ -124,7 +124,7 @@ ORACLE = {
     "k_verify_skus": f"""{_ACT} SELECT sku_key, action, CASE WHEN action = 'write' THEN r_price ELSE price END AS price, CASE WHEN action = 'write' THEN r_stock ELSE stock END AS stock, CASE WHEN action = 'write' THEN coalesce(r_quote_only, false) ELSE quote_only END AS quote_only,
 CASE WHEN action = 'write' THEN coalesce(image, r_image) ELSE image END AS image, CASE WHEN action = 'write' AND coalesce(r_variants, '[]') <> '[]' THEN r_variants ELSE variants END AS variants,
 CASE WHEN action IN ('missing', 'price-jump') THEN action WHEN action = 'write' AND flag = 'missing' THEN NULL ELSE flag END AS flag,
-CASE WHEN action = 'missing' THEN CASE WHEN quoted THEN 'page no longer shows a price' WHEN state = 'gone' THEN '404 but still in feed' ELSE 'absent from seller feed' END WHEN action = 'price-jump' THEN concat(price, ' -> ', r_price) WHEN action = 'write' AND flag = 'missing' THEN NULL ELSE flag_detail END AS flag_detail,
+CASE WHEN action = 'missing' THEN CASE WHEN quoted THEN 'the page has lost its price' WHEN state = 'gone' THEN 'gone, though a feed shows it' ELSE 'no feed shows it any more' END WHEN action = 'price-jump' THEN concat(price, ' -> ', r_price) WHEN action = 'write' AND flag = 'missing' THEN NULL ELSE flag_detail END AS flag_detail,
 CASE WHEN action IN ('miss', 'dead') THEN misses + 1 WHEN action = 'write' THEN 0 ELSE misses END AS misses, CASE WHEN action = 'dead' THEN 1 ELSE 0 END AS dead, {NOW} AS last_checked FROM a""",
     "k_verify_variants": f"{_ACT}, x AS (SELECT sku_key, CAST(split_part(sku_key, '-', 2) AS BIGINT) AS part FROM a WHERE action = 'write' AND coalesce(r_variants, '[]') <> '[]') SELECT sku_key, 'a' AS vkey, 'A' AS label, part AS price, 1 AS stock FROM x UNION ALL SELECT sku_key, 'b', 'B', NULL, 0 FROM x",
     "k_verify_observations": f"""{_ACT} SELECT sku_key, {NOW} AS "at", r_price AS price, r_stock AS stock FROM a WHERE action = 'write' AND (price IS DISTINCT FROM r_price OR coalesce(stock, 0) <> coalesce(r_stock, 0))""",

@@ -23,6 +23,7 @@ CASE WHEN p_partkey % 2 = 0 THEN concat('<div class="a product_title b"> ', p_na
 LISTED = """SELECT p_partkey AS n, CAST(floor(p_partkey / 40) AS BIGINT) AS page, concat(CASE p_partkey % 4 WHEN 0 THEN 'gas' WHEN 1 THEN 'electric' WHEN 2 THEN 'scale' ELSE 'accessories-x' END, '/m-', p_partkey, '.html') AS href, concat('<div class="Home-Product a"><a title="', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, '" href="', CASE p_partkey % 4 WHEN 0 THEN 'gas' WHEN 1 THEN 'electric' WHEN 2 THEN 'scale' ELSE 'accessories-x' END,
 '/m-', p_partkey, '.html"><img class="i" src="/t/', p_partkey, '.jpg"></a></div>') AS item, concat('<meta property="og:title" content="', p_name, ' big, gas - List Models">', CASE WHEN p_partkey % 5 = 0 THEN '<meta name="og:description" content="only told">' ELSE '<article class="c" id="Context"><h2>Head</h2><p>Line one<br/>line two</p></article>' END, CASE WHEN p_partkey % 2 = 0 THEN concat('<img data-zoom-image="/z/', p_partkey, '.jpg"><img data-zoom-image="/z/', p_partkey, '.jpg">') ELSE '' END) AS html FROM part"""
 
+# Where shops of these layouts keep what is read; results depend on them.
 DEEP_LAYOUT = M.Layout(
     wanted=r"^/planes/[^/]+/[^/]+", marker=r"id=[\"']product-(info|detail)[\"']", title=[("match", r"(?is)<h1[^>]*>(.*?)</h1>"), ("meta", "og:title")], title_cuts=[r"(?i)\s*-\s*Deep Shop\s*$"],
     body=[("block", r"(?i)id=[\"']details[\"']", r"(?i)<div[^>]*id=[\"']product-category[\"']|<div[^>]*class=[\"']product-list|<script"), ("meta", "og:description")], least_body=20, item="\n- ",
@@ -44,6 +45,7 @@ LISTED_LAYOUT = M.Layout(
     wanted=r"\.html$", title=[("given", "listed"), ("meta", "og:title")], title_cuts=[r"(?i)\s*-\s*List Models?\s*$", r",\s*[^,]*$"], body=[("match", r"(?is)<article[^>]*id=[\"']Context[\"'][^>]*>(.*?)</article>"), ("meta", "og:description")],
     images=[[("match", r"(?i)data-zoom-image=[\"']([^\"']+)[\"']")], [("meta", "og:image")], [("given", "thumb")]], ext_id=[("url", r"-(\d+)\.html$")], prefix="li-", tag="",
 )
+# End of fixed values.
 
 
 def _pages(sql: str, layout: M.Layout):

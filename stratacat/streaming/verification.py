@@ -65,7 +65,7 @@ def verify_all(skus: DataFrame, reads: DataFrame, now_ms: int, actor: str = "ver
         F.when(F.col("state") == "blocked", "checked").when((F.col("state") == "gone") & ~recent, F.when(F.col("misses") + 1 >= 3, "dead").otherwise("miss"))
         .when(quoted | F.col("state").isin("missing", "gone"), F.when(F.col("flag").eqNullSafe("missing"), "checked").otherwise("missing")).when(jump, "price-jump").otherwise("write")
     )
-    why = F.when(quoted, "page no longer shows a price").when(F.col("state") == "gone", "404 but still in feed").otherwise("absent from seller feed")
+    why = F.when(quoted, "the page has lost its price").when(F.col("state") == "gone", "gone, though a feed shows it").otherwise("no feed shows it any more")
     a = cut(skus.join(r, "sku_key").withColumns({"action": action, "why": why}))
     is_ = lambda *x: F.col("action").isin(*x)
     write = is_("write")
