@@ -2,9 +2,12 @@
 
 Two words are compared by the three-letter subsequences that they share; a subsequence that spans s letters (at most
 ``SPAN``) weighs ``DECAY`` ** s, so inserted letters cost little. Word ends count as letters. Three or more single letters in a
-row are read as one more word, so that spelled-out insults meet their landmarks. Landmark words are taken from the
+row are read as one more word, so that spelled-out insults meet their landmarks. A word is read without the marks at its ends, and also
+without those inside it. Landmark words are taken from the
 labelled sentences: words that toxic documents hold far more often, spread by a greedy pass; of a word beyond ``LONG`` letters every window is a
-candidate. A document's kernel with a landmark is the best of its words' normalised kernels (values under ``FLOOR`` count as 0); the
+candidate. Copies of a toxic document (equal least hash of its words) count once there, so that one text's own words don't crowd out
+the words that many texts share. A document's kernel with a landmark is the best of its words' normalised kernels (values under ``FLOOR`` count as 0), raised to
+``POWER``: products of kernels are kernels, and words that are merely alike fall behind equal ones. The
 inverse square root of the landmarks' own kernel matrix turns these into features, on which a linear squared-hinge machine is
 trained. Its margin becomes a probability by a fitted sigmoid that restores the labels' own class shares.
 
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +36,7 @@ from . import common as C
 
 SPAN, DECAY, FLOOR, LONG = 5, 0.7, 0.3, 40
 LANDMARKS, TRAIN_PER_CLASS, CANDIDATES = 96, 3000, 1500
-FOLDS = 5
+POWER, FOLDS = 2, 5
 _GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _TABLE = 1 << 20
 _REMEMBERED = 300_000
@@ -53,6 +57,17 @@ def words_of(text: str | None) -> set[str]:
     return {*low.split(), *("".join(m.split()) for m in _SPELLED.findall(low))}
 
 
+_MARKS = r"[^\p{L}\p{M}\p{N}]+"
+_ENDS = f"^{_MARKS}|{_MARKS}$"
+_marks, _ends = regex.compile(_MARKS), regex.compile(_ENDS)
+
+
+def readings(word: str) -> set[str]:
+    """The word without the marks at its ends, and without any; a word of marks alone as it is."""
+    core = _ends.sub("", word)
+    return {core, _marks.sub("", core)} if core else {word}
+
+
 def subsequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all three-letter subsequences: which text, a hash, the weight. Texts are laid out flat, apart by SPAN zeros."""
     flat = np.frombuffer(("\0" * SPAN).join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -121,13 +136,16 @@ class Documents:
         out = np.zeros((len(texts), len(self.kernel.landmarks)), np.float32)
         if len(self.known) > _REMEMBERED:
             self.known.clear()
-        new = list({w for s in sets for w in s if w not in self.known})
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
+        new = {w: readings(w) for s in sets for w in s if w not in self.known}
+        names, found = list({r for s in new.values() for r in s}), {}
+        for i in range(0, len(names), 2000):
+            some = names[i : i + 2000]
             rows = self.kernel.of(some)
-            keep = rows.max(axis=1) >= FLOOR
-            for w, r, k in zip(some, rows, keep, strict=True):
-                self.known[w] = np.where(r >= FLOOR, r, 0) if k else None
+            for k in np.flatnonzero(rows.max(axis=1) >= FLOOR):
+                found[some[k]] = np.where(rows[k] >= FLOOR, rows[k], 0)
+        for w, s in new.items():
+            rows = [found[r] for r in s if r in found]
+            self.known[w] = np.max(rows, axis=0) if rows else None
         for k, s in enumerate(sets):
             rows = [r for w in s if (r := self.known[w]) is not None]
             if rows:
@@ -145,7 +163,7 @@ def _kernels(landmarks: list[str], finish, names: list[str]):
         for b in batches:
             for i in range(0, len(b), 500):
                 part = b.slice(i, 500)
-                done = finish(opened[0].of(part.column("text").to_pylist()))
+                done = finish(opened[0].of(part.column("text").to_pylist()) ** POWER)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), *done], [*(c for c in part.schema.names if c != "text"), *names])
 
     return run
@@ -164,7 +182,7 @@ def _pick(candidates: list[tuple[str, float]], many: int) -> list[str]:
     return [names[k] for k in chosen]
 
 
-def _machine(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 60) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 60) -> np.ndarray:
     """Squared-hinge linear machine (last weight: the offset) by Newton steps over the rows inside the margin; classes weigh the same."""
     x = np.hstack([x, np.ones((len(x), 1))])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
@@ -214,10 +232,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, fl
     sizes = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return [], np.zeros(0), 6.0 if 1 in sizes else -6.0 if sizes else 0.0
-    words = texts.select("y", F.explode(F.array_distinct(C.words(F.lower("text")))).alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (sizes[1] + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
+    core = F.transform(C.words(F.lower("text")), lambda w: F.coalesce(F.nullif(F.regexp_replace(w, _ENDS, ""), F.lit("")), w))
+    held = texts.select("y", F.array_distinct(core).alias("words")).withColumn("copy", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
+    toxic = held.filter("y = 1").agg(F.count_distinct("copy")).first()[0]
+    words = held.select("y", "copy", F.explode("words").alias("w")).groupBy("w").agg(F.count_distinct(F.when(F.col("y") == 1, F.col("copy"))).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
+    odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
     score = (odds * F.sqrt("a")).alias("score")
-    least = max(2, sizes[1] // 500)
+    least = max(2, sizes[1] // 50)
     top = words.filter((F.col("a") >= least) & (odds > 1)).select("w", score).orderBy(F.desc("score"), "w").limit(CANDIDATES).collect()
     landmarks = _pick([(r.w, r.score) for r in top], LANDMARKS)
     if not landmarks:
@@ -227,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, fl
     y = np.where(rows.column("y").to_numpy() > 0, 1.0, -1.0)
     x = rows.column("k").combine_chunks().flatten().to_numpy().reshape(len(y), len(landmarks))
     own = Kernel(landmarks, marked=True).of_parts(landmarks).astype(float)
-    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    values, vectors = np.linalg.eigh(((own + own.T) / 2) ** POWER)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
     z = x @ root
     margin = np.zeros(len(y))

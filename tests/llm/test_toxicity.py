@@ -1,4 +1,5 @@
 import random
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -87,6 +88,44 @@ def test_kernel_matches_its_definition():
             assert abs(got[i, j] - plain_kernel(w, landmark)) < 1e-4
 
 
+def test_marks_around_and_inside_words():
+    assert T.readings("..stu.pid!") == {"stu.pid", "stupid"} and T.readings("idiot***") == {"idiot"} and T.readings("###") == {"###"}
+    got = T.Documents(T.windows("idiot")).of(["you idiot### there", "i-d-i-o-t!", "###"])
+    assert got[0, 0] > 0.99 and got[1, 0] > 0.99 and got[2, 0] == 0
+
+
+def test_copies_choose_no_landmarks(spark):
+    """One toxic text in many near copies: its own words come after an insult that different texts share."""
+    rows, marks = corpus(300)
+    rng = random.Random(5)
+    for i in range(300, 360):
+        words = [f"only{k}" for k in range(40)]
+        words[rng.randrange(40)] = f"changed{i}"
+        rows.append((i, " ".join(words), "en", "x", 0))
+        marks.append((i, 1, 1))
+    landmarks, _, _ = T.train(documents(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert {x.strip("\x02\x03") for x in landmarks[:3]} == {"stinker", "blockhead", "numbskull"}
+
+
+def test_scores_match_brute_force(spark):
+    """The whole query by its definition: every reading of every word against every landmark."""
+    rows, marks = corpus(120)
+    rows = [*rows, *((1000 + i, t, "en", "x", 0) for i, t in enumerate([None, "", "s.t.i.n.k.e.r!", "you n u m b s k u l l", "###", "q" * 90 + "stinker"]))]
+    docs, known = documents(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    landmarks, weights, offset = T.train(docs, known)
+    one = cache(plain_kernel)
+    checked = 0
+    for r in T.score(docs, known).collect():
+        text = next(t for d, t, *_ in rows if d == r.doc_id)
+        words = {x for w in T.words_of(text) for x in T.readings(w)}
+        if any(len(w) > T.LONG - 2 for w in words):
+            continue  # windows have their own tests
+        k = [max([v for w in words if (v := one(w, m.strip("\x02\x03"))) >= T.FLOOR], default=0.0) for m in landmarks]
+        assert abs(r.score - 1 / (1 + np.exp(-(np.array(k) ** T.POWER @ weights + offset)))) < 1e-3
+        checked += 1
+    assert checked == len(rows) - 1
+
+
 def test_spelled_out_words():
     assert {"idiot", "you", "are"} <= T.words_of("You are i d i o t") and "ab" not in T.words_of("a b cd")
     got = T.Documents([x for x in T.windows("idiot")]).of(["you i d i o t go", "you are well", None])
