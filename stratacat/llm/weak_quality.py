@@ -1,15 +1,20 @@
 """Quality classifier from weak labels: heuristic labellers, expectation-maximisation, a hashed linear scorer.
 
-Eight heuristics vote good, bad or nothing on every document (Spark functions). Documents with the same votes form one
+Eight heuristics vote good, bad or nothing on every document (Spark functions). Seven of them take their cut points from the
+unlabelled corpus itself: a value is bad that lies ``FAR`` interquartile ranges (at least ``FAR`` steps of the labeller) outside the
+quartiles of all documents; fixed bounds, which the fences may only tighten, hold where junk is so common that it sets the quartiles.
+Texts under ``SHORT`` words are not judged by averages over words, lines or sentences. Documents with the same votes form one
 pattern; there are at most 3^8 patterns, whose counts over all documents are gathered on the driver. Expectation-maximisation
-estimates, per class, how often each labeller gives each vote, and with that every pattern's posterior. The posteriors are the
+estimates, per class, how often each labeller votes for good and bad (nothing is no vote), and with that every pattern's posterior.
+Junk comes in kinds that share no labeller, so two free classes would split junk from junk; a prior of ``ANCHOR`` corpora says that labellers
+seldom call a good document bad. The posteriors are the
 labels of a linear scorer over hashed byte trigrams (shares of the text's trigrams in ``BUCKETS`` buckets), trained on at most
 ``TRAIN_PER_CLASS`` confident documents a class in the order of a hash of the ids, and applied to every whole text.
 
 No given labels are used. Defined cases: null and empty texts get the scorer's offset as score and the posterior of their
 votes; a null doc_id stays null; repeated rows each give a row, and of rows that share an id the text that comes first by its hash
 trains; documents with equal hashes of their ids are taken in the order of the ids; a score equal to the threshold is kept; without confident
-documents of both classes the score is the posterior; an empty table gives an empty result; extra columns are ignored. Texts have no
+documents of both classes the score is the posterior; an empty table gives an empty result; quartiles are approximate (a rank error of at most 1 in 10,000); extra columns are ignored. Texts have no
 length limit.
 """
 
@@ -26,6 +31,7 @@ from . import common as C
 from . import quality_rules as Q
 
 BUCKETS, TRAIN_PER_CLASS, CONFIDENT, THRESHOLD = 4096, 1000, 0.9, 0.5
+FAR, SHORT, ANCHOR = 6.0, 20, 10.0
 GOOD, BAD, NONE = 1, 0, 2
 
 
@@ -48,20 +54,75 @@ def labellers() -> dict[str, Column]:
     }
 
 
+#: Labeller with a fence: its value, least spread, bounds of the lower and the upper fence (null: none).
+def measures() -> dict[str, tuple[Column, float, float | None, float]]:
+    c = F.col
+    per_word = lambda x: F.when(c("qr_n_words") > 0, c(x) / c("qr_n_words")).otherwise(0.0)
+    return {
+        "symbols": (c("qr_symbols"), 0.01, None, 0.3),
+        "dup_lines": (c("qr_dup_lines"), 0.05, None, 0.3),
+        "repeats": (c("qr_repeat_words"), 0.025, None, 0.3),
+        "word_length": (c("qr_long_words"), 0.2, 2.5, 10.0),
+        "capitals": (c("qr_upper"), 0.005, None, 0.4),
+        "shouting": (per_word("wq_shouts"), 0.01, None, 0.2),
+        "sentences": (per_word("wq_stops"), 0.01, 1 / 60, 1 / 3),
+    }
+
+
+def fences(stat: DataFrame) -> dict[str, tuple[float | None, float]]:
+    """Lower and upper fence of every measure, by one aggregate over all documents."""
+    found = stat.agg(*[F.percentile_approx(value, [0.25, 0.75], 10_000).alias(k) for k, (value, *_) in measures().items()]).first()
+    out = {}
+    for k, (_, step, low, high) in measures().items():
+        q1, q3 = found[k] or (0.0, 0.0)
+        reach = FAR * max(q3 - q1, step)
+        out[k] = (None if low is None else max(low, q1 - reach), min(high, q3 + reach))
+    return out
+
+
+def fenced(limits: dict[str, tuple[float | None, float]]) -> dict[str, Column]:
+    """Votes by fences: bad outside, good inside; what a text is too short for, none."""
+    short = F.col("qr_n_words") < SHORT
+    out = {"length": labellers()["length"]}
+    for k, (value, *_) in measures().items():
+        low, high = limits[k]
+        vote = F.when((value > high) | (F.lit(False) if low is None else value < low), BAD).otherwise(GOOD)
+        if k == "dup_lines":
+            vote = F.when(short | ((F.col("qr_n_lines") < 3) & (vote == GOOD)), NONE).otherwise(vote)
+        elif k in ("word_length", "capitals", "sentences"):
+            vote = F.when(short, NONE).otherwise(vote)
+        out[k] = vote
+    return {k: out[k] for k in labellers_names()}
+
+
 def _key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def votes(docs: DataFrame) -> DataFrame:
-    """``doc_id, wq_text`` (hash of the text) and ``wq_pattern`` (one digit per labeller) for every row."""
+def statistics(docs: DataFrame) -> DataFrame:
+    """``doc_id, wq_text`` (hash of the text) and what the labellers look at, for every row."""
     stat = Q.with_statistics(Q.with_features(docs.select("doc_id", "text")))
     text = F.coalesce("text", F.lit(""))
     more = stat.withColumns({"wq_shouts": F.regexp_count(text, F.lit("!")), "wq_stops": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D.][.](?:[\x20\x09-\x0D]|$)"))})
-    return more.select("doc_id", _key().alias("wq_text"), F.concat(*[v.cast("string") for v in labellers().values()]).alias("wq_pattern"))
+    return more.select("doc_id", _key().alias("wq_text"), "qr_n_words", "qr_n_lines", "qr_symbols", "qr_dup_lines", "qr_repeat_words", "qr_long_words", "qr_upper", "wq_shouts", "wq_stops")
+
+
+def with_votes(stat: DataFrame, limits: dict[str, tuple[float | None, float]] | None = None) -> DataFrame:
+    """``doc_id, wq_text, wq_pattern`` (one digit per labeller) of rows of :func:`statistics`, by ``limits`` or, without them, by the fixed bounds."""
+    rules = labellers() if limits is None else fenced(limits)
+    return stat.select("doc_id", "wq_text", F.concat(*[v.cast("string") for v in rules.values()]).alias("wq_pattern"))
+
+
+def votes(docs: DataFrame) -> DataFrame:
+    """Votes by the fixed bounds."""
+    return with_votes(statistics(docs))
+
 
+def estimate(patterns: dict[str, int], rounds: int = 100, anchor: float = 0.0) -> tuple[dict[str, float], list[dict]]:
+    """Posterior of "good" per pattern, and each labeller's shares of bad and good votes per class (abstentions left out).
 
-def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], list[dict]]:
-    """Posterior of "good" per pattern, and each labeller's vote shares per class."""
+    ``anchor``: the weight, in corpora, of a prior by which good documents get good votes.
+    """
     keys = sorted(patterns)
     if not keys:
         return {}, []
@@ -71,18 +132,19 @@ def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, flo
     # the first guess: bad votes are rarer and count double
     post = 1 / (1 + np.exp(-(good - 2.0 * bad)))
     for _ in range(rounds):
-        share, rates = [], np.zeros((2, votes_.shape[1], 3))
+        share, rates = [], np.zeros((2, votes_.shape[1], 2))
         for cls, p in ((1, post), (0, 1 - post)):
             w = n * p
             share.append((w.sum() + 1) / (n.sum() + 2))
-            for v in range(3):
+            for v in (BAD, GOOD):
                 rates[cls, :, v] = ((votes_ == v) * w[:, None]).sum(axis=0)
             # a vote for the class is a little likelier from the start, which keeps the classes' meaning
             rates[cls] += 0.5
             rates[cls, :, GOOD if cls else BAD] += 1
+            rates[cls, :, GOOD] += anchor * n.sum() if cls else 0
             rates[cls] /= rates[cls].sum(axis=1, keepdims=True)
         columns = np.arange(votes_.shape[1])
-        logs = [np.log(s) + np.log(rates[cls][columns, votes_]).sum(axis=1) for cls, s in ((1, share[0]), (0, share[1]))]
+        logs = [np.log(s) + np.where(votes_ == NONE, 0, np.log(rates[cls][columns, np.minimum(votes_, GOOD)])).sum(axis=1) for cls, s in ((1, share[0]), (0, share[1]))]
         new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -500, 500)))
         done = np.abs(new - post).max() < 1e-9
         post = new
@@ -146,9 +208,10 @@ def train(docs: DataFrame, posterior: DataFrame) -> tuple[np.ndarray, float] | N
 
 def classify(docs: DataFrame) -> DataFrame:
     """``doc_id, votes, posterior, score, kept`` for every row of ``docs``."""
-    found = C.cut(votes(docs))
+    stat = C.cut(statistics(docs))
+    found = C.cut(with_votes(stat, fences(stat)))
     counts = {r.wq_pattern: r.n for r in found.groupBy("wq_pattern").agg(F.count("*").alias("n")).collect()}  # at most 3^8
-    post, _ = estimate(counts)
+    post, _ = estimate(counts, anchor=ANCHOR)
     table = docs.sparkSession.createDataFrame(sorted(post.items()), "wq_pattern string, p double")
     model = train(docs, found.join(F.broadcast(table), "wq_pattern").select("doc_id", "p"))
     weights, offset = model if model else (np.zeros(BUCKETS), 0.0)

@@ -104,6 +104,35 @@ def test_weak_labels_find_junk(spark):
     assert W.classify(documents(spark).limit(0)).count() == 0
 
 
+def test_fences_follow_the_corpus(spark):
+    """Votes by fences against plain quartiles; the fixed bounds hold where junk sets the quartiles."""
+    plain = [(i, " ".join(f"word{(i * 7 + k) % 83} plain" for k in range(30 + i)) + ". It ends.", "en", "x", 0) for i in range(60)]
+    odd = [(90, "some words | in | a table | row | " * 20, "en", "x", 0), (91, "short | one", "en", "x", 0), (92, None, "en", "x", 0), (93, "", "en", "x", 0)]
+    stat = W.statistics(documents(spark, plain + odd)).cache()
+    limits = W.fences(stat)
+    rows = {r.doc_id: r for r in stat.collect()}
+    for k, column in {"symbols": "qr_symbols", "word_length": "qr_long_words", "capitals": "qr_upper"}.items():
+        x = sorted(r[column] for r in rows.values())
+        q1, q3 = x[-(-len(x) // 4) - 1], x[-(-3 * len(x) // 4) - 1]
+        _, step, low, high = W.measures()[k]
+        reach = W.FAR * max(q3 - q1, step)
+        assert abs(limits[k][1] - min(high, q3 + reach)) < 1e-9 and (low is None or abs(limits[k][0] - max(low, q1 - reach)) < 1e-9)
+    got = {r.doc_id: dict(zip(W.labellers_names(), r.wq_pattern, strict=True)) for r in W.with_votes(stat, limits).collect()}
+    assert all(got[r[0]]["symbols"] == "1" and got[r[0]]["capitals"] == "1" for r in plain)
+    assert got[90]["symbols"] == got[91]["symbols"] == "0" and got[91]["word_length"] == got[92]["capitals"] == "2" and got[93]["length"] == "0"
+    junk = W.fences(W.statistics(documents(spark, [(i, "A! B! ### $$$ C! " * 9, "en", "x", 0) for i in range(40)])))
+    assert junk["symbols"] == (None, 0.3) and junk["shouting"][1] == 0.2 and junk["word_length"][0] >= 2.5 - 1e-9
+    assert W.fences(stat.limit(0))["symbols"] == (None, W.FAR * 0.01)
+
+
+def test_kinds_of_junk_stay_one_class():
+    """Four kinds of junk, each seen by one labeller: without the anchor two classes split junk from junk."""
+    counts = {"1" * 8: 9000, **{"1" * k + "0" + "1" * (7 - k): 200 for k in range(4)}, "12121212": 500, "0" + "2" * 7: 10}
+    post, table = W.estimate(counts, anchor=W.ANCHOR)
+    assert all(p < 0.1 for k, p in post.items() if "0" in k) and post["1" * 8] > 0.9 and 0.5 < post["12121212"] < post["1" * 8]  # fewer votes, less sure
+    assert abs(sum(table[0]["bad"]) - 1) < 1e-9 and table[0]["bad"][W.BAD] > table[5]["bad"][W.BAD]
+
+
 def test_em_recovers_accuracies():
     import random
 
