@@ -7,7 +7,7 @@ Texts under ``SHORT`` words are not judged by averages over words, lines or sent
 pattern; there are at most 3^8 patterns, whose counts over all documents are gathered on the driver. Expectation-maximisation
 estimates, per class, how often each labeller votes for good and bad (nothing is no vote), and with that every pattern's posterior.
 Junk comes in kinds that share no labeller, so two free classes would split junk from junk; a prior of ``ANCHOR`` corpora says that labellers
-seldom call a good document bad. The posteriors are the
+seldom call a good document bad, a weaker one that each sees a part of the bad ones. The posteriors are the
 labels of a linear scorer over hashed byte trigrams (shares of the text's trigrams in ``BUCKETS`` buckets), trained on at most
 ``TRAIN_PER_CLASS`` confident documents a class in the order of a hash of the ids, and applied to every whole text.
 
@@ -121,7 +121,8 @@ def votes(docs: DataFrame) -> DataFrame:
 def estimate(patterns: dict[str, int], rounds: int = 100, anchor: float = 0.0) -> tuple[dict[str, float], list[dict]]:
     """Posterior of "good" per pattern, and each labeller's shares of bad and good votes per class (abstentions left out).
 
-    ``anchor``: the weight, in corpora, of a prior by which good documents get good votes.
+    ``anchor``: the weight, in corpora, of a prior by which good documents get good votes; a hundredth of it says that a
+    labeller calls a fourth of the bad documents bad, so that documents without a bad vote can't fill both classes.
     """
     keys = sorted(patterns)
     if not keys:
@@ -141,7 +142,7 @@ def estimate(patterns: dict[str, int], rounds: int = 100, anchor: float = 0.0) -
             # a vote for the class is a little likelier from the start, which keeps the classes' meaning
             rates[cls] += 0.5
             rates[cls, :, GOOD if cls else BAD] += 1
-            rates[cls, :, GOOD] += anchor * n.sum() if cls else 0
+            rates[cls] += anchor * n.sum() * (np.array([0.0, 1.0]) if cls else np.array([0.25, 0.75]) / 100)
             rates[cls] /= rates[cls].sum(axis=1, keepdims=True)
         columns = np.arange(votes_.shape[1])
         logs = [np.log(s) + np.where(votes_ == NONE, 0, np.log(rates[cls][columns, np.minimum(votes_, GOOD)])).sum(axis=1) for cls, s in ((1, share[0]), (0, share[1]))]
