@@ -79,3 +79,11 @@ def test_guess(spark, title, source, stored, want):
 def test_aliases_are_no_evidence(spark):
     row = spark.createDataFrame([("X-UAV Talon Pro", "X-UAV"), ("Talon Pro", None), ("Sky Maker Talon", "Sky Maker")], "n string, b string")
     assert [r.t for r in row.select(L.model_tokens(F.col("n"), F.col("b")).alias("t")).collect()] == [["talon", "pro"], ["talon", "pro"], ["talon"]]
+
+
+def test_facts_without_evidence_are_the_same(spark):
+    rows = spark.createDataFrame([c[:2] for c in CASES], "title string, body string")
+    with_it, without = P.facts(F.col("title"), F.col("body")), P.facts(F.col("title"), F.col("body"), evidence=False)
+    bare = F.transform(with_it, lambda f: F.struct(f["field"].alias("field"), f["value"].alias("value"), f["confidence"].alias("confidence")))
+    got = rows.select(bare.alias("a"), without.alias("b")).collect()
+    assert all(r.a == r.b for r in got) and "evidence" not in got[0].b[0].asDict()
