@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratacat.sources import makers as M
-from stratacat.views import derived
+from stratacat.views import derived, spread, table
 
 PRICE_FREE = "concat('<p>Span ', p_size * 20, 'mm</p><ul><li>foam</li><li>A &amp; B</li></ul><script>var x = 1;</script>')"
 #: One page of each part for each layout, and what a shop would wrap around it.
@@ -49,7 +49,12 @@ LISTED_LAYOUT = M.Layout(
 
 
 def _pages(sql: str, layout: M.Layout):
-    return lambda s, d: _flat(M.read_pages(derived(s, d, sql).select("url", "html"), layout))
+    return lambda s, d: _flat(M.read_pages(_spread_pages(s, d, sql), layout))
+
+
+def _spread_pages(s, d, sql):
+    """Pages made of parts on all cores, so that they are also read there."""
+    return derived(s, d, sql, part=spread(table(s, d, "part"), "p_partkey")).select("url", "html")
 
 
 def _flat(rows):

@@ -55,3 +55,12 @@ def test_words_for_times(spark):
     rows = {None: "never", 0: "never", now - 60_000: "<1h ago", now - 29 * hour // 10: "3h ago", now - 47 * hour: "47h ago", now - 60 * hour: "3d ago"}
     frame = spark.createDataFrame([(k,) for k in rows], "ms long")
     assert {r.ms: r.a for r in frame.select("ms", X.ago(F.col("ms"), now).alias("a")).collect()} == rows
+
+
+def test_pages_of_a_small_file_are_read_on_all_cores(spark, tmp_path):
+    """One file of parts is one split; its pages are dealt out before they are read."""
+    from stratacat.plans import makers as plans
+
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("src_mfr_sitemap_depth", "src_mfr_title_meta", "src_mfr_shop_jsonld"):
+        assert plans.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
