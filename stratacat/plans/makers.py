@@ -74,10 +74,10 @@ def _posts(s, d):
 
 
 def _linked(s, d):
-    pages = derived(s, d, LINK).select("url", "html")
+    pages = _spread_pages(s, d, LINK)
     seeds = s.createDataFrame([('<urlset><url><loc> https://link.example.com/xf-1-rc-airplane.html </loc></url></urlset><a href="/contact.html">c</a>',)], "html string")
     found = M.reached(seeds, pages, LINK_LAYOUT.wanted, "https://link.example.com")
-    return _flat(M.read_pages(pages.join(found, "url", "left_semi"), LINK_LAYOUT))
+    return _flat(M.read_pages(pages.join(found.hint("merge"), "url", "left_semi"), LINK_LAYOUT))
 
 
 def _listed(s, d):

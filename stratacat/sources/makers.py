@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratacat.durable import cut
+from stratacat.durable import cut, is_small
 from stratacat.functions.classify import is_challenge
 from stratacat.functions.text import decode_entities, decode_numeric, first_match, let, meta_content
 from stratacat.sources.crawl import _hrefs, path_of, resolve
@@ -160,14 +160,19 @@ def posts(pages: DataFrame, categories: DataFrame, roots: list[int], discontinue
 def reached(seeds: DataFrame, pages: DataFrame, wanted: str, base: str) -> DataFrame:
     """``url``: addresses of products that the seeds (``html``) or pages reached so far link to, in lower case, on one host; cycles end."""
 
-    def linked(rows: DataFrame, at: Column) -> DataFrame:
+    def linked(rows: DataFrame, at: Column, *more: Column) -> DataFrame:
         links = F.concat(_hrefs(F.col("html")), F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1)))
-        found = rows.select(F.explode(F.transform(links, lambda x: let(resolve(at, x), lambda u: F.struct(F.lower(path_of(u)).alias("path"), F.regexp_replace(F.lower(F.try_parse_url(u, F.lit("HOST"))), r"^www\.", "").alias("host"))))).alias("l"))
+        found = rows.select(*more, F.explode(F.transform(links, lambda x: let(resolve(at, x), lambda u: F.struct(F.lower(path_of(u)).alias("path"), F.regexp_replace(F.lower(F.try_parse_url(u, F.lit("HOST"))), r"^www\.", "").alias("host"))))).alias("l"))
         own = F.regexp_replace(F.lower(F.try_parse_url(F.lit(base), F.lit("HOST"))), r"^www\.", "")
-        return found.filter(F.col("l.path").rlike(wanted) & (F.col("l.host") == own)).select(F.concat(F.lit(base), F.col("l.path")).alias("url")).distinct()
+        return found.filter(F.col("l.path").rlike(wanted) & (F.col("l.host") == own)).select(*(["at"] if more else []), F.concat(F.lit(base), F.col("l.path")).alias("url")).distinct()
 
+    # each page is read once; the rounds meet addresses only, since pages are much larger than Spark takes them to be
+    can = pages.filter(F.col("url").startswith(base) & F.substr("url", F.lit(len(base) + 1)).rlike(wanted))
+    links = cut(linked(can, F.col("url"), F.col("url").alias("at")))
     known = fresh = cut(linked(seeds, F.lit(base + "/")))
     while not fresh.isEmpty():
-        fresh = cut(linked(fresh.join(pages, "url"), F.col("url")).join(known, "url", "left_anti"))
-        known = cut(known.unionByName(fresh))
+        at = fresh.select(F.col("url").alias("at"))
+        ahead = links.join(F.broadcast(at) if is_small(at, 20_000, 4 << 20) else at.hint("merge"), "at", "left_semi").select("url").distinct()
+        fresh = cut(ahead.join(known.hint("merge"), "url", "left_anti"))
+        known = known.unionByName(fresh)
     return known

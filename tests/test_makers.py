@@ -64,3 +64,15 @@ def test_pages_of_a_small_file_are_read_on_all_cores(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     for name in ("src_mfr_sitemap_depth", "src_mfr_title_meta", "src_mfr_shop_jsonld"):
         assert plans.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_linked_pages_are_read_once(spark, monkeypatch):
+    """A chain of pages: its links are taken from the pages once, not again in each round."""
+    page = lambda k: (f"https://a.example/xf-{k}-rc-jet.html", f'<a href="xf-{k + 1}-rc-jet.html">next</a>')
+    pages = spark.createDataFrame([page(k) for k in range(1, 6)] + [page(9)], "url string, html string")
+    seeds = spark.createDataFrame([("<loc>https://a.example/xf-1-rc-jet.html</loc>",)], "html string")
+    taken, hrefs = [], M._hrefs
+    monkeypatch.setattr(M, "_hrefs", lambda html: taken.append(1) or hrefs(html))
+    got = sorted(r.url for r in M.reached(seeds, pages, r"^/xf-.*rc-(airplane|jet)\.html?$", "https://a.example").collect())
+    assert got == [f"https://a.example/xf-{k}-rc-jet.html" for k in range(1, 7)]
+    assert len(taken) == 2
