@@ -61,6 +61,13 @@ def _matches(s, d):
     return best.select("master_id", "x.*")
 
 
+def _gone(s, d):
+    """Offers that leave merged masters; those of all others stay and need not move."""
+    merged = _clusters(s, d).filter("id <> survivor").select(F.col("id").alias("old_id"), F.col("survivor"))
+    rows = sku(s, d).select(F.col("master_id").alias("old_id"), "sku_key")
+    return rows.join(merged, "old_id").select("old_id", F.col("survivor").alias("master_id"), "sku_key").distinct()
+
+
 QUERIES = {
     "k_guess": _guess,
     "k_guess_enrich": lambda s, d: derived(s, d, LISTING).select("id", G.enrich(F.col("title"), F.col("page"), F.col("source_id"), BRANDS).alias("g")).select("id", "g.*"),
@@ -74,7 +81,7 @@ QUERIES = {
     "k_dedup_cross_unconfirmed": _cross,
     "k_merge_videos": _videos,
     "k_merge_matches": _matches,
-    "k_merge_offers_gone": lambda s, d: U.rehomed(sku(s, d).select("master_id", "sku_key"), _clusters(s, d), "master_id").filter("old_id <> master_id").select("old_id", "master_id", "sku_key").distinct(),
+    "k_merge_offers_gone": _gone,
 }
 _KNOWN = "CASE WHEN regexp_matches(title, '(?i)X.?UAV') THEN 'X-UAV' WHEN regexp_matches(title, '(?i)Dark.?Maker') THEN 'Dark Maker' WHEN regexp_matches(title, '(?i)almond') THEN 'almond' WHEN regexp_matches(title, '(?i)Blue') THEN 'Blue' END"
 _HOUSE = "CASE source_id WHEN 'x-uav' THEN 'X-UAV' WHEN 'dark-maker' THEN 'Dark Maker' END"
