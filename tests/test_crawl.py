@@ -71,3 +71,15 @@ def test_sitemaps_of_any_depth(spark):
     sources = spark.createDataFrame([(1, home, home + "/shop?currency=INR"), (2, "https://v.example.com", "https://v.example.com"), (3, "https://u.example.com", "")], "source_id long, home_url string, list_url string")
     got = C.sitemap_products(sources, spark.createDataFrame(docs, "source_id long, url string, xml string"), size=2).collect()
     assert sorted((r.place, r.page, r.url, r.title) for r in got) == [(k, k // 2, f"{home}/product-page/{n}?currency=INR", n) for k, n in enumerate(("x", "y", "late"))]
+
+
+def test_no_page_goes_through_the_driver(spark, monkeypatch):
+    """Joins of a crawl sort both sides, also where Spark takes them for small."""
+    roots = spark.createDataFrame([(1, "https://a.example", "https://a.example/shop", "woo")], "source_id long, home_url string, root_url string, platform string")
+    pages = spark.createDataFrame([(1, "https://a.example/shop", '<a href="/shop/c1">1</a><a href="/product/x">X</a>')], "source_id long, url string, html string")
+    plans, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    found = C.listed_products(roots, pages)
+    assert [r.url for r in found.collect()] == ["https://a.example/product/x"]
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
