@@ -58,6 +58,11 @@ def verify_all(skus: DataFrame, reads: DataFrame, now_ms: int, actor: str = "ver
     as read (unknown ones too), the image if there was none, the variants if any were read; misses and a missing flag are cleared; a change is observed, an unknown stock counting as none.
     """
     r = reads.select("sku_key", "state", *[F.col(c).alias(f"r_{c}") for c in ("quote_only", "price", "stock", "image", "variants")])
+    return verify_read(cut(skus.join(r, "sku_key")), now_ms, actor)
+
+
+def verify_read(rows: DataFrame, now_ms: int, actor: str = "verify") -> Verified:
+    """:func:`verify_all` of skus that stand beside what their check has read (``r_...``), so that nothing has to meet. Each result works out the decisions for itself; who wants several writes ``rows`` first."""
     recent = F.coalesce(F.lit(now_ms) - F.col("last_seen") < DAY_MS, F.lit(False))
     quoted = F.coalesce("r_quote_only", F.lit(False)) & F.col("r_price").isNull() & F.col("price").isNotNull()
     jump = F.coalesce((F.col("price") != 0) & (F.col("r_price") != 0) & (F.abs(F.col("r_price") - F.col("price")) / F.when(F.col("price") != 0, F.col("price")) > 0.25), F.lit(False))
@@ -66,14 +71,14 @@ def verify_all(skus: DataFrame, reads: DataFrame, now_ms: int, actor: str = "ver
         .when(quoted | F.col("state").isin("missing", "gone"), F.when(F.col("flag").eqNullSafe("missing"), "checked").otherwise("missing")).when(jump, "price-jump").otherwise("write")
     )
     why = F.when(quoted, "the page has lost its price").when(F.col("state") == "gone", "gone, though a feed shows it").otherwise("no feed shows it any more")
-    a = cut(skus.join(r, "sku_key").withColumns({"action": action, "why": why}))
+    a = rows.withColumns({"action": action, "why": why})
     is_ = lambda *x: F.col("action").isin(*x)
     write = is_("write")
     many = F.coalesce(F.trim("r_variants"), F.lit("[]"))
     clears = write & F.col("flag").eqNullSafe("missing")
     detail = F.when(is_("missing"), F.col("why")).when(is_("price-jump"), F.concat(F.col("price").cast("string"), F.lit(" -> "), F.col("r_price").cast("string")))
     changed = write & (~F.col("price").eqNullSafe(F.col("r_price")) | (F.coalesce("stock", F.lit(0)) != F.coalesce("r_stock", F.lit(0))))
-    rows = a.select(
+    after = a.select(
         "sku_key", "action", F.when(write, F.col("r_price")).otherwise(F.col("price")).alias("price"), F.when(write, F.col("r_stock")).otherwise(F.col("stock")).alias("stock"),
         F.when(write, F.coalesce("r_quote_only", F.lit(False))).otherwise(F.col("quote_only")).alias("quote_only"), F.when(write, F.coalesce("image", "r_image")).otherwise(F.col("image")).alias("image"),
         F.when(write & (many != "[]"), F.col("r_variants")).otherwise(F.col("variants")).alias("variants"), F.when(is_("missing", "price-jump"), F.col("action")).when(~clears, F.col("flag")).alias("flag"),
@@ -83,4 +88,4 @@ def verify_all(skus: DataFrame, reads: DataFrame, now_ms: int, actor: str = "ver
     variants = a.filter(write & (many != "[]")).select("sku_key", F.explode(F.from_json("r_variants", VARIANT)).alias("v")).select("sku_key", "v.*")
     seen = a.filter(changed).select("sku_key", F.lit(now_ms).alias("at"), F.col("r_price").alias("price"), F.col("r_stock").alias("stock"))
     audit = a.filter(is_("dead")).select(F.lit(now_ms).alias("at"), F.lit(actor).alias("actor"), F.lit("auto-removed-404").alias("action"), F.lit("sku").alias("entity"), F.col("sku_key").alias("entity_id"))
-    return Verified(rows, variants, seen, audit)
+    return Verified(after, variants, seen, audit)

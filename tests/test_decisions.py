@@ -92,3 +92,11 @@ def test_top_lists(spark):
     rows = spark.createDataFrame([(k % 3, k) for k in range(50)], "k long, v long")
     got = P.top_lists(rows, "k", [F.desc("v")], 2, F.col("v"), "best").collect()
     assert {r.k: r.best for r in got} == {0: [48, 45], 1: [49, 46], 2: [47, 44]}
+
+
+def test_a_checked_sku_meets_its_read_without_a_join(spark):
+    """Lines hold both sides: they are shuffled once, not joined to themselves and not written between."""
+    from stratacat.plans.decisions import QUERIES
+
+    plan = QUERIES["k_verify_skus"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and "Scan parquet" in plan
