@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratacat.operators import stats as S
 from stratacat.plans.facts import maker_span_sql
 from stratacat.sources import feeds, pages
-from stratacat.views import derived, table
+from stratacat.views import derived, spread, table
 
 _PRICE = "CAST(floor(p_retailprice) AS BIGINT)"
 #: A page of each shop system per part, some with several signals, so that precedence shows.
@@ -41,7 +41,7 @@ def _paged(s, d):
 
 
 def _parsed(s, d):
-    p = derived(s, d, PAGE)
+    p = derived(s, d, PAGE, part=spread(table(s, d, "part"), "p_partkey"))
     return p.select("id", F.explode(F.array(pages.parse_page(F.col("html"), F.col("platform")))).alias("p")).select("id", "p.title", "p.image", "p.price", "p.stock", "p.quote_only", "p.via", F.size("p.variants").alias("n_variants"))
 
 

@@ -46,3 +46,10 @@ def test_popularity_queue_backfills_first(spark):
     assert [(r.id, r.mode) for r in Q.popularity_queue(spark.createDataFrame(rows, schema), skus, now).collect()] == [(0, "backfill"), (3, "backfill")]
     scored = [(i, s, 0.0, u) for i, s, _, u in rows]
     assert [(r.id, r.mode) for r in Q.popularity_queue(spark.createDataFrame(scored, schema), skus, now).collect()] == [(2, "refresh")]
+
+
+def test_pages_are_dealt_before_they_are_parsed(spark):
+    """A small file of parts is one split; its pages are parsed on all cores."""
+    from stratacat.plans.landed import QUERIES
+
+    assert QUERIES["k_page_parse"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
