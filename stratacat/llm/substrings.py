@@ -175,17 +175,21 @@ def _counted(strings: DataFrame, width: int, level: int) -> DataFrame:
         return found
     again = C.join_sized(strings, crowded, "bucket", "left_semi").select(F.col("bucket").alias("p1"), F.col("digest").alias("p2"), F.col("packed").alias("text"), "low", "high")
     deeper = _dealt(again, width, level + 1)
-    return found.unionByName(deeper.select(F.col("p1").alias("bucket"), F.col("p2").alias("digest"), "a", "b", "m"))
+    return found.unionByName(deeper.select(F.col("p1").alias("bucket"), F.col("p2").alias("digest"), F.inline("hits")))
 
 
 def _dealt(parents: DataFrame, width: int, level: int) -> DataFrame:
-    """``p1, p2, a, b, m``: windows of the parents (rows ``p1, p2, text, low, high``) by way of their super-k-mers."""
+    """``p1, p2, hits`` (``a, b, m``): windows of the parents (rows ``p1, p2, text, low, high``), one row for each of their super-k-mers that has some."""
     kmers = C.store(parents.mapInArrow(partial(_cut_up, width=width, level=level), _KMERS), "kmers")
     # equal strings of one bucket are one; the digest only names them
     strings = C.store(kmers.groupBy("bucket", "digest", "packed").agg(F.min("low").alias("low"), F.max("high").alias("high")), "strings")
     found = _counted(strings, width, level)
-    joined = kmers.select("p1", "p2", "at", "bucket", "digest", "high").join(found, ["bucket", "digest"]).filter("m < high")
-    return joined.select("p1", "p2", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"), "m")
+    # a string has LONGEST windows at most, so its runs are one short list: a super-k-mer meets one row, however many runs its string has
+    runs = found.groupBy("bucket", "digest").agg(F.collect_list(F.struct("a", "b", "m")).alias("runs"))
+    joined = kmers.select("p1", "p2", "at", "bucket", "digest", "high").join(runs, ["bucket", "digest"])
+    low = F.filter("runs", lambda r: r["m"] < F.col("high"))
+    hits = F.transform(low, lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"]).alias("b"), r["m"].alias("m")))
+    return joined.select("p1", "p2", hits.alias("hits")).filter(F.size("hits") > 0)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -210,8 +214,8 @@ def ranges(docs: DataFrame, known: DataFrame, width: int = WIDTH) -> DataFrame:
     places = ones.select("doc_id", "key", F.posexplode("buckets").alias("pick", "bucket"))
     wanted = C.cut(C.join_sized(places, shared, "bucket", "inner").groupBy("doc_id", "key").agg(F.collect_list("pick").alias("picks")))
     texts = _keyed(docs).join(wanted, ["doc_id", "key"]).select(F.col("doc_id").alias("p1"), F.col("key").alias("p2"), "text", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"), "picks")
-    hit = _dealt(texts, width, 0).select(F.col("p1").alias("doc_id"), F.col("p2").alias("key"), "a", (F.col("b") + width - 1).alias("b"))
-    merged = hit.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("found")).mapInArrow(_merge, "doc_id long, key long, ranges array<struct<a:int,b:int>>")
+    hit = _dealt(texts, width, 0).select(F.col("p1").alias("doc_id"), F.col("p2").alias("key"), F.transform("hits", lambda r: F.struct(r["a"].alias("a"), (r["b"] + width - 1).alias("b"))).alias("hits"))
+    merged = hit.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("hits")).alias("found")).mapInArrow(_merge, "doc_id long, key long, ranges array<struct<a:int,b:int>>")
     return merged.unionByName(whole)
 
 
