@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stratacat.durable import shared_dir
 from stratacat.streaming import catalog as ST
@@ -141,55 +142,35 @@ def _ordered(rows: DataFrame, late: str):
     return timed.withColumn("us", F.unix_micros("ts")).groupBy("key")
 
 
-_PRODUCT = "pid string, url string, title string, price long, stock int, reused boolean, collides boolean"
-_FLAT = ", ".join(f"p_{c}" for c in _PRODUCT.split(", "))
+_PRODUCT = ("pid", "url", "title", "price", "stock", "reused", "collides")
 
 
-class BestSighting(StatefulProcessor):
-    """Of the products of a scan that are one sku, the one that counts; the stored skus are the initial state."""
+@dataclass
+class Latest:
+    """A stream of which a key's later rows replace its earlier ones."""
 
-    def init(self, handle) -> None:
-        self.stored = handle.getValueState("stored", "known boolean")
-        self.best = handle.getValueState("best", _PRODUCT + ", number int")
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.stored.update((True,))
-
-    @staticmethod
-    def _order(p, known: bool) -> tuple:
-        pid = (p[0] is None, p[0] or "")
-        return (bool(p[5]), pid, p[1]) if known else (pid, p[2] is not None, p[2] or "")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self.stored.exists()
-        before = tuple(self.best.get()) if self.best.exists() else None
-        now = min([tuple(r[c] for c in ("pid", "url", "title", "price", "stock", "reused", "collides")) for r in rows] + ([before[:-1]] if before else []), key=lambda p: self._order(p, known))
-        if before and now == before[:-1]:
-            return iter([])
-        number = before[-1] + 1 if before else 0
-        self.best.update((*now, number))
-        return iter([Row(source_id=key[0], key_url=key[1], known=known, **{f"p_{c}": v for c, v in zip(("pid", "url", "title", "price", "stock", "reused", "collides"), now, strict=True)}, number=number)])
+    rows: DataFrame
 
 
-def sightings(skus: DataFrame, products: DataFrame) -> DataFrame:
-    """The log of a scan that comes as a stream: for each sku the product that counts, again each time a better one comes.
+def sightings(skus: DataFrame, products: DataFrame) -> Latest:
+    """The log of a scan that comes as a stream: for each sku the product that counts, again when more of its products come.
 
-    Products meet the stored skus by pid and by address without state; what is kept per sku (by source and address, the stored ones from the start) is the product that counts so far.
+    Products meet the stored skus by pid and by address without state; what is kept per sku (by source and address) is the product that counts so far, as a minimum that
+    Spark keeps itself: with ten thousands of skus a task, a call from the state to a Python worker and back for each of them takes far longer than the rest.
     """
-    hit = ST.identified(skus, products)
-    key = hit.select("source_id", F.coalesce("k.url", "url").alias("key_url"), "pid", "url", "title", "price", "stock", F.coalesce("reused", F.lit(False)).alias("reused"), "collides")
-    first = skus.select("source_id", F.col("url").alias("key_url"), F.lit(True).alias("known"))
-    return key.groupBy("source_id", "key_url").transformWithState(
-        BestSighting(), f"source_id long, key_url string, known boolean, {_FLAT}, number int", "Append", "None", first.groupBy("source_id", "key_url")
-    )
+    # a stream's plan isn't adapted: a table of skus that is small only as it lies in its file would be broadcast
+    hit = ST.identified(skus.hint("merge"), products).select("*", F.coalesce("k.url", "url").alias("key_url"), F.col("k").isNotNull().alias("known"))
+    # of a stored sku's products the first by (reused, pid, url) counts; products of a new one have one url and aren't reused: the first by (pid, title). No pid comes last.
+    order = F.struct(F.coalesce("reused", F.lit(False)).alias("reused"), F.col("pid").isNull().alias("bare"), "pid", "url", "title", "price", "stock", "collides")
+    best = hit.groupBy("source_id", "key_url", "known").agg(F.min(order).alias("p"))
+    return Latest(best.select("source_id", "key_url", "known", *[F.col(f"p.{c}").alias(f"p_{c}") for c in _PRODUCT]))
 
 
 def settled(skus: DataFrame, log: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
     """The next skus and the observations, of the last row of the log for each sku."""
     last = log.withColumn("turn", F.row_number().over(Window.partitionBy("source_id", "key_url").orderBy(F.desc("number")))).filter("turn = 1")
-    columns = ("pid", "url", "title", "price", "stock", "reused", "collides")
-    seen = last.filter("known").select(F.struct("source_id", F.col("key_url").alias("url")).alias("k"), *[F.col(f"p_{c}").alias(c if c in ("reused", "collides") else f"p_{c}") for c in columns])
-    fresh = last.filter("NOT known").select("source_id", *[F.col(f"p_{c}").alias(c) for c in columns[:5]])
+    seen = last.filter("known").select(F.struct("source_id", F.col("key_url").alias("url")).alias("k"), *[F.col(f"p_{c}").alias(c if c in ("reused", "collides") else f"p_{c}") for c in _PRODUCT])
+    fresh = last.filter("NOT known").select("source_id", *[F.col(f"p_{c}").alias(c) for c in _PRODUCT[:5]])
     return ST.applied(skus, seen, fresh, now_ms)
 
 
@@ -201,15 +182,24 @@ def landed(rows: DataFrame, files: int, *, folder: str | None = None) -> str:
 
 
 def drained(spark: SparkSession, folder: str, schema: StructType | str, plan, out: str, checkpoint: str, a_batch: int = 2) -> DataFrame:
-    """Runs ``plan`` over the files in ``folder`` that its checkpoint doesn't know yet, some in each micro-batch, and reads all that it has written so far."""
+    """Runs ``plan`` over the files in ``folder`` that its checkpoint doesn't know yet, some in each micro-batch, and reads all that it has written so far.
+
+    Of :class:`Latest` rows each micro-batch writes those of the keys it has met, with its ``number``; written again after a failure, they replace themselves.
+    """
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
-        stream = plan(spark.readStream.schema(schema).option("maxFilesPerTrigger", a_batch).parquet(folder))
-        stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        made = plan(spark.readStream.schema(schema).option("maxFilesPerTrigger", a_batch).parquet(folder))
+        if isinstance(made, Latest):
+            written = StructType([*made.rows.schema, StructField("number", LongType())])
+            to = made.rows.writeStream.outputMode("update").foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{out}/number={number}"))
+        else:
+            written = made.schema
+            to = made.writeStream.outputMode("append").format("parquet").option("path", out)
+        to.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(written).parquet(out)
 
 
 def replayed(rows: DataFrame, plan, late_ms: int, files: int = 4) -> DataFrame:

@@ -77,3 +77,23 @@ def test_scan_as_a_stream_equals_the_batch(spark, seed):
     K.landed(products.filter(~half), 2, folder=folder)
     log = K.drained(spark, folder, products.schema, plan, f"{folder}-out", f"{folder}-state", 1)
     assert [sorted(map(repr, f.collect())) for f in K.settled(skus, log, I.NOW)] == want
+
+
+def test_the_best_sighting_of_a_sku_is_kept_without_python(spark, tmp_path):
+    """Sightings are a minimum that Spark keeps, no call to a Python worker for each sku; what came before a restart still counts, also against a later one that is worse."""
+    skus = spark.createDataFrame([(1, "p1", "u1"), (1, None, None)], "source_id long, pid string, url string")
+    schema = "source_id long, pid string, url string, title string, price long, stock int"
+    products = [(1, "p9", "u9", "b", 1, 1), (1, None, "u9", "a", 2, 1), (1, "p1", "u7", "t", 3, 1)], [(1, "p9", "u9", "a", 4, 0), (1, "p9", "u9", None, 5, 0), (1, "p1", "u8", "t", 6, 1)]
+    plans, folder = [], f"{tmp_path}/in"
+
+    def plan(stream):
+        made = K.sightings(skus, stream)
+        plans.append(made.rows._jdf.queryExecution().analyzed().toString())
+        return made
+
+    for part in products:
+        K.landed(spark.createDataFrame(part, schema), 1, folder=folder)
+        log = K.drained(spark, folder, spark.createDataFrame([], schema).schema, plan, f"{tmp_path}/out", f"{tmp_path}/state")
+    assert all("Python" not in p and "TransformWithState" not in p for p in plans)
+    last = {r.key_url: (r.known, r.p_pid, r.p_url, r.p_title, r.p_price) for r in log.orderBy("number").collect()}
+    assert last == {"u9": (False, "p9", "u9", None, 5), "u1": (True, "p1", "u7", "t", 3)}
