@@ -10,8 +10,10 @@ from stratacat.streaming import keyed as K
 from stratacat.views import table
 
 #: The watermark's delay: rows are dealt to files at random, so any of them may be as late as the table is long.
-LATE_MS = 400 * 86_400_000
 LATE = "400 days"
+#: A hundredth of that: the rows of a key wait in few lists.
+SPAN = "4 days"
+WAIT_MS = 404 * 86_400_000
 
 #: What feeds and page checks say of skus.
 SIGNALS = """SELECT user_id AS key, event_id AS id, ts, CASE event_id % 13 WHEN 0 THEN 'seen' WHEN 1 THEN 'ok' WHEN 2 THEN 'blocked' WHEN 3 THEN 'missing' WHEN 4 THEN 'blocked' ELSE 'gone' END AS kind FROM events"""
@@ -29,7 +31,7 @@ def _scan(s, d):
 
 def _log(s, d):
     rows = observations(s, d).select(F.col("sku").cast("long").alias("key"), F.col("event_id").cast("long").alias("id"), "ts", F.col("price").cast("long").alias("value"))
-    return K.replayed(rows, lambda stream: K.change_log(stream, LATE), LATE_MS).select(F.col("id").alias("event_id"), F.col("key").alias("sku"), F.col("value").alias("price"))
+    return K.replayed(rows, lambda stream: K.change_log(stream, LATE, SPAN), WAIT_MS).select(F.col("id").alias("event_id"), F.col("key").alias("sku"), F.col("value").alias("price"))
 
 
 def signals(s, d):
@@ -39,7 +41,7 @@ def signals(s, d):
 
 
 def _misses(s, d):
-    return K.replayed(signals(s, d), lambda stream: K.misses(stream, LATE), LATE_MS).select(F.col("key").alias("sku"), F.col("id").alias("event_id"), "action", "misses")
+    return K.replayed(signals(s, d), lambda stream: K.misses(stream, LATE, SPAN), WAIT_MS).select(F.col("key").alias("sku"), F.col("id").alias("event_id"), "action", "misses")
 
 
 QUERIES = {

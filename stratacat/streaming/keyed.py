@@ -1,8 +1,9 @@
 """Streams with state per key: scans against stored skus, change logs, deaths of skus.
 
-Rows that depend on their order wait in the state until the watermark has passed them; a timer then hands them over in order of event
-time, so the result is the same for any split into micro-batches whose rows are at most ``late`` out of order. Rows that come later than that are
-dropped, as a watermark does. State is kept per key in RocksDB; a stream goes on from its checkpoint after a restart.
+Rows that depend on their order wait in lists that Spark keeps for each key and span of event time, until the watermark has passed the end of the span; they
+are then handed over in order of event time, so the result is the same for any split into micro-batches whose rows are at most ``late`` out of order. Rows of spans
+that have been handed over are dropped, as a watermark does. State is kept per key in RocksDB; a stream goes on from its checkpoint after a restart. A call between
+the state and a Python worker takes about as long as a hundred rows in Spark, so a key has two in each micro-batch that hands over rows of it, and none while rows wait.
 """
 
 from __future__ import annotations
@@ -21,79 +22,53 @@ from stratacat.streaming import catalog as ST
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+#: Rows wait this much longer than ``late`` at most.
+SPAN, SPAN_MS = "1 hour", 3_600_000
 
 
 class InOrder(StatefulProcessor):
-    """Keeps rows (first column: microseconds of event time) until the watermark passes them; ``step`` gets them in order."""
+    """Gets the rows of a key that the watermark has passed, packed by span; ``step`` gets them in order. Later spans come in later micro-batches."""
 
-    #: Columns of the waiting rows, and those of the value that ``step`` carries on.
-    waiting: str
+    #: Columns of the value that ``step`` carries on.
     carried: str
 
     def init(self, handle) -> None:
-        self.handle = handle
-        self.pending = handle.getListState("pending", self.waiting)
-        self.due = handle.getValueState("due", "ms long")
         self.value = handle.getValueState("value", self.carried)
 
     def step(self, key, row: tuple, value: tuple | None) -> tuple[tuple, list[Row]]:
         """The carried value after ``row``, and what is emitted."""
         raise NotImplementedError
 
-    def read(self, row: Row) -> tuple:
-        """A waiting row of an input row."""
+    def read(self, span: Row) -> Iterator[tuple]:
+        """What ``step`` gets of each row of a span, which has an array per column, in order."""
         raise NotImplementedError
 
-    def _wake(self, micros: int) -> None:
-        ms = micros // 1000 + 1
-        due = self.due.get() if self.due.exists() else None
-        if due is None or ms < due[0]:
-            if due is not None:
-                self.handle.deleteTimer(due[0])
-            self.handle.registerTimer(ms)
-            self.due.update((ms,))
-
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        got = [self.read(r) for r in rows]
-        self.pending.appendList(got)
-        self._wake(min(r[0] for r in got))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        until = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [tuple(r) for r in self.pending.get()]
-        ready = sorted(r for r in rows if r[0] < until)
-        rest = [r for r in rows if r[0] >= until]
-        self.due.clear()
-        if rest:
-            self.pending.put(rest)
-            self._wake(min(r[0] for r in rest))
-        else:
-            self.pending.clear()
-        value = tuple(self.value.get()) if self.value.exists() else None
+        found = self.value.get()
+        value = None if found is None else tuple(found)
         out: list[Row] = []
-        for row in ready:
-            value, more = self.step(key, row, value)
-            out += more
-        if value is not None:
-            self.value.update(value)
+        for span in sorted(rows, key=lambda r: r.us[0]):
+            for row in self.read(span):
+                value, more = self.step(key, row, value)
+                out += more
+        self.value.update(value)
         return iter(out)
 
 
 class ChangeLog(InOrder):
-    waiting, carried = "us long, id long, value long, known boolean", "value long, known boolean"
+    carried = "value long, known boolean"
 
-    def read(self, row: Row) -> tuple:
-        return (row.us, row.id, row.value or 0, row.value is not None)
+    def read(self, span: Row) -> Iterator[tuple]:
+        return ((number, value or 0, value is not None) for number, value in zip(span.id, span.value, strict=True))
 
     def step(self, key, row, value):
-        now = row[2:]
-        return now, [] if now == value else [Row(key=key[0], id=row[1], value=row[2] if row[3] else None)]
+        number, *now = row
+        return tuple(now), [] if tuple(now) == value else [Row(key=key[0], id=number, value=now[0] if now[1] else None)]
 
 
-def change_log(observations: DataFrame, late: str) -> DataFrame:
+def change_log(observations: DataFrame, late: str, span: str = SPAN) -> DataFrame:
     """Of a stream ``key, id, ts, value`` (long) the first row of each key and every row whose value differs from the row before in order of (ts, id); nulls are equal."""
-    return _ordered(observations, late).transformWithState(ChangeLog(), "key long, id long, value long", "Append", "EventTime")
+    return _ordered(observations, late, span).transformWithState(ChangeLog(), "key long, id long, value long", "Append", "None")
 
 
 class Misses(InOrder):
@@ -104,10 +79,10 @@ class Misses(InOrder):
     dead skus are not read again.
     """
 
-    waiting, carried = "us long, id long, kind string", "seen_us long, misses int, dead int"
+    carried = "seen_us long, misses int, dead int"
 
-    def read(self, row: Row) -> tuple:
-        return (row.us, row.id, row.kind)
+    def read(self, span: Row) -> Iterator[tuple]:
+        return zip(span.us, span.id, span.kind, strict=True)
 
     def step(self, key, row, value):
         us, number, kind = row
@@ -132,14 +107,18 @@ class Misses(InOrder):
         return (seen, misses, dead), [Row(key=key[0], id=number, action=said, misses=misses)] if said else []
 
 
-def misses(signals: DataFrame, late: str) -> DataFrame:
+def misses(signals: DataFrame, late: str, span: str = SPAN) -> DataFrame:
     """Of a stream ``key, id, ts, kind`` (seen, ok, gone, missing, blocked) what happens to each sku: ``key, id, action, misses``."""
-    return _ordered(signals, late).transformWithState(Misses(), "key long, id long, action string, misses int", "Append", "EventTime")
+    return _ordered(signals, late, span).transformWithState(Misses(), "key long, id long, action string, misses int", "Append", "None")
 
 
-def _ordered(rows: DataFrame, late: str):
+def _ordered(rows: DataFrame, late: str, span: str):
+    """Rows by key, packed by span of event time; a span comes when the watermark has passed its end, so all that come in one micro-batch are earlier than those of the next."""
     timed = rows.filter("key IS NOT NULL AND ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.withColumn("us", F.unix_micros("ts")).groupBy("key")
+    others = [c for c in rows.columns if c not in ("key", "ts")]
+    row = F.struct(F.unix_micros("ts").alias("us"), "id", *[c for c in others if c != "id"])
+    packed = timed.groupBy("key", F.window("ts", span)).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return packed.select("key", *[F.col(f"rows.{c}").alias(c) for c in ("us", *others)]).groupBy("key")
 
 
 _PRODUCT = ("pid", "url", "title", "price", "stock", "reused", "collides")
@@ -205,13 +184,13 @@ def drained(spark: SparkSession, folder: str, schema: StructType | str, plan, ou
 def replayed(rows: DataFrame, plan, late_ms: int, files: int = 4) -> DataFrame:
     """Lands ``rows`` (with ``key`` and ``ts``) in files at random, drains them, then lands one more row, far on in time, and goes on from the checkpoint: it moves the watermark past all others.
 
-    ``late_ms`` must be the watermark's delay of ``plan``, and cover how far the files are out of order.
+    ``late_ms`` must be the watermark's delay of ``plan``, with what its spans are longer than an hour, and cover how far the files are out of order.
     """
     spark = rows.sparkSession
     folder = landed(rows, files)
     out, checkpoint = f"{folder}-out", f"{folder}-state"
     drained(spark, folder, rows.schema, plan, out, checkpoint)
-    end = rows.agg((F.max(F.col("ts").cast("timestamp")) + F.make_dt_interval(secs=F.lit(late_ms / 1000 + 60))).cast(rows.schema["ts"].dataType).alias("ts"))
+    end = rows.agg((F.max(F.col("ts").cast("timestamp")) + F.make_dt_interval(secs=F.lit((late_ms + SPAN_MS) / 1000 + 60))).cast(rows.schema["ts"].dataType).alias("ts"))
     beat: list[Column] = [F.col("ts") if c == "ts" else F.lit(-1 if c == "key" else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
     landed(end.filter("ts IS NOT NULL").select(*beat), 1, folder=folder)
     return drained(spark, folder, rows.schema, plan, out, checkpoint).filter("key >= 0")

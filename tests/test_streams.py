@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from stratacat.operators import stats as S
@@ -97,3 +98,43 @@ def test_the_best_sighting_of_a_sku_is_kept_without_python(spark, tmp_path):
     assert all("Python" not in p and "TransformWithState" not in p for p in plans)
     last = {r.key_url: (r.known, r.p_pid, r.p_url, r.p_title, r.p_price) for r in log.orderBy("number").collect()}
     assert last == {"u9": (False, "p9", "u9", None, 5), "u1": (True, "p1", "u7", "t", 3)}
+
+
+class Calls:
+    """A state that counts what is asked of it."""
+
+    def __init__(self, *_):
+        self.value, self.n = None, 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        self.n += 1
+        return self.value
+
+    def update(self, value):
+        self.n += 1
+        self.value = value
+
+
+def test_a_key_has_two_calls_to_its_state_however_many_rows():
+    state, life = Calls(), K.Misses()
+    life.init(state)
+    day = K.DAY_MS * 1000
+    spans = [Row(us=[k * day + 1, k * day + 2], id=[2 * k, 2 * k + 1], kind=["gone", "ok" if k < 50 else "blocked"]) for k in range(60)]
+    out = list(life.handleInputRows((7,), iter(spans[::-1]), None))
+    assert state.n == 2 and [(r.id, r.action) for r in out[-3:]] == [(100, "missed"), (102, "missed"), (104, "dead")]
+
+
+def test_a_life_goes_on_over_micro_batches(spark, tmp_path):
+    """Spans are handed over in several micro-batches, and after a restart; a row that is late, but not too late, is put in order."""
+    day = 86_400
+    folder, got = f"{tmp_path}/in", []
+    files = [[(1, 1, T0, "gone"), (1, 3, T0 + 2 * day, "gone")], [(1, 2, T0 + day + 7200, "seen"), (1, 4, T0 + 5 * day, "gone")], [(1, 5, T0 + 9 * day, "gone"), (1, 6, T0 + 12 * day, "gone")], [(-1, 0, T0 + 40 * day, "ok")]]
+    for part in files:
+        rows = timed(spark, part, "key long, id long, at long, kind string")
+        K.landed(rows, 1, folder=folder)
+        log = K.drained(spark, folder, rows.schema, lambda s: K.misses(s, "2 days", "3 hours"), f"{tmp_path}/out", f"{tmp_path}/state")
+        got.append(sorted((r.id, r.action) for r in log.collect()))
+    assert got[-1] == [(1, "missed"), (3, "flagged"), (4, "missed"), (5, "missed"), (6, "dead")] and [] in got[:2] and got[2] not in (got[0], got[3])
