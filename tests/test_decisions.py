@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -100,3 +101,21 @@ def test_a_checked_sku_meets_its_read_without_a_join(spark):
 
     plan = QUERIES["k_verify_skus"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1 and "Scan parquet" in plan
+
+
+def test_titles_are_read_for_power_without_being_sorted(spark):
+    """A title's marks are taken where it lies: joins move ids and marks, not texts."""
+    masters = [(1, "Sky", "electric"), (2, "Nitro Sky", "electric"), (3, "Sky 1:4", "electric"), (4, "Sky", "gas"), (5, "Sky", "electric"), (6, None, "electric"), (7, "Sky", None), (8, "Sky 1/5", "electric"), (9, "glow", "electric"), (10, None, "electric")]
+    titles = [(1, None), (1, "sky"), (3, "sky 35cc"), (4, "sky 35cc"), (5, "sky"), (5, "sky 1/4 scale"), (5, "sky 1/7"), (6, "gasser"), (7, "35cc"), (9, "sky"), (11, "35cc")]
+    m = spark.createDataFrame(masters, "id long, name string, power string")
+    t = spark.createDataFrame(titles, "id long, title string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = D.power_anomalies(m, t, spark.createDataFrame([(9,)], "id long"))
+        plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        assert {(r.id, r.kind) for r in found.collect()} == {(2, "power-mismatch"), (3, "power-mismatch"), (5, "power-review"), (6, "power-mismatch"), (8, "power-review")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sorts = re.findall(r"\) Sort\nInput \[\d+\]: (.*)", plan)
+    assert sorts and not [x for x in sorts if "title#" in x or "text#" in x or "name#" in x]
