@@ -2,8 +2,8 @@
 
 Rows that depend on their order wait in lists that Spark keeps for each key and span of event time, until the watermark has passed the end of the span; they
 are then handed over in order of event time, so the result is the same for any split into micro-batches whose rows are at most ``late`` out of order. Rows of spans
-that have been handed over are dropped, as a watermark does. State is kept per key in RocksDB; a stream goes on from its checkpoint after a restart. A call between
-the state and a Python worker takes about as long as a hundred rows in Spark, so a key has two in each micro-batch that hands over rows of it, and none while rows wait.
+that have been handed over are dropped, as a watermark does. State is kept per key in RocksDB; a stream goes on from its checkpoint after a restart. Calls between
+the state and a Python worker are slow, so a key has two in each micro-batch that hands over rows of it, and none while rows wait.
 """
 
 from __future__ import annotations
