@@ -10,7 +10,7 @@ from stratacat.operators import transitions as T
 from stratacat.operators import upsert as U
 from stratacat.functions import classify as K
 from stratacat.plans.facts import _GAS_SQL, SUFFIXES, _case, _span_sql
-from stratacat.plans.identity import _CLUSTER, _DD, CROSS, _clusters
+from stratacat.plans.identity import _CLUSTER, _DD, _clusters
 from stratacat.plans.transitions import MATCH, VIDEO
 from stratacat.views import derived, sku, with_views
 
@@ -45,7 +45,7 @@ def _refresh(s, d):
 
 def _cross(s, d):
     m = derived(s, d, BRANDED)
-    return D.in_one(*D.cross_brand(m, D.confirmations(m, derived(s, d, TITLE)).filter("NOT confirmed").select("id")))
+    return D.expanded(*D.cross_brand(m, D.confirmations(m, derived(s, d, TITLE)).filter("NOT confirmed").select("id")))
 
 
 def _videos(s, d):
@@ -120,7 +120,8 @@ SELECT b.id, brand, left({_FILL}, 60) AS name, coalesce(t.span, p.span) AS span,
     "f_clean_name": f"SELECT id, left({_FILL}, 60) AS name FROM (SELECT *, {_KNOWN} AS brand FROM ({LISTING}))",
     "k_brand_anomaly": with_views(_ANOM + " SELECT * FROM a"),
     "k_power_anomaly": with_views(_ANOM + " SELECT id, kind FROM q"),
-    "k_dedup_cross_unconfirmed": with_views(_CONF + _DD.replace("FROM v_master", f"FROM ({BRANDED})") + ", sus AS (SELECT id FROM c WHERE NOT confirmed)" + CROSS),
+    "k_dedup_cross_unconfirmed": with_views(_CONF + _DD.replace("FROM v_master", f"FROM ({BRANDED})") + """ SELECT a_id, b_id, common / least_n AS score FROM ok WHERE cat AND NOT same AND common / least_n >= 0.6 AND (coalesce(gap, 1) <= 0.05 OR shared OR least_n >= 2)
+AND (a_id IN (SELECT id FROM c WHERE NOT confirmed) OR b_id IN (SELECT id FROM c WHERE NOT confirmed))"""),
     "k_brand_confirmations": with_views(_CONF + " SELECT id, confirmed FROM c"),
     "m_anomaly_refresh": with_views(_ANOM + """, u AS (SELECT * FROM a UNION ALL SELECT * FROM q) SELECT c.id, CASE WHEN u.id IS NOT NULL THEN concat('{"kind":"', kind, '","detail":"', replace(detail, '"', '\\"'), '"}') END AS anomaly FROM c LEFT JOIN u ON u.id = c.id"""),
     "k_rederive_power": with_views(f"""SELECT m.id, name FROM ({BRANDED}) m JOIN (SELECT id, max(CASE WHEN {_GAS_SQL} THEN 1 ELSE 0 END) AS gas FROM (SELECT id, description AS text FROM ({DESCRIBED}) WHERE description IS NOT NULL) GROUP BY 1) g ON g.id = m.id
